@@ -97,10 +97,10 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     targets = targets.select(*g, prob_col, h.alias("_h"), F.floor(h).cast("long").alias("_p0"),
                              F.ceil(h).cast("long").alias("_p1"))
     pos = targets.select(*g, prob_col, "_h", "_p0", F.explode(F.array_distinct(F.array("_p0", "_p1"))).alias("_p"))
-    hit = pos.join(cum, on=[*[pos[c] == cum[c] for c in g],
-                            pos["_p"] >= cum["_lo_pos"], pos["_p"] <= cum["_hi_pos"]] if g else
-                   [pos["_p"] >= cum["_lo_pos"], pos["_p"] <= cum["_hi_pos"]], how="inner")
-    hit = hit.select(*[pos[c] for c in g], pos[prob_col], pos["_h"], pos["_p0"], pos["_p"], cum["_v"])
+    cum_r = cum.select(*[F.col(c).alias(f"_c_{c}") for c in g], "_v", "_lo_pos", "_hi_pos")
+    cond = [F.col("_p") >= F.col("_lo_pos"), F.col("_p") <= F.col("_hi_pos")]
+    cond += [F.col(c) == F.col(f"_c_{c}") for c in g]
+    hit = pos.join(cum_r, on=cond, how="inner").select(*g, prob_col, "_h", "_p0", "_p", "_v")
     res = hit.groupBy(*g, prob_col, "_h", "_p0").agg(
         F.min_by("_v", "_p").alias("_v0"), F.max_by("_v", "_p").alias("_v1"))
     frac = F.col("_h") - F.col("_p0")

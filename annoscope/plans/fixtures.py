@@ -228,3 +228,15 @@ def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = (F.pmod(F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(10)) + 1)
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"),
                     (F.col("label") < 5).cast("int").alias("y"), fold.cast("int").alias("fold"))
+
+
+def fold_of(id_col, n: int = 11):
+    """Evaluation split by hash: 0 = test, 1..n-1 = cross-validation folds."""
+    h = F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit("fold"))), 1, 8), 16, 10).cast("long")
+    return F.pmod(h, F.lit(n)).cast("int")
+
+
+def scored_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, corpus, category, fold, y_true, y_score)``."""
+    s = scored_long(spark, sf_dir)
+    return s.select("id", "corpus", "category", fold_of("id").alias("fold"), "y_true", "y_score")

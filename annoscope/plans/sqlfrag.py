@@ -157,3 +157,88 @@ ML_FEATURES = """ml_features AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+SCORED_FOLDS = SCORED + ",\n" + SCORED_LONG + """,
+scored_folds AS (
+  SELECT id, corpus, category,
+         CAST((('0x' || substr(md5(CAST(id AS VARCHAR) || 'fold'), 1, 8))::BIGINT % 11) AS INTEGER) AS fold,
+         y_true, y_score
+  FROM scored_long
+)"""
+
+
+def _pb(g):
+    return ("PARTITION BY " + ", ".join(g)) if g else ""
+
+
+def _gsel(g, alias=None):
+    if not g:
+        return ""
+    return ", ".join(f"{alias}.{c}" if alias else c for c in g) + ", "
+
+
+def ranked_ctes(src: str, g, name: str = "rc", y: str = "y_true", s: str = "y_score", desc: bool = True) -> str:
+    """Distinct-score counts with running tps/fps, vertex index k and group totals P, N, K."""
+    order = "DESC" if desc else "ASC"
+    gb = (", ".join(g) + ", ") if g else ""
+    return f"""{name}_cnt AS (
+  SELECT {gb}CAST({s} AS DOUBLE) AS score, CAST(sum({y}) AS BIGINT) AS pos, CAST(sum(1 - {y}) AS BIGINT) AS neg
+  FROM {src} WHERE {y} IS NOT NULL AND {s} IS NOT NULL GROUP BY {gb}CAST({s} AS DOUBLE)
+), {name} AS (
+  SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tps, CAST(sum(neg) OVER w AS BIGINT) AS fps,
+         CAST(row_number() OVER w AS BIGINT) AS k,
+         CAST(sum(pos) OVER ({_pb(g)}) AS BIGINT) AS n_pos, CAST(sum(neg) OVER ({_pb(g)}) AS BIGINT) AS n_neg,
+         CAST(count(*) OVER ({_pb(g)}) AS BIGINT) AS n_scores
+  FROM {name}_cnt WINDOW w AS ({_pb(g)} ORDER BY score {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)"""
+
+
+def roc_ctes(src: str, g, name: str = "roc") -> str:
+    return ranked_ctes(src, g, f"{name}_rc") + f""", {name}_nx AS (
+  SELECT *, lead(pos) OVER ({_pb(g)} ORDER BY k) AS pos_next, lead(neg) OVER ({_pb(g)} ORDER BY k) AS neg_next
+  FROM {name}_rc WHERE n_pos > 0 AND n_neg > 0
+), {name}_kept AS (
+  SELECT * FROM {name}_nx WHERE n_scores <= 2 OR k = 1 OR k = n_scores OR pos_next <> pos OR neg_next <> neg
+), {name} AS (
+  SELECT {_gsel(g)}k, score AS threshold, fps, tps, fps / n_neg AS fpr, tps / n_pos AS tpr FROM {name}_kept
+  UNION ALL
+  SELECT {_gsel(g)}CAST(0 AS BIGINT) AS k, 'inf'::DOUBLE AS threshold, CAST(0 AS BIGINT) AS fps, CAST(0 AS BIGINT) AS tps,
+         0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr FROM {name}_kept WHERE k = 1
+)"""
+
+
+def pr_ctes(src: str, g, name: str = "pr") -> str:
+    return ranked_ctes(src, g, f"{name}_rc") + f""", {name}_full AS (
+  SELECT {_gsel(g)}min(k) AS kfull FROM {name}_rc WHERE tps = n_pos AND n_pos > 0 {('GROUP BY ' + ', '.join(g)) if g else ''}
+), {name} AS (
+  SELECT {_gsel(g, 'r')}r.k, r.score AS threshold, r.tps / r.n_pos AS recall, r.tps / (r.tps + r.fps) AS precision
+  FROM {name}_rc r JOIN {name}_full f ON {' AND '.join(f'f.{c} = r.{c}' for c in g) if g else 'TRUE'}
+  WHERE r.k <= f.kfull
+  UNION ALL
+  SELECT {_gsel(g)}CAST(0 AS BIGINT), NULL::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE FROM {name}_rc WHERE k = 1 AND n_pos > 0
+)"""
+
+
+def interp_ctes(vert: str, g, x: str, y: str, name: str, n: int = 100, force=None) -> str:
+    """NumPy-interp semantics: segment from the last vertex (k order) with x <= grid point."""
+    step = repr(1.0 / (n - 1))
+    fi = ""
+    val = "v"
+    if force is not None:
+        val = f"CASE WHEN i = {force[0]} THEN {float(force[1])!r}::DOUBLE ELSE v END"
+    jg = " AND ".join([f"s.{c} = gr.{c}" for c in g] + ["TRUE"])
+    return f"""{name}_v AS (
+  SELECT {_gsel(g)}k, {x} AS x, {y} AS y, lead({x}) OVER ({_pb(g)} ORDER BY k) AS x_next,
+         lead({y}) OVER ({_pb(g)} ORDER BY k) AS y_next
+  FROM {vert}
+), {name}_seg AS (SELECT * FROM {name}_v WHERE x_next IS NULL OR x_next > x),
+{name}_grid AS (
+  SELECT DISTINCT {_gsel(g)}CAST(UNNEST(range({n})) AS INTEGER) AS i FROM {vert}
+), {name}_hit AS (
+  SELECT {_gsel(g, 'gr')}gr.i, gr.i * {step}::DOUBLE AS grid,
+         arg_max(CASE WHEN s.x_next IS NULL THEN s.y ELSE s.y + (gr.i * {step}::DOUBLE - s.x) * (s.y_next - s.y) / (s.x_next - s.x) END, s.k) AS v
+  FROM {name}_grid gr JOIN {name}_seg s ON {jg}
+   AND gr.i * {step}::DOUBLE >= s.x AND (s.x_next IS NULL OR gr.i * {step}::DOUBLE < s.x_next)
+  GROUP BY {_gsel(g, 'gr')}gr.i
+), {name} AS (SELECT {_gsel(g)}i, grid, {val} AS value FROM {name}_hit)"""

@@ -63,3 +63,18 @@ def write_dic(entries: DataFrame, path: str, codes: Sequence[tuple[str, str]], p
     files = entries.select(bucket.alias("b"), line.alias("line")).groupBy("b").agg(
         F.concat(F.lit(header), F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n")).alias("value"))
     files.select("value").repartition(n).write.mode(mode).text(path)
+
+
+def write_fold_predictions(pred: DataFrame, path: str, chunks: int | None = None, mode: str = "overwrite") -> None:
+    """A15 writer: JSON lines ``{"fold":k,"y_true":[...],"y_score":[...],"y_pred":[...]}``.
+
+    A fold is written as several records (hash chunks of its rows), so no record holds a whole
+    fold; readers concatenate records of the same fold.
+    """
+    n = chunks or int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    ch = F.pmod(F.xxhash64(*[F.col(c) for c in pred.columns]), F.lit(n))
+    rows = pred.select("fold", ch.alias("chunk"), F.struct("y_true", "y_score", "y_pred").alias("r"))
+    g = rows.groupBy("fold", "chunk").agg(F.collect_list("r").alias("rs"))
+    out = g.select("fold", F.col("rs.y_true").alias("y_true"), F.col("rs.y_score").alias("y_score"),
+                   F.col("rs.y_pred").alias("y_pred"))
+    out.write.mode(mode).json(path)
