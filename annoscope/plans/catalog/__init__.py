@@ -4,4 +4,5 @@ from annoscope.plans.catalog import (  # noqa: F401
     text,
     lexicon,
     evaluation,
+    thresholds,
 )
