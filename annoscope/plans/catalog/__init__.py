@@ -5,4 +5,5 @@ from annoscope.plans.catalog import (  # noqa: F401
     lexicon,
     evaluation,
     thresholds,
+    social,
 )

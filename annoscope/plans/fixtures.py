@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from annoscope.functions.hashing import u01
 from annoscope.functions.text import SENTENCE_PATTERN, TOKEN_PATTERN
 from annoscope.plans.tables import table
+
+__all__ = ["table"]
 from annoscope.schema import CATEGORIES
 
 # The inline lemma map of the fixture.
@@ -178,11 +180,15 @@ def tristate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey")
+    """``(id, created, retrieved_on, score, topic_1, topic_2, {c}_score)`` from ``part``."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     created = F.timestamp_add("DAY", F.pmod(F.col("p_partkey"), F.lit(1000)),
                               F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"))
+    lag_days = F.when(F.pmod(F.col("p_partkey"), F.lit(10)) == 0, F.lit(600)).otherwise(F.lit(POST_WINDOW_DAYS + 1))
+    retrieved = F.timestamp_add("DAY", lag_days, created)
     cols = [u01(F.lit("p"), "p_partkey", F.lit(c)).alias(f"{c}_score") for c in CATEGORIES]
-    return p.select(F.col("p_partkey").alias("id"), created.alias("created"),
+    return p.select(F.col("p_partkey").alias("id"), created.alias("created"), retrieved.alias("retrieved_on"),
+                    F.col("p_retailprice").alias("score"),
                     F.concat(F.lit("t"), F.pmod("p_partkey", F.lit(7)).cast("string")).alias("topic_1"),
                     F.concat(F.lit("t"), F.pmod(F.floor(F.col("p_partkey") / 7), F.lit(7)).cast("string")).alias("topic_2"),
                     *cols)

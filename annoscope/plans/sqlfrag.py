@@ -108,6 +108,7 @@ TRISTATE = f"""tristate AS (
 )"""
 
 POSTS = "posts AS (\n  SELECT p_partkey AS id, CAST(TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST(p_partkey % 1000 AS INTEGER)) AS TIMESTAMP) AS created,\n" \
+        f"         CAST(TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST(p_partkey % 1000 AS INTEGER)) + to_days(CASE WHEN p_partkey % 10 = 0 THEN 600 ELSE {fx.POST_WINDOW_DAYS + 1} END) AS TIMESTAMP) AS retrieved_on, p_retailprice AS score,\n" \
         "         't' || CAST(p_partkey % 7 AS VARCHAR) AS topic_1, 't' || CAST(CAST(floor(p_partkey / 7) AS BIGINT) % 7 AS VARCHAR) AS topic_2,\n         " + \
         ", ".join(f"{u01(q('p'), 'p_partkey', q(c))} AS {c}_score" for c in CATEGORIES) + "\n  FROM part\n)"
 
