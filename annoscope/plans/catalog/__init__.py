@@ -6,4 +6,5 @@ from annoscope.plans.catalog import (  # noqa: F401
     evaluation,
     thresholds,
     social,
+    stats,
 )
