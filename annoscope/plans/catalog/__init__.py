@@ -7,4 +7,5 @@ from annoscope.plans.catalog import (  # noqa: F401
     thresholds,
     social,
     stats,
+    annotation,
 )

@@ -246,3 +246,20 @@ def scored_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, corpus, category, fold, y_true, y_score)``."""
     s = scored_long(spark, sf_dir)
     return s.select("id", "corpus", "category", fold_of("id").alias("fold"), "y_true", "y_score")
+
+
+def tweets_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tweets with two annotators each: ``(corpus, tweet_id, tweet_text, annotator, annotation)``
+    from ``conversations`` (one tweet per turn; 1-2 raw Twitter labels per annotator)."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    ann = spark.createDataFrame([(a,) for a in range(2)], "annotator int")
+    names = F.array(*[F.lit(k) for k, _ in TWITTER_LABEL_MAP])
+    n = len(TWITTER_LABEL_MAP)
+    tid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    first = F.element_at(names, (F.floor(u01("conv_id", "turn", "annotator", F.lit("a")) * n) + 1).cast("int"))
+    second = F.element_at(names, (F.floor(u01("conv_id", "turn", "annotator", F.lit("b")) * n) + 1).cast("int"))
+    two = u01("conv_id", "turn", "annotator", F.lit("k")) < 0.3
+    x = c.crossJoin(F.broadcast(ann))  # fixed 2-row fan-out per tweet
+    return x.select(F.concat(F.lit("c"), F.pmod("conv_id", F.lit(3)).cast("string")).alias("corpus"), tid.alias("tweet_id"),
+                    F.col("text").alias("tweet_text"), "annotator",
+                    F.when(two, F.concat_ws(",", first, second)).otherwise(first).alias("annotation"))

@@ -243,3 +243,16 @@ def interp_ctes(vert: str, g, x: str, y: str, name: str, n: int = 100, force=Non
    AND gr.i * {step}::DOUBLE >= s.x AND (s.x_next IS NULL OR gr.i * {step}::DOUBLE < s.x_next)
   GROUP BY {_gsel(g, 'gr')}gr.i
 ), {name} AS (SELECT {_gsel(g)}i, grid, {val} AS value FROM {name}_hit)"""
+
+
+_TN = len(fx.TWITTER_LABEL_MAP)
+TWEETS = f"""tweets AS (
+  SELECT 'c' || CAST(c.conv_id % 3 AS VARCHAR) AS corpus, CAST(c.conv_id AS VARCHAR) || '-' || CAST(c.turn AS VARCHAR) AS tweet_id,
+         c.text AS tweet_text, a.annotator,
+         CASE WHEN {u01('c.conv_id', 'c.turn', 'a.annotator', q('k'))} < 0.3
+              THEN {_names_list(fx.TWITTER_LABEL_MAP)}[CAST(floor({u01('c.conv_id', 'c.turn', 'a.annotator', q('a'))} * {_TN}) AS INTEGER) + 1]
+                   || ',' || {_names_list(fx.TWITTER_LABEL_MAP)}[CAST(floor({u01('c.conv_id', 'c.turn', 'a.annotator', q('b'))} * {_TN}) AS INTEGER) + 1]
+              ELSE {_names_list(fx.TWITTER_LABEL_MAP)}[CAST(floor({u01('c.conv_id', 'c.turn', 'a.annotator', q('a'))} * {_TN}) AS INTEGER) + 1] END AS annotation
+  FROM conversations c CROSS JOIN (SELECT UNNEST([0, 1]) AS annotator) a
+)"""
+TWITTER_MAP = f"twitter_map AS {values(fx.TWITTER_LABEL_MAP, ['raw', 'category'])}"
