@@ -38,9 +38,15 @@ def snowflake_decode(sid, epoch_ms: int = TWITTER_EPOCH_MS) -> Column:
 
 
 def snowflake_date(sid, epoch_ms: int = TWITTER_EPOCH_MS) -> Column:
-    """UTC date of a snowflake id (the reference uses the machine's zone; we pin UTC)."""
+    """UTC date of a snowflake id (pure arithmetic, independent of the session time zone;
+    the reference uses the machine's zone)."""
     ms = F.shiftright(_c(sid).cast("long"), DATACENTER_BITS + WORKER_BITS + SEQUENCE_BITS) + F.lit(epoch_ms)
-    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit("UTC"), F.timestamp_millis(ms).cast("timestamp_ntz")))
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / F.lit(86_400_000)).cast("int"))
+
+
+def epoch_millis(ts) -> Column:
+    """Milliseconds since 1970-01-01 of a TIMESTAMP_NTZ column (no time-zone conversion)."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
 
 
 def url_date(url) -> Column:

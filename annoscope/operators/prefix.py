@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from annoscope.session import checkpoint_dir
+
 _PID = "_slice"
 
 
@@ -34,7 +36,11 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_col: str, sum
     g = list(group_cols)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     ranged = df.repartitionByRange(_partitions(df, partitions), *[F.col(c) for c in g], order)
-    sliced = ranged.withColumn(_PID, F.spark_partition_id())
+    # The slice id must be identical for the two consumers below (local sums and slice totals).
+    # Range bounds come from sampling the input, whose row order may differ between executions,
+    # so the sliced rows are checkpointed once to the shared checkpoint folder.
+    checkpoint_dir(df.sparkSession)
+    sliced = ranged.withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
     w_local = Window.partitionBy(_PID, *g).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
     totals = sliced.groupBy(_PID, *g).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])

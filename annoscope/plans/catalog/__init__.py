@@ -8,4 +8,6 @@ from annoscope.plans.catalog import (  # noqa: F401
     social,
     stats,
     annotation,
+    splits,
+    profile,
 )
