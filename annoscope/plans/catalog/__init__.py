@@ -10,4 +10,5 @@ from annoscope.plans.catalog import (  # noqa: F401
     annotation,
     splits,
     profile,
+    vectors,
 )
