@@ -36,7 +36,10 @@ def default_stop_words() -> tuple[str, ...]:
     oracle and the Spark job use the identical list)."""
     import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    roots = [os.path.join(os.path.dirname(pyspark.__file__), "jars")]
+    if os.environ.get("SPARK_HOME"):
+        roots.append(os.path.join(os.environ["SPARK_HOME"], "jars"))
+    jars = [j for r in roots for j in glob.glob(os.path.join(r, "spark-mllib_*.jar"))]
     for jar in jars:
         with zipfile.ZipFile(jar) as z:
             for name in z.namelist():

@@ -11,4 +11,5 @@ from annoscope.plans.catalog import (  # noqa: F401
     splits,
     profile,
     vectors,
+    fitted,
 )
