@@ -12,4 +12,5 @@ from annoscope.plans.catalog import (  # noqa: F401
     profile,
     vectors,
     fitted,
+    io,
 )

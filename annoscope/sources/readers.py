@@ -15,6 +15,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: st
     """A1-A5: delimited text with a header, RFC-4180 quoting (``"`` escapes ``"``), multi-line fields."""
     return (spark.read.schema(schema).option("header", header).option("sep", sep).option("encoding", encoding)
             .option("multiLine", multiline).option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .csv(path))
 
 

@@ -22,9 +22,12 @@ def _mode(df: DataFrame, path: str, mode: str) -> str:
     return mode
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; ``mode`` is Spark's, or ``warn_overwrite``."""
-    (df.write.mode(_mode(df, path, mode)).option("header", True).option("quote", '"').option("escape", '"')
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",", encoding: str = "UTF-8") -> None:
+    """CSV with a header, every field quoted, white space kept; ``mode`` is Spark's, or
+    ``warn_overwrite`` (warn, then overwrite)."""
+    (df.write.mode(_mode(df, path, mode)).option("header", True).option("sep", sep).option("encoding", encoding)
+     .option("quote", '"').option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 
 
@@ -78,3 +81,32 @@ def write_fold_predictions(pred: DataFrame, path: str, chunks: int | None = None
     out = g.select("fold", F.col("rs.y_true").alias("y_true"), F.col("rs.y_score").alias("y_score"),
                    F.col("rs.y_pred").alias("y_pred"))
     out.write.mode(mode).json(path)
+
+
+def write_nested_corpus_json(tweets: DataFrame, path: str, chunks: int | None = None, mode: str = "overwrite") -> None:
+    """A6 writer: JSON lines ``{"Corpus": c, "Tweets": [{tweet_id, tweet_text, annotations: [...]}]}``.
+    Each corpus is split into hash chunks, so no record holds a whole corpus."""
+    n = chunks or int(tweets.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    per_tweet = tweets.groupBy("corpus", "tweet_id", "tweet_text").agg(
+        F.collect_list(F.struct(F.col("annotator").cast("string").alias("annotator"), "annotation")).alias("annotations"))
+    ch = F.pmod(F.xxhash64("tweet_id"), F.lit(n))
+    recs = per_tweet.groupBy(F.col("corpus").alias("Corpus"), ch.alias("_chunk")).agg(
+        F.collect_list(F.struct("tweet_id", "tweet_text", "annotations")).alias("Tweets"))
+    recs.select("Corpus", "Tweets").write.mode(mode).json(path)
+
+
+def write_keyed_json(df: DataFrame, key: str, value_cols: list[str], path: str, chunks: int | None = None,
+                     mode: str = "overwrite") -> None:
+    """A7 writer: object-keyed JSON files ``{key: {value...}}``, several files (hash chunks), one
+    object per file."""
+    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    ch = F.pmod(F.xxhash64(key), F.lit(n))
+    g = df.groupBy(ch.alias("_chunk")).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col(key).cast("string"), F.struct(*value_cols)))).alias("m"))
+    g.select(F.to_json("m").alias("value")).repartition(n).write.mode(mode).text(path)
+
+
+def write_word_vectors(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A11 writer: ``token v1 ... vd`` text lines, no header."""
+    line = F.concat_ws(" ", F.col("token"), F.array_join(F.transform("vec", lambda v: v.cast("string")), " "))
+    vectors.select(line.alias("value")).write.mode(mode).text(path)
