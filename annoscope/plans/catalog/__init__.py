@@ -13,4 +13,5 @@ from annoscope.plans.catalog import (  # noqa: F401
     vectors,
     fitted,
     io,
+    streaming,
 )
