@@ -34,10 +34,16 @@ def filter_highlights(hl: DataFrame, min_focus: float = MIN_FOCUS_SECONDS, exclu
     return h.join(keep, "document_id", "left_semi")
 
 
-def highlight_spans(hl: DataFrame, articles: DataFrame) -> DataFrame:
-    """B1 + B29: normalised highlight located in its normalised article (first occurrence,
-    code-point offsets); not found -> dropped; NULL content -> dropped."""
-    a = articles.select("document_id", normalize_text("text").alias("_art"))
+def normalized_articles(articles: DataFrame) -> DataFrame:
+    """B1 on the article texts, hash-partitioned by document. Both consumers (highlight search and
+    sentence spans) read this one exchange, so every article is normalised once."""
+    return articles.select("document_id", normalize_text("text").alias("text")).repartition("document_id")
+
+
+def highlight_spans(hl: DataFrame, articles_n: DataFrame) -> DataFrame:
+    """B1 + B29: normalised highlight located in its (already normalised) article: first
+    occurrence, code-point offsets; not found -> dropped; NULL content -> dropped."""
+    a = articles_n.select("document_id", F.col("text").alias("_art"))
     h = hl.where(F.col("content").isNotNull()).select("coder_id", "document_id", "assigned_domain",
                                                       normalize_text("content").alias("_hl"))
     j = h.join(a, "document_id", "inner")
@@ -51,9 +57,10 @@ def sentence_group_hits(hl: DataFrame, articles: DataFrame, bin_size: int = 256)
     """For every (coder, document, domain) group and every sentence of the document,
     the number of the group's highlights overlapping the sentence (0 = negative)."""
     groups = hl.select("coder_id", "document_id", "assigned_domain").distinct()
-    art = articles.select(F.col("document_id").alias("id"), normalize_text("text").alias("text"))
-    sents = sentence_spans(art, pattern=SENTENCE_PATTERN).withColumnRenamed("id", "document_id")
-    spans = highlight_spans(hl, articles)
+    art = normalized_articles(articles)
+    sents = sentence_spans(art.withColumnRenamed("document_id", "id"), pattern=SENTENCE_PATTERN) \
+        .withColumnRenamed("id", "document_id")
+    spans = highlight_spans(hl, art)
     hits = overlap_join(sents.select("document_id", "sent_no", F.col("start").alias("s_start"), F.col("end").alias("s_end")),
                         spans, ["document_id"], ("s_start", "s_end"), ("h_start", "h_end"), bin_size)
     cnt = hits.groupBy("coder_id", "document_id", "assigned_domain", "sent_no").agg(F.count(F.lit(1)).alias("n_hits"))
@@ -85,10 +92,22 @@ def content_token_array(text_col: str = "sentence", stop_words: Sequence[str] |
     return F.transform(F.filter(stripped, lambda t: F.length(t) >= min_len), lambda t: F.lower(t))
 
 
-def with_content_tokens(counts: DataFrame, min_tokens: int = 3) -> DataFrame:
-    """Add ``tokens`` and ``length``; keep sentences with at least ``min_tokens`` tokens."""
-    t = counts.withColumn("tokens", content_token_array("sentence"))
-    return t.withColumn("length", F.size("tokens")).where(F.col("length") >= min_tokens)
+def with_content_tokens(counts: DataFrame, min_tokens: int = 3, stop_words: Sequence[str] | None = None,
+                        bad_strings: Sequence[str] = BAD_STRINGS, min_len: int = 3) -> DataFrame:
+    """C3 + C6: add ``tokens`` (content tokens in text order) and ``length``; keep sentences with at
+    least ``min_tokens`` tokens.
+
+    Tokens are exploded and filtered with hashed ``IN`` sets (stop words, bad strings), then
+    gathered back per sentence. ``counts`` is already partitioned by ``sentence``, so gathering
+    back needs no new shuffle.
+    """
+    stop_words = default_stop_words() if stop_words is None else tuple(stop_words)
+    ex = counts.select("sentence", F.posexplode(F.regexp_extract_all("sentence", F.lit(TOKEN_PATTERN), 0)).alias("p", "t"))
+    ex = ex.where(~F.lower("t").isin([b.lower() for b in bad_strings]) & ~F.col("t").isin(list(stop_words)))
+    ex = ex.select("sentence", "p", F.lower(F.regexp_replace("t", r"[^\p{L}]", "")).alias("t")).where(F.length("t") >= min_len)
+    toks = ex.groupBy("sentence").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]).alias("tokens"))
+    toks = toks.withColumn("length", F.size("tokens")).where(F.col("length") >= min_tokens)
+    return counts.join(toks, "sentence", "inner")
 
 
 def map_labels(rows: DataFrame, label_map: DataFrame, col: str = "annotation", sep: str = ",",

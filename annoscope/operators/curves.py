@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from annoscope.operators.prefix import exact_percentiles, running_totals, with_next, with_prev
 
@@ -43,7 +44,8 @@ def ranked_counts(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s
     cum = running_totals(counts, g, "score", ["pos", "neg", "_one"], descending=descending)
     cum = cum.select(*g, "score", "pos", "neg", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"),
                      F.col("cum__one").alias("k"))
-    return _join_totals(cum, _totals(counts, g), g)
+    # one row per distinct score: small next to the input, and every curve reads it several times
+    return _join_totals(cum, _totals(counts, g), g).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def roc_vertices(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s: str = "y_score",

@@ -1,8 +1,10 @@
 """Lexicons and lexicon scoring.
 
 Scoring is ``token table ⋈ lexicon`` then one ``groupBy(id)`` (one shuffle by document id, with
-map-side partial aggregation). Lexicons are small dictionaries, so their join side is broadcast
-behind a capped-count check; the token table is never shuffled for the join.
+map-side partial aggregation). The lexicon side is sized by Spark, not guessed: an inline lexicon
+has exact statistics and is planned as a broadcast; a derived one is broadcast by AQE at run time
+only when its materialised size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``, else
+the join stays a shuffle join. Repeated tokens are pre-aggregated per document before the join.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from annoscope.schema import CATEGORIES, POLES, dimensions
-from annoscope.plans.sizing import checked_broadcast
 
 # Old category and pole spellings mapped to the current names.
 CATEGORY_ALIASES: dict[str, str] = {"harm": "care", "ingroup": "loyalty", "purity": "sanctity"}
@@ -84,6 +85,18 @@ def lexicon_venn(a: DataFrame, b: DataFrame, c: DataFrame, names: Sequence[str]
     return per_word.groupBy(*[f"in_{n}" for n in names]).agg(F.count(F.lit(1)).alias("n_words"))
 
 
+def lexicon_set_ops(a: DataFrame, b: DataFrame, c: DataFrame) -> dict[str, DataFrame]:
+    """The explicit set forms — words only in one set (difference of differences), in two
+    sets but not the third, and in all three. ``lexicon_venn`` gives all seven sizes in one pass."""
+    wa, wb, wc = (x.select("word").distinct() for x in (a, b, c))
+    return {
+        "only_a": wa.exceptAll(wb).exceptAll(wc), "only_b": wb.exceptAll(wa).exceptAll(wc),
+        "only_c": wc.exceptAll(wa).exceptAll(wb),
+        "a_b_not_c": wa.intersect(wb).exceptAll(wc), "a_c_not_b": wa.intersect(wc).exceptAll(wb),
+        "b_c_not_a": wb.intersect(wc).exceptAll(wa), "all": wa.intersect(wb).intersect(wc),
+    }
+
+
 def score_lexicon(tokens: DataFrame, lexicon: DataFrame, categories: Sequence[str] = CATEGORIES,
                   sentiment: bool = False, normalize: bool = True, ids: DataFrame | None = None) -> DataFrame:
     """Word-count scores.
@@ -94,13 +107,12 @@ def score_lexicon(tokens: DataFrame, lexicon: DataFrame, categories: Sequence[st
     ``ids`` (one row per document) keeps documents without any token; default: the token table's ids.
     """
     dims = dimensions(categories)
-    lex = checked_broadcast(lexicon.select("word", "dim"), max_rows=5_000_000, row_bytes=48)
+    lex = lexicon.select("word", "dim")
     # Pre-aggregate repeated tokens per document before the lexicon join.
     has_lemma = "lemma" in tokens.columns
     keys = ["id", "token"] + (["lemma"] if has_lemma else [])
     tok = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
     by_tok = lex.groupBy("word").agg(F.collect_list("dim").alias("dims_t"))
-    by_tok = checked_broadcast(by_tok, max_rows=5_000_000, row_bytes=96)
     j = tok.join(by_tok, tok["token"] == by_tok["word"], "left").drop("word")
     if has_lemma:
         by_lem = by_tok.select(F.col("word").alias("_lw"), F.col("dims_t").alias("dims_l"))
@@ -133,7 +145,7 @@ def score_problex(content: DataFrame, lexicon_b: DataFrame, categories: Sequence
     ``{c}_virtue`` when ``{c}_sent >= 0`` else ``{c}_vice`` (NULL sent -> vice), normalised by the
     per-dimension match count (0 -> 1).
     """
-    lex = checked_broadcast(lexicon_b, max_rows=5_000_000, row_bytes=16 * (1 + 2 * len(categories)))
+    lex = lexicon_b
     tok = content.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
     j = tok.join(lex, tok["token"] == lex["word"], "inner")
     if not sentiment:

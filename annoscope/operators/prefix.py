@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from annoscope.session import checkpoint_dir
+from pyspark.storagelevel import StorageLevel
 
 _PID = "_slice"
 
@@ -37,10 +37,10 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_col: str, sum
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     ranged = df.repartitionByRange(_partitions(df, partitions), *[F.col(c) for c in g], order)
     # The slice id must be identical for the two consumers below (local sums and slice totals).
-    # Range bounds come from sampling the input, whose row order may differ between executions,
-    # so the sliced rows are checkpointed once to the shared checkpoint folder.
-    checkpoint_dir(df.sparkSession)
-    sliced = ranged.withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
+    # Range bounds come from sampling the input, whose row order may differ between two
+    # executions, so the sliced rows are persisted once and both consumers read the same blocks.
+    # A lost block is recomputed from the same shuffle (fixed range bounds), so ids stay stable.
+    sliced = ranged.withColumn(_PID, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     w_local = Window.partitionBy(_PID, *g).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
     totals = sliced.groupBy(_PID, *g).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
@@ -89,7 +89,7 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     """
     g = list(group_cols)
     base = df.where(F.col(value_col).isNotNull()).select(*g, F.col(value_col).cast("double").alias("_v"))
-    counts = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
     cum = running_totals(counts, g, "_v", ["_n"], partitions=partitions)
     cum = cum.select(*g, "_v", (F.col("cum__n") - F.col("_n")).alias("_lo_pos"), (F.col("cum__n") - 1).alias("_hi_pos"))
     sizes = counts.groupBy(*g).agg(F.sum("_n").alias("_N"))

@@ -109,16 +109,15 @@ def sentence_spans(texts: DataFrame, id_col: str = "id", text_col: str = "text",
                    pattern: str = SENTENCE_PATTERN) -> DataFrame:
     """``(id, sent_no, start, end, sentence)`` with half-open character spans.
 
-    Offsets are a running sum of sentence lengths *inside the row* (``aggregate`` over the array),
-    so there is no window and no shuffle; a document is never split across tasks anyway.
+    Sentences are ``posexplode``d and offsets are a running sum of sentence lengths over a window
+    per document; a window partition is one document's sentences (bounded by a single text), and
+    input already partitioned by the id needs no further shuffle.
     """
-    sents = F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)
-    lens = F.transform(sents, lambda s: F.length(s))
-    ends = F.transform(lens, lambda _l, i: F.aggregate(F.slice(lens, 1, i + 1), F.lit(0), lambda a, b: a + b))
-    z = F.arrays_zip(sents.alias("sentence"), ends.alias("end"), lens.alias("len"))
-    df = texts.select(F.col(id_col).alias("id"), F.posexplode(z).alias("sent_no", "s"))
-    return df.select("id", "sent_no", (F.col("s.end") - F.col("s.len")).alias("start"),
-                     F.col("s.end").alias("end"), F.col("s.sentence").alias("sentence"))
+    df = texts.select(F.col(id_col).alias("id"),
+                      F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("sent_no", "sentence"))
+    w = Window.partitionBy("id").orderBy("sent_no").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("end", F.sum(F.length("sentence")).over(w).cast("int"))
+    return df.select("id", "sent_no", (F.col("end") - F.length("sentence")).alias("start"), "end", "sentence")
 
 
 def subword_merge(pieces: DataFrame, marker: str = "Ġ", strip_left: bool = True, strip_right: bool = True,

@@ -131,17 +131,23 @@ def group_median(spark, sf):
 
 # ---------------------------------------------------------------- posts × verdicts (5×5)
 
+def category_thresholds(df, level: float, prefix: str, categories=CATEGORIES):
+    """One-row table ``{prefix}{c}`` = the ``level``-th percentile of ``{c}_score``: the wide
+    scores are unpivoted once and all categories go through one grouped exact selection."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"{c}_score").alias("s"))
+                                         for c in categories])).alias("r")).select("r.category", "r.s")
+    t = percentile_threshold(long, ["category"], "s", level)
+    return t.groupBy().pivot("category", list(categories)).agg(F.first("threshold")) \
+        .select(*[F.col(c).alias(f"{prefix}{c}") for c in categories])
+
+
 def _flagged(spark, sf):
     """Filtered posts and their verdict comments with top-20 % flags (``>=`` the 80th percentile,
     posts against posts, verdicts against all filtered comments)."""
     posts = fx.posts(spark, sf).join(SC.filtered_posts(spark, sf).select("id"), "id", "left_semi")
     comments = SC.filtered_comments(spark, sf)
     v = SC.verdicts(spark, sf)
-    pthr = [percentile_threshold(posts, [], f"{c}_score", LEVEL, name=f"pt_{c}") for c in CATEGORIES]
-    cthr = [percentile_threshold(comments, [], f"{c}_score", LEVEL, name=f"ct_{c}") for c in CATEGORIES]
-    thr = pthr[0]
-    for t in pthr[1:] + cthr:
-        thr = thr.crossJoin(t)   # one-row tables
+    thr = category_thresholds(posts, LEVEL, "pt_").crossJoin(category_thresholds(comments, LEVEL, "ct_"))  # 1 row × 1 row
     vc = comments.join(v.select(F.col("verdict_id").alias("id")), "id", "left_semi")
     j = posts.join(vc.select(F.col("post_id").alias("id"), *[F.col(f"{c}_score").alias(f"v_{c}") for c in CATEGORIES]), "id")
     j = j.crossJoin(F.broadcast(thr))
@@ -199,11 +205,7 @@ def stat_condprob(spark, sf):
 
 def _comment_flags(spark, sf):
     c = SC.filtered_comments(spark, sf)
-    thr = None
-    for cat in CATEGORIES:
-        t = percentile_threshold(c, [], f"{cat}_score", LEVEL, name=f"ct_{cat}")
-        thr = t if thr is None else thr.crossJoin(t)
-    c = c.crossJoin(F.broadcast(thr))
+    c = c.crossJoin(F.broadcast(category_thresholds(c, LEVEL, "ct_")))  # one-row table
     side = F.col("label").isin("YTA", "ESH").cast("int")
     return c.select("post_id", side.alias("ya"), F.explode(F.array(*[
         F.struct(F.lit(cat).alias("category"), (F.col(f"{cat}_score") >= F.col(f"ct_{cat}")).cast("int").alias("flag"))
