@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from annoscope.plans.sizing import maybe_broadcast
 from annoscope.schema import CATEGORIES, POLES, dimensions
 
 # Old category and pole spellings mapped to the current names.
@@ -98,21 +99,29 @@ def lexicon_set_ops(a: DataFrame, b: DataFrame, c: DataFrame) -> dict[str, DataF
 
 
 def score_lexicon(tokens: DataFrame, lexicon: DataFrame, categories: Sequence[str] = CATEGORIES,
-                  sentiment: bool = False, normalize: bool = True, ids: DataFrame | None = None) -> DataFrame:
+                  sentiment: bool = False, normalize: bool = True, ids: DataFrame | None = None,
+                  lexicon_rows: int | None = None) -> DataFrame:
     """Word-count scores.
 
     ``tokens(id, pos, token[, lemma])``; ``lexicon(word, dim)`` long form. For each token the dims
     of the token are used, else the dims of its lemma; each dim counts +1. ``normalize`` divides
     by the document's token count (when > 0). Without ``sentiment`` the poles are summed.
     ``ids`` (one row per document) keeps documents without any token; default: the token table's ids.
+
+    ``lexicon_rows`` is a known bound on the lexicon's size (e.g. an inline lexicon): then the
+    lexicon is broadcast and token rows are scored where they are, leaving one shuffle (the
+    per-document aggregation, combined map-side). Without a bound, repeated tokens are first
+    pre-aggregated per document and the join is sized by AQE at run time.
     """
     dims = dimensions(categories)
-    lex = lexicon.select("word", "dim")
-    # Pre-aggregate repeated tokens per document before the lexicon join.
+    by_tok = lexicon.select("word", "dim").groupBy("word").agg(F.collect_list("dim").alias("dims_t"))
     has_lemma = "lemma" in tokens.columns
-    keys = ["id", "token"] + (["lemma"] if has_lemma else [])
-    tok = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
-    by_tok = lex.groupBy("word").agg(F.collect_list("dim").alias("dims_t"))
+    if lexicon_rows is not None:
+        by_tok = maybe_broadcast(by_tok, lexicon_rows, row_bytes=96)
+        tok = tokens.select("id", "token", *(["lemma"] if has_lemma else []), F.lit(1).cast("long").alias("tf"))
+    else:
+        keys = ["id", "token"] + (["lemma"] if has_lemma else [])
+        tok = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
     j = tok.join(by_tok, tok["token"] == by_tok["word"], "left").drop("word")
     if has_lemma:
         by_lem = by_tok.select(F.col("word").alias("_lw"), F.col("dims_t").alias("dims_l"))

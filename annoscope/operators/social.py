@@ -100,9 +100,11 @@ def topic_pair_rates(radar: DataFrame, categories: Sequence[str] = CATEGORIES, t
     rates = lf.groupBy(t1.alias("topic_a"), t2.alias("topic_b"), "side", "category").agg(
         F.count(F.lit(1)).alias("n"), F.avg("post_flag").alias("post_rate"), F.avg("verdict_flag").alias("verdict_rate"))
     topics = radar.select(F.col("topic_1").alias("t")).union(radar.select(F.col("topic_2").alias("t"))).distinct()
-    n_topics = topics.limit(max_topics + 1).count()
-    if n_topics > max_topics:
-        raise ValueError(f"more than {max_topics} topics; the pair spine would not be bounded")
+    # lazy guard inside the same job: fail instead of building an unbounded spine
+    n_topics = topics.agg(F.count(F.lit(1)).alias("_nt"))
+    topics = topics.crossJoin(F.broadcast(n_topics)).where(
+        F.assert_true(F.col("_nt") <= max_topics, f"more than {max_topics} topics; the pair spine would not be bounded").isNull()
+    ).select("t")
     ta, tb = topics.select(F.col("t").alias("topic_a")), topics.select(F.col("t").alias("topic_b"))
     pairs = F.broadcast(ta).join(F.broadcast(tb), F.col("topic_a") < F.col("topic_b"))
     dims = lf.select("side", "category").distinct()

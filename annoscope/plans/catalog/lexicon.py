@@ -137,7 +137,7 @@ FROM documents d LEFT JOIN per p ON p.id = d.doc_id"""
 def score_lexicon(spark, sf):
     tok = T.with_lemma(T.token_table(fx.texts(spark, sf)), fx.lemma_map(spark), lemma_rows=len(fx.LEMMA_ROWS))
     ids = fx.texts(spark, sf).select("id")
-    return rounded(L.score_lexicon(tok, fx.lexicon_a(spark), ids=ids))
+    return rounded(L.score_lexicon(tok, fx.lexicon_a(spark), ids=ids, lexicon_rows=len(fx.LEXICON_A_ROWS)))
 
 
 # ---- score_problex / score_problex_sent ----
