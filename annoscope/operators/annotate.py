@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from annoscope.functions.predicates import none_label, tristate_label, twostate_label
 from annoscope.functions.text import SENTENCE_PATTERN, TOKEN_PATTERN, normalize_text
 from annoscope.operators.intervals import overlap_join
+from annoscope.plans.sizing import maybe_broadcast
 from annoscope.operators.text import BAD_STRINGS, default_stop_words, sentence_spans
 from annoscope.schema import CATEGORIES, NONE_CATEGORY
 
@@ -111,11 +112,12 @@ def with_content_tokens(counts: DataFrame, min_tokens: int = 3, stop_words: Sequ
 
 
 def map_labels(rows: DataFrame, label_map: DataFrame, col: str = "annotation", sep: str = ",",
-               check: bool = True) -> DataFrame:
+               check: bool = True, map_rows: int | None = None) -> DataFrame:
     """Split a comma list of raw labels and map each to its category. An unknown raw label is
-    an error (checked with a left-anti join, as the reference's dictionary lookup raises)."""
+    an error (checked with a left-anti join, as the reference's dictionary lookup raises).
+    ``map_rows`` (a known size of the label map) lets the map be broadcast."""
     ex = rows.select("*", F.explode(F.split(F.col(col), sep)).alias("raw"))
-    m = F.broadcast(label_map.select("raw", "category"))
+    m = maybe_broadcast(label_map.select("raw", "category"), map_rows, row_bytes=64)
     if check:
         unknown = ex.join(m, "raw", "left_anti").select("raw").limit(5).collect()
         if unknown:

@@ -115,14 +115,14 @@ mapped AS (SELECT ex.*, m.category FROM ex JOIN reddit_map m USING (raw))
 @register("annot_map", "annotation", sql=_MAPPED_SQL + "SELECT doc_id, annotator, raw, category FROM mapped")
 def annot_map(spark, sf):
     m = spark.createDataFrame(list(fx.REDDIT_LABEL_MAP), "raw string, category string")
-    return A.map_labels(fx.reddit_annotations(spark, sf), m).select("doc_id", "annotator", "raw", "category")
+    return A.map_labels(fx.reddit_annotations(spark, sf), m, map_rows=len(fx.REDDIT_LABEL_MAP)).select("doc_id", "annotator", "raw", "category")
 
 
 @register("annot_counts_distinct", "annotation", sql=_MAPPED_SQL + "SELECT text, " + ", ".join(
     f"count_if(category = '{c}') AS {c}" for c in ALL6) + " FROM mapped GROUP BY text")
 def annot_counts_distinct(spark, sf):
     m = spark.createDataFrame(list(fx.REDDIT_LABEL_MAP), "raw string, category string")
-    return A.count_labels(A.map_labels(fx.reddit_annotations(spark, sf), m), ["text"])
+    return A.count_labels(A.map_labels(fx.reddit_annotations(spark, sf), m, map_rows=len(fx.REDDIT_LABEL_MAP)), ["text"])
 
 
 @register("annot_counts_rows", "annotation", sql=S.with_(S.TWEETS, S.TWITTER_MAP) + """, ex AS (
@@ -131,7 +131,7 @@ def annot_counts_distinct(spark, sf):
 SELECT corpus, tweet_id, """ + ", ".join(f"count_if(category = '{c}') AS {c}" for c in ALL6) + " FROM mapped GROUP BY ALL")
 def annot_counts_rows(spark, sf):
     m = spark.createDataFrame(list(fx.TWITTER_LABEL_MAP), "raw string, category string")
-    return A.count_labels(A.map_labels(fx.tweets_flat(spark, sf), m), ["corpus", "tweet_id"])
+    return A.count_labels(A.map_labels(fx.tweets_flat(spark, sf), m, map_rows=len(fx.TWITTER_LABEL_MAP)), ["corpus", "tweet_id"])
 
 
 # ---------------------------------------------------------------- multi-hot

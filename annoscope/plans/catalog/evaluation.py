@@ -259,3 +259,44 @@ def topk_hard_positive(spark, sf):
     s = fx.scored_folds(spark, sf).where(F.col("y_true") == 1)
     w = Window.partitionBy(*G2).orderBy("y_score", "id")
     return s.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select(*G2, "id", "y_score")
+
+
+# ---------------------------------------------------------------- AUC by method × category × corpus
+
+def _methods_long(spark, sf):
+    """Two scorers of the same labelled documents in long form: the binary scorer fixture and the
+    word-count lexicon scores (A16: pre-scored inputs united by name with a method column)."""
+    from annoscope.plans.catalog.lexicon import lexicon_scores
+    from annoscope.schema import CATEGORIES
+
+    a = fx.scored_folds(spark, sf).select(F.lit("scorer").alias("method"), "category", "corpus", "id", "y_true", "y_score")
+    lab = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y_true"))
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("corpus"))
+    lex = lexicon_scores(spark, sf).join(lab, "id").join(docs, "id")
+    b = lex.select(F.lit("lexicon").alias("method"), "corpus", "id", "y_true", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("category"), F.col(c).alias("y_score")) for c in CATEGORIES])).alias("r")) \
+        .select("method", F.col("r.category").alias("category"), "corpus", "id", "y_true", F.col("r.y_score").alias("y_score"))
+    return a.unionByName(b)
+
+
+def _methods_sql():
+    from annoscope.plans.catalog.lexicon import SCORE_LEX_CTES
+    from annoscope.schema import CATEGORIES
+
+    lex_long = " UNION ALL ".join(
+        f"SELECT 'lexicon' AS method, '{c}' AS category, d.lang AS corpus, x.id, l.quality AS y_true, x.{c} AS y_score "
+        f"FROM lexscores x JOIN labels l ON l.doc_id = x.id JOIN documents d ON d.doc_id = x.id" for c in CATEGORIES)
+    return ("WITH " + SCORE_LEX_CTES + ",\n" + S.SCORED_FOLDS + f""",
+mlong AS (SELECT 'scorer' AS method, category, corpus, id, y_true, y_score FROM scored_folds UNION ALL {lex_long}),
+""" + S.ranked_ctes("mlong", ["method", "category", "corpus"]) + f""",
+auc AS (SELECT method, category, corpus, sum(neg * (tps - pos / 2.0)) / (max(n_pos) * max(n_neg)) AS auc
+        FROM rc WHERE n_pos > 0 AND n_neg > 0 GROUP BY ALL)
+SELECT method, category, {', '.join(f"round(max(CASE WHEN corpus = '{c}' THEN round(auc, 2) END), 6) AS {c}" for c in CORPORA)}
+FROM auc GROUP BY method, category""")
+
+
+@register("eval_auc_methods", "evaluation", sql=_methods_sql())
+def eval_auc_methods(spark, sf):
+    auc = C.auc_roc(_methods_long(spark, sf), ["method", "category", "corpus"])
+    wide = auc.groupBy("method", "category").pivot("corpus", list(CORPORA)).agg(F.first(F.round("auc", 2)))
+    return rounded(wide)

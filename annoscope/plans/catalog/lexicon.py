@@ -122,24 +122,32 @@ def _dim_sum(d):
     return f"sum(CASE WHEN list_contains(dims, {S.q(d)}) THEN 1 ELSE 0 END)"
 
 
-_SCORE_LEX_SQL = S.with_(S.TOKENS, S.LEMMA_MAP, S.LEXICON_A) + f""", tl AS (
+# CTE list (without WITH) shared with the method-comparison query; ``lexscores`` is the result.
+SCORE_LEX_CTES = ",\n".join([S.TOKENS, S.LEMMA_MAP, S.LEXICON_A]) + f""", tl AS (
   SELECT t.id, t.token, coalesce(trim(lower(m.lemma)), trim(lower(t.token))) AS lemma
   FROM tokens t LEFT JOIN lemma_map m ON m.token = t.token
 ), lx AS (SELECT word, list(dim) AS dims FROM lexicon_a GROUP BY word),
 hits AS (SELECT tl.id, coalesce(a.dims, b.dims) AS dims FROM tl LEFT JOIN lx a ON a.word = tl.token LEFT JOIN lx b ON b.word = tl.lemma),
-per AS (SELECT id, count(*) AS n_tokens, {', '.join(f'{_dim_sum(d)} AS {d}' for d in DIMENSIONS)} FROM hits GROUP BY id)
-SELECT d.doc_id AS id, coalesce(p.n_tokens, 0) AS n_tokens,
-  {', '.join(f"round(CASE WHEN coalesce(p.n_tokens, 0) > 0 THEN p.{c}_virtue / p.n_tokens + p.{c}_vice / p.n_tokens ELSE coalesce(p.{c}_virtue + p.{c}_vice, 0) END, 6) AS {c}" for c in CATEGORIES)}
-FROM documents d LEFT JOIN per p ON p.id = d.doc_id"""
+per AS (SELECT id, count(*) AS n_tokens, {', '.join(f'{_dim_sum(d)} AS {d}' for d in DIMENSIONS)} FROM hits GROUP BY id),
+lexscores AS (
+  SELECT d.doc_id AS id, coalesce(p.n_tokens, 0) AS n_tokens,
+    {', '.join(f"round(CASE WHEN coalesce(p.n_tokens, 0) > 0 THEN p.{c}_virtue / p.n_tokens + p.{c}_vice / p.n_tokens ELSE coalesce(p.{c}_virtue + p.{c}_vice, 0) END, 6) AS {c}" for c in CATEGORIES)}
+  FROM documents d LEFT JOIN per p ON p.id = d.doc_id
+)"""
+_SCORE_LEX_SQL = "WITH " + SCORE_LEX_CTES + "\nSELECT * FROM lexscores"
 
 
-@register("score_lexicon", "lexicon", sql=_SCORE_LEX_SQL)
-def score_lexicon(spark, sf):
+def lexicon_scores(spark, sf):
     tok = T.with_lemma(T.token_table(fx.texts(spark, sf)), fx.lemma_map(spark), lemma_rows=len(fx.LEMMA_ROWS))
     ids = fx.texts(spark, sf).select("id")
     return rounded(L.score_lexicon(tok, fx.lexicon_a(spark), ids=ids, lexicon_rows=len(fx.LEXICON_A_ROWS)))
 
 
+@register("score_lexicon", "lexicon", sql=_SCORE_LEX_SQL)
+def score_lexicon(spark, sf):
+    return lexicon_scores(spark, sf)
+
+
 # ---- score_problex / score_problex_sent ----
 
 _CONTENT_CTE = f"""content AS (

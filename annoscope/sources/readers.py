@@ -76,12 +76,15 @@ def read_nested_json(spark: SparkSession, path: str, schema: T.StructType = TWEE
 FRAME_VALUE = "struct<text:string,`author-label`:int,issue:string>"
 
 
-def read_map_json(spark: SparkSession, paths: dict[str, str], value_type: str = FRAME_VALUE) -> DataFrame:
-    """One object-keyed JSON file per category ``{id: {...}}``; the key is the id and the
-    category is added as a literal; files unioned by name; party decoded (1 -> democratic)."""
+def read_map_json(spark: SparkSession, paths: dict[str, str], value_type: str = FRAME_VALUE,
+                  one_object_per_line: bool = True) -> DataFrame:
+    """Object-keyed JSON per category ``{id: {...}}``; the key is the id and the category
+    is added as a literal; categories unioned by name; party decoded (1 -> democratic).
+    Objects are read one per line (files split across tasks); ``one_object_per_line=False`` reads
+    each file whole, for files that hold a single pretty-printed object."""
     parts = []
     for category, path in paths.items():
-        raw = spark.read.text(path, wholetext=True)
+        raw = spark.read.text(path, wholetext=not one_object_per_line)
         m = F.from_json(F.col("value"), f"map<string,{value_type}>")
         p = raw.select(F.explode(m).alias("id", "v")).select(
             "id", F.col("v.text").alias("text"), F.col("v.issue").alias("issue"),

@@ -44,9 +44,22 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(_mode(df, path, mode)).json(path)
 
 
-def write_grouped_json(df: DataFrame, key: str, value: str, path: str, mode: str = "overwrite") -> None:
-    """``{key: [values]}`` objects, one line per key (``collect_list`` per key, distributed)."""
-    g = df.groupBy(key).agg(F.collect_list(value).alias(value))
+# Largest number of values gathered into one JSON record by the writers below.
+RECORD_ROWS = 10_000
+
+
+def _record_chunk(rows: int = RECORD_ROWS):
+    """Chunk id that puts at most ``rows`` consecutive rows of a partition into one record."""
+    return F.floor(F.monotonically_increasing_id() / F.lit(rows))
+
+
+def write_grouped_json(df: DataFrame, key: str, value: str, path: str, mode: str = "overwrite",
+                       record_rows: int = RECORD_ROWS) -> None:
+    """``{key: [values]}`` objects, one line per key and chunk (``collect_list`` per key,
+    distributed). A hot key is spread over several records of at most ``record_rows`` values;
+    readers concatenate records of the same key."""
+    g = df.select(key, value, _record_chunk(record_rows).alias("_chunk")).groupBy(key, "_chunk") \
+        .agg(F.collect_list(value).alias(value)).drop("_chunk")
     write_json_lines(g, path, mode)
 
 
@@ -68,15 +81,13 @@ def write_dic(entries: DataFrame, path: str, codes: Sequence[tuple[str, str]], p
     files.select("value").repartition(n).write.mode(mode).text(path)
 
 
-def write_fold_predictions(pred: DataFrame, path: str, chunks: int | None = None, mode: str = "overwrite") -> None:
+def write_fold_predictions(pred: DataFrame, path: str, record_rows: int = RECORD_ROWS, mode: str = "overwrite") -> None:
     """A15 writer: JSON lines ``{"fold":k,"y_true":[...],"y_score":[...],"y_pred":[...]}``.
 
-    A fold is written as several records (hash chunks of its rows), so no record holds a whole
-    fold; readers concatenate records of the same fold.
+    A fold is written as several records of at most ``record_rows`` predictions, so no record
+    holds a whole fold; readers concatenate records of the same fold.
     """
-    n = chunks or int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    ch = F.pmod(F.xxhash64(*[F.col(c) for c in pred.columns]), F.lit(n))
-    rows = pred.select("fold", ch.alias("chunk"), F.struct("y_true", "y_score", "y_pred").alias("r"))
+    rows = pred.select("fold", _record_chunk(record_rows).alias("chunk"), F.struct("y_true", "y_score", "y_pred").alias("r"))
     g = rows.groupBy("fold", "chunk").agg(F.collect_list("r").alias("rs"))
     out = g.select("fold", F.col("rs.y_true").alias("y_true"), F.col("rs.y_score").alias("y_score"),
                    F.col("rs.y_pred").alias("y_pred"))
@@ -95,15 +106,13 @@ def write_nested_corpus_json(tweets: DataFrame, path: str, chunks: int | None =
     recs.select("Corpus", "Tweets").write.mode(mode).json(path)
 
 
-def write_keyed_json(df: DataFrame, key: str, value_cols: list[str], path: str, chunks: int | None = None,
+def write_keyed_json(df: DataFrame, key: str, value_cols: list[str], path: str, record_rows: int = RECORD_ROWS,
                      mode: str = "overwrite") -> None:
-    """A7 writer: object-keyed JSON files ``{key: {value...}}``, several files (hash chunks), one
-    object per file."""
-    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    ch = F.pmod(F.xxhash64(key), F.lit(n))
-    g = df.groupBy(ch.alias("_chunk")).agg(F.map_from_entries(F.collect_list(F.struct(
+    """A7 writer: object-keyed JSON ``{key: {value...}}``, one object per record of at most
+    ``record_rows`` keys; records are written as separate text rows (one object per line)."""
+    g = df.withColumn("_chunk", _record_chunk(record_rows)).groupBy("_chunk").agg(F.map_from_entries(F.collect_list(F.struct(
         F.col(key).cast("string"), F.struct(*value_cols)))).alias("m"))
-    g.select(F.to_json("m").alias("value")).repartition(n).write.mode(mode).text(path)
+    g.select(F.to_json("m").alias("value")).write.mode(mode).text(path)
 
 
 def write_word_vectors(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:

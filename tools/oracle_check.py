@@ -85,39 +85,39 @@ def main():
             srows = [tuple(r) for r in sdf.collect()]
             scols = sdf.columns
         except Exception as e:  # noqa: BLE001
-            print(f"FAIL {k}: spark error {type(e).__name__}: {str(e)[:600]}")
+            print(f"FAIL {k}: spark error {type(e).__name__}: {str(e)[:600]}", flush=True)
             bad += 1
             continue
         ts = time.time() - t0
         if q.sql is None:
-            print(f"ROWS {k}: {len(srows)} rows (no oracle) {ts:.1f}s")
+            print(f"ROWS {k}: {len(srows)} rows (no oracle) {ts:.1f}s", flush=True)
             continue
         try:
             res = con.execute(q.sql)
             dcols = [d[0] for d in res.description]
             drows = res.fetchall()
         except Exception as e:  # noqa: BLE001
-            print(f"FAIL {k}: duckdb error {str(e)[:600]}")
+            print(f"FAIL {k}: duckdb error {str(e)[:600]}", flush=True)
             bad += 1
             continue
         if sorted(scols) != sorted(dcols):
-            print(f"FAIL {k}: columns spark={sorted(scols)} duck={sorted(dcols)}")
+            print(f"FAIL {k}: columns spark={sorted(scols)} duck={sorted(dcols)}", flush=True)
             bad += 1
             continue
         sr, dr = rows_of(scols, srows), rows_of(dcols, drows)
         if len(sr) != len(dr):
-            print(f"FAIL {k}: rows spark={len(sr)} duck={len(dr)}")
+            print(f"FAIL {k}: rows spark={len(sr)} duck={len(dr)}", flush=True)
             bad += 1
             continue
         if sr != dr:
             diff = [(x, y) for x, y in zip(sr, dr) if x != y][:3]
-            print(f"FAIL {k}: values differ ({sum(1 for x, y in zip(sr, dr) if x != y)} rows) cols={sorted(scols)}")
+            print(f"FAIL {k}: values differ ({sum(1 for x, y in zip(sr, dr) if x != y)} rows) cols={sorted(scols)}", flush=True)
             for x, y in diff:
                 print("   spark:", x)
                 print("   duck: ", y)
             bad += 1
             continue
-        print(f"OK   {k}: {len(sr)} rows {ts:.1f}s")
+        print(f"OK   {k}: {len(sr)} rows {ts:.1f}s", flush=True)
     print(f"{len(keys) - bad}/{len(keys)} ok")
     spark.stop()
 
