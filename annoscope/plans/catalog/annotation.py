@@ -62,13 +62,13 @@ hits AS (
   GROUP BY ALL
 ),
 counts AS (
-  SELECT sentence, {', '.join(f"sum(CASE WHEN assigned_domain = '{c}' THEN n_hits ELSE 0 END) AS {c}" for c in CATEGORIES)},
-         sum(CASE WHEN n_hits = 0 THEN 1 ELSE 0 END) AS none,
-         {', '.join(f"sum(CASE WHEN assigned_domain = '{c}' THEN (CASE WHEN n_hits > 0 THEN n_hits ELSE 1 END) ELSE 0 END) AS {c}_seen" for c in CATEGORIES)}
+  SELECT sentence, {', '.join(f"CAST(sum(CASE WHEN assigned_domain = '{c}' THEN n_hits ELSE 0 END) AS BIGINT) AS {c}" for c in CATEGORIES)},
+         CAST(sum(CASE WHEN n_hits = 0 THEN 1 ELSE 0 END) AS BIGINT) AS none,
+         {', '.join(f"CAST(sum(CASE WHEN assigned_domain = '{c}' THEN (CASE WHEN n_hits > 0 THEN n_hits ELSE 1 END) ELSE 0 END) AS BIGINT) AS {c}_seen" for c in CATEGORIES)}
   FROM hits GROUP BY sentence
 ),
 ctok AS (
-  SELECT *, len(tokens) AS length FROM (
+  SELECT *, CAST(len(tokens) AS INTEGER) AS length FROM (
     SELECT *, list_transform(list_filter(list_transform(list_filter(regexp_extract_all(sentence, '{TOKEN_PATTERN}'),
         lambda t: NOT list_contains([{', '.join(S.q(b.lower()) for b in BAD_STRINGS)}], lower(t))
                   AND NOT list_contains([{', '.join(S.q(w) for w in default_stop_words())}], t)),
@@ -200,7 +200,7 @@ def vignette_prep(spark, sf):
 CORPUS_ORDER = ("news", "reddit", "twitter")
 
 
-@register("corpus_merge", "annotation", sql="""SELECT corpus, source_id, CAST(rank_ AS BIGINT) * 1099511627776 + source_id AS id, length(text) AS n_chars, lang FROM (
+@register("corpus_merge", "annotation", sql="""SELECT corpus, source_id, CAST(rank_ AS BIGINT) * 1099511627776 + source_id AS id, CAST(length(text) AS INTEGER) AS n_chars, lang FROM (
   SELECT 'news' AS corpus, 0 AS rank_, doc_id AS source_id, text, lang FROM documents
   UNION ALL SELECT 'reddit', 1, item_id, text, NULL FROM benchmark
   UNION ALL SELECT 'twitter', 2, conv_id * 1000 + turn, text, NULL FROM conversations)""")

@@ -71,8 +71,8 @@ def box_stats(spark, sf):
   SELECT category, y_true, count(y_score) AS n, pow(count(y_score), -0.2) * stddev_samp(y_score) AS bw FROM scored_folds GROUP BY ALL
 ), c AS (SELECT category, y_true, y_score AS v, count(*) AS cnt FROM scored_folds GROUP BY ALL),
 g AS (SELECT UNNEST(range(101)) AS i)
-SELECT c.category, c.y_true, CAST(g.i AS INTEGER) AS i, round(0.0 + g.i * 0.01, 6) AS x,
-  round(sum(cnt * exp(-pow(0.0 + g.i * 0.01 - v, 2) / (2 * pow(st.bw, 2)))) / (st.n * st.bw * sqrt(2 * pi())), 6) AS density
+SELECT c.category, c.y_true, CAST(g.i AS INTEGER) AS i, round(0.0::DOUBLE + g.i * 0.01::DOUBLE, 6) AS x,
+  round(sum(cnt * exp(-pow(0.0::DOUBLE + g.i * 0.01::DOUBLE - v, 2) / (2 * pow(st.bw, 2)))) / (st.n * st.bw * sqrt(2 * pi())), 6) AS density
 FROM c JOIN st USING (category, y_true) CROSS JOIN g GROUP BY c.category, c.y_true, g.i, st.n, st.bw""")
 def kde_grid(spark, sf):
     return rounded(P.kde_grid(fx.scored_folds(spark, sf), ["category", "y_true"], "y_score", n_grid=101))

@@ -36,3 +36,22 @@ def stream_window_join(spark, sf):
     out = joined.select("post_id", F.col("id").alias("comment_id"), "label")
     IJ.run_to_table(out, f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
+
+
+@register("stream_score_problex", "streaming", sql=LC._PROBLEX_SQL)
+def stream_score_problex(spark, sf):
+    """Probability-lexicon scores of documents arriving as a stream (micro-batches of files)."""
+    from annoscope.operators import lexicon as L, text as T
+    from annoscope.streaming.micro_batch import score_stream
+
+    base = scratch_path(spark, "stream_problex")
+    fx.texts(spark, sf).write.parquet(f"{base}/in")
+    lex = fx.lexicon_b(spark, sf)
+    stream = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+    def score(batch):
+        content = T.content_tokens(T.token_table(batch, lower=False))
+        return L.score_problex(content, lex, ids=batch.select("id"))
+
+    score_stream(stream, score, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return rounded(spark.read.parquet(f"{base}/out").drop("batch_id"))

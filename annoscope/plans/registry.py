@@ -19,11 +19,33 @@ class Query:
 _REGISTRY: dict[str, Query] = {}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's ``count_if`` returns HUGEINT; Spark's returns BIGINT. Wrap every call in a cast
+    so the oracle's column types match."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            ch = sql[k]
+            depth += ch == "("
+            depth -= ch == ")"
+            if depth == 0:
+                break
+            k += 1
+        out.append(sql[i:j])
+        out.append("CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
 def register(name: str, group: str, sql: str | None = None):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         if name in _REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        _REGISTRY[name] = Query(name, fn, sql, group)
+        _REGISTRY[name] = Query(name, fn, _bigint_count_if(sql) if sql else sql, group)
         return fn
     return deco
 
