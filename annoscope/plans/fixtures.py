@@ -74,11 +74,17 @@ def tokens(spark: SparkSession, sf_dir: str, lower: bool = True) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, token, tf)``. Vocabulary-level fixtures derive from this one aggregation, so within
-    a query Spark reuses its exchange and tokenises the documents once."""
+    """``(id, token, tf)`` per document."""
     return tokens(spark, sf_dir).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(token, n)``: corpus frequency of every distinct token. One aggregation combined map-side
+    (far fewer rows than ``(id, token)`` pairs); every vocabulary-level fixture derives from it, so
+    within a query Spark reuses its exchange."""
+    return tokens(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def lemma_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEMMA_ROWS), "token string, lemma string")
 
@@ -88,7 +94,7 @@ def lexicon_a(spark: SparkSession) -> DataFrame:
 
 
 def lexicon_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = token_counts(spark, sf_dir).select(F.col("token").alias("word")).distinct().where(u01("word") < 0.1)
+    vocab = vocabulary(spark, sf_dir).select(F.col("token").alias("word")).where(u01("word") < 0.1)
     cols = [u01("word", F.lit(c)).alias(f"{c}_p") for c in CATEGORIES]
     cols += [(2 * u01("word", F.lit(c), F.lit("s")) - 1).alias(f"{c}_sent") for c in CATEGORIES]
     return vocab.select("word", *cols)
@@ -96,7 +102,7 @@ def lexicon_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token -> 64-d vector of ``embeddings`` row ``floor(u01(token)*500)``; 30 % OOV."""
-    vocab = token_counts(spark, sf_dir).select("token").distinct().where(u01("token", F.lit("oov")) >= 0.3)
+    vocab = vocabulary(spark, sf_dir).select("token").where(u01("token", F.lit("oov")) >= 0.3)
     vocab = vocab.select("token", F.floor(u01("token") * VOCAB_SIZE).cast("long").alias("vec_id"))
     emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     return vocab.join(emb, "vec_id", "inner").select("token", "vec")
@@ -106,8 +112,7 @@ def seed_lists(spark: SparkSession, sf_dir: str, per_category: int = 8) -> DataF
     """Top ``per_category`` most frequent in-vocabulary word tokens per category (category by u01)."""
     from pyspark.sql import Window
 
-    tok = token_counts(spark, sf_dir).where(F.col("token").rlike(r"^\p{L}+$"))
-    freq = tok.groupBy("token").agg(F.sum("tf").alias("n"))
+    freq = vocabulary(spark, sf_dir).where(F.col("token").rlike(r"^\p{L}+$"))
     vocab = word_vectors(spark, sf_dir).select("token")
     freq = freq.join(vocab, "token", "left_semi")
     cat = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]),

@@ -33,3 +33,14 @@ def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000, row_bytes: int =
     if n <= max_rows:
         return maybe_broadcast(df, n, row_bytes)
     return df
+
+
+def ensure_parallelism(df: DataFrame, factor: int = 2, key: str | None = None) -> DataFrame:
+    """Spread rows over at least ``factor × defaultParallelism`` partitions before CPU-heavy
+    per-row work (tokenising, hashing, regex), when the scan produced fewer (e.g. one large file
+    with a single row group). On a cluster reading many files this is a no-op; only planning is
+    done here, no job is run."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df._jdf.rdd().getNumPartitions() >= target:  # planning only (JVM side), no job
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

@@ -22,8 +22,8 @@ def summary(plan: str) -> str:
         return len(re.findall(pat, plan))
     return (f"exchanges={n(r'Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition')} "
             f"broadcast_joins={n(r'BroadcastHashJoin')} smj={n(r'SortMergeJoin')} nlj={n(r'BroadcastNestedLoopJoin')} "
-            f"window_group_limit={n(r'WindowGroupLimit')} windows={n(r'Window \\[')} python={n(r'ArrowEvalPython|MapInArrow|MapInPandas|BatchEvalPython')} "
-            f"scans={n(r'Scan parquet')} pushed_filters={n(r'PushedFilters: \\[[^\\]]')}")
+            f"window_group_limit={n(r'WindowGroupLimit')} windows={n(r'Window \[')} python={n(r'ArrowEvalPython|MapInArrow|MapInPandas|BatchEvalPython')} "
+            f"scans={n(r'Scan parquet')} pushed_filters={n(r'PushedFilters: \[[^\]]')}")
 
 
 def main():
