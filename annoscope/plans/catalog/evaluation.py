@@ -32,14 +32,23 @@ def eval_slice(spark, sf):
     return s.where((F.col("corpus") == "en") & (F.col("fold") > 0)).select("id", "category", "y_true", "y_score")
 
 
-@register("eval_load_folds", "evaluation", sql=W + """SELECT fold, y_true, y_score, CAST(y_score >= 0.5 AS INTEGER) AS y_pred
-FROM scored_folds WHERE category = 'care' AND fold > 0""")
+@register("eval_load_folds", "evaluation", sql=W + """SELECT category, fold, y_true, y_score, CAST(y_score >= 0.5 AS INTEGER) AS y_pred
+FROM scored_folds WHERE fold > 0""")
 def eval_load_folds(spark, sf):
-    s = fx.scored_folds(spark, sf).where((F.col("category") == "care") & (F.col("fold") > 0))
-    s = s.withColumn("y_pred", (F.col("y_score") >= 0.5).cast("int"))
-    path = scratch_path(spark, "fold_predictions")
-    sinks.write_fold_predictions(s, path)
-    return readers.read_fold_predictions(spark, path).select("fold", "y_true", "y_score", "y_pred")
+    """Per-category cross-validation predictions written as fold-record JSON files (one folder
+    per category, as the reference writes one file per foundation) and read back."""
+    from annoscope.schema import CATEGORIES
+
+    s = fx.scored_folds(spark, sf).where(F.col("fold") > 0).withColumn("y_pred", (F.col("y_score") >= 0.5).cast("int"))
+    base = scratch_path(spark, "fold_predictions")
+    for c in CATEGORIES:
+        sinks.write_fold_predictions(s.where(F.col("category") == c).select("fold", "y_true", "y_score", "y_pred"), f"{base}/{c}")
+    parts = [readers.read_fold_predictions(spark, f"{base}/{c}").select(F.lit(c).alias("category"), "fold", "y_true", "y_score", "y_pred")
+             for c in CATEGORIES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # ---------------------------------------------------------------- confusion metrics

@@ -121,12 +121,14 @@ ARGS_SQL = f"""args AS (SELECT p_partkey AS arg_id, p_name AS argument, {_sql_pi
   {_sql_pick('MF3')} AS MF3 FROM part)"""
 
 
-@register("join_left_dedup", "social", sql=S.with_(ARGS_SQL) + """SELECT DISTINCT t.argument, a.MF1, a.MF2, a.MF3
-FROM (SELECT arg_id, argument FROM args) t LEFT JOIN (SELECT arg_id, MF1, MF2, MF3 FROM args WHERE arg_id % 3 <> 0) a ON a.arg_id = t.arg_id""")
+@register("join_left_dedup", "social", sql=S.with_(ARGS_SQL) + f"""SELECT DISTINCT t.argument, a.MF1, a.MF2, a.MF3
+FROM (SELECT arg_id, argument FROM args) t
+LEFT JOIN (SELECT arg_id, MF1, MF2, MF3 FROM args WHERE {S.u01('arg_id', S.q('labelled'))} < 0.7) a ON a.arg_id = t.arg_id""")
 def join_left_dedup(spark, sf):
     a = arguments(spark, sf)
     texts = a.select("arg_id", "argument")
-    labels = a.where(F.pmod("arg_id", F.lit(3)) != 0).select("arg_id", "MF1", "MF2", "MF3")
+    # about 30 % of the arguments have no annotation, so the left join keeps NULL labels
+    labels = a.where(u01("arg_id", F.lit("labelled")) < 0.7).select("arg_id", "MF1", "MF2", "MF3")
     return texts.join(labels, "arg_id", "left").dropDuplicates(["argument", "MF1", "MF2", "MF3"]) \
         .select("argument", "MF1", "MF2", "MF3")
 
