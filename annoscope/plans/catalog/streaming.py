@@ -27,11 +27,17 @@ def stream_window_join(spark, sf):
     base = scratch_path(spark, "stream")
     fx.posts(spark, sf).select("id", "created").write.parquet(f"{base}/posts")
     fx.comments(spark, sf).select("id", "parent_id", "created", "label").write.parquet(f"{base}/comments")
-    ps = spark.readStream.schema("id long, created timestamp_ntz").parquet(f"{base}/posts")
-    cs = spark.readStream.schema("id string, parent_id long, created timestamp_ntz, label string").parquet(f"{base}/comments")
+    # TIMESTAMP + INTERVAL follows the session time zone (a DST day is 23 or 25 hours), so the
+    # stream runs in a UTC child session: windows are exact, as in the batch join on wall time
+    utc = spark.newSession()
+    utc.conf.set("spark.sql.session.timeZone", "UTC")
+    ps = utc.readStream.schema("id long, created timestamp_ntz").parquet(f"{base}/posts")
+    cs = utc.readStream.schema("id string, parent_id long, created timestamp_ntz, label string").parquet(f"{base}/comments")
     # timestamp_ntz is not a watermark type; the stream uses the UTC instant of the same wall time
-    ps = ps.withColumn("created", F.to_utc_timestamp(F.col("created").cast("string"), "UTC"))
-    cs = cs.withColumn("created", F.to_utc_timestamp(F.col("created").cast("string"), "UTC"))
+    # (exact micros since the epoch, independent of the session time zone)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    ps = ps.withColumn("created", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("created"))))
+    cs = cs.withColumn("created", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("created"))))
     joined = IJ.windowed_comments_stream(ps, cs, window=f"{fx.POST_WINDOW_DAYS} days", lookback="3650 days", watermark="1 hour")
     out = joined.select("post_id", F.col("id").alias("comment_id"), "label")
     IJ.run_to_table(out, f"{base}/out", f"{base}/ckpt")

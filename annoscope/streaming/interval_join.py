@@ -3,6 +3,8 @@
 Both sides carry watermarks; the join condition bounds the comment time on both sides of the
 post time (``lookback`` before, ``window`` after), which lets Spark drop join state once the
 watermark passes. Comments later than the window are never emitted — the batch rule.
+``TIMESTAMP + INTERVAL`` is evaluated in the session time zone (a DST day is 23 or 25 hours);
+build the streams from a UTC session for exact windows.
 """
 
 from __future__ import annotations

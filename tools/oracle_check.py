@@ -67,10 +67,13 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--group", default=None)
+    ap.add_argument("--tz", default=None, help="session time zone to run Spark under")
     ap.add_argument("keys", nargs="*")
     a = ap.parse_args()
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    if a.tz:
+        spark.conf.set("spark.sql.session.timeZone", a.tz)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
