@@ -33,17 +33,27 @@ def window_comments(posts: DataFrame, comments: DataFrame, window_expr: str, lab
     return c.join(p, cond, "inner")
 
 
-def judgment_counts(posts: DataFrame, comments: DataFrame, window_expr: str, min_total: int, balance: float) -> DataFrame:
-    """Posts retrieved more than ``window`` after creation whose in-window judgments number at
-    least ``min_total`` and neither side reaches ``balance`` of them. ``(id, yta, nta, esh, nah)``."""
+def judgment_filter(posts: DataFrame, comments: DataFrame, window_expr: str, min_total: int,
+                    balance: float) -> tuple[DataFrame, DataFrame]:
+    """G6 + F5: posts retrieved more than ``window`` after creation whose in-window judgments number
+    at least ``min_total`` and neither side reaches ``balance`` of them, and those posts' in-window
+    judgment comments. Both come from one windowed join: ``(id, yta, nta, esh, nah)`` and the
+    comments with ``post_id``."""
     ok_posts = posts.where(F.col("retrieved_on") > F.col("created") + F.expr(window_expr))
     wc = window_comments(ok_posts, comments, window_expr)
     counts = wc.groupBy("post_id").agg(*[F.count_if(F.col("label") == lab).alias(lab.lower()) for lab in JUDGMENTS])
     na = F.col("nta") + F.col("nah")
     ya = F.col("yta") + F.col("esh")
     tot = na + ya
-    return (counts.where((tot >= min_total) & (na < balance * tot) & (ya < balance * tot))
+    kept = (counts.where((tot >= min_total) & (na < balance * tot) & (ya < balance * tot))
             .select(F.col("post_id").alias("id"), "yta", "nta", "esh", "nah"))
+    kept_comments = wc.join(kept.select(F.col("id").alias("post_id")), "post_id", "left_semi")
+    return kept, kept_comments
+
+
+def judgment_counts(posts: DataFrame, comments: DataFrame, window_expr: str, min_total: int, balance: float) -> DataFrame:
+    """The filtered posts of ``judgment_filter``."""
+    return judgment_filter(posts, comments, window_expr, min_total, balance)[0]
 
 
 def top_comment(comments: DataFrame, post_col: str = "post_id") -> DataFrame:

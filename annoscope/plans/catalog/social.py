@@ -24,9 +24,9 @@ def filtered_posts(spark, sf):
 
 
 def filtered_comments(spark, sf):
-    """In-window judgment comments of the filtered posts (with ``post_id``)."""
-    posts = fx.posts(spark, sf).join(filtered_posts(spark, sf).select("id"), "id", "left_semi")
-    return SO.window_comments(posts, fx.comments(spark, sf), WINDOW)
+    """In-window judgment comments of the filtered posts (with ``post_id``), from the same windowed
+    join as ``filtered_posts`` (Spark reuses its exchanges)."""
+    return SO.judgment_filter(fx.posts(spark, sf), fx.comments(spark, sf), WINDOW, fx.POST_MIN_JUDGMENTS, fx.POST_BALANCE)[1]
 
 
 def verdicts(spark, sf):
