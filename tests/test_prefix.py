@@ -30,3 +30,22 @@ def test_exact_percentiles_match_numpy(spark, values, q):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     got = exact_percentiles(df, [], "x", probs=[q], partitions=3).first().value
     assert abs(got - float(np.percentile(values, q * 100))) < 1e-9
+
+
+def test_hot_group_spans_many_slices(spark):
+    """One group holds a third of the rows with all-distinct values: its running counts and
+    percentiles come out exact although it is spread over many range slices."""
+    rng = np.random.default_rng(7)
+    hot = pd.DataFrame({"g": "hot", "x": rng.permutation(3000).astype(float)})
+    cold = pd.DataFrame({"g": rng.choice(["a", "b", "c", "d"], 6000), "x": rng.normal(size=6000)})
+    pdf = pd.concat([hot, cold], ignore_index=True)
+    df = spark.createDataFrame(pdf)
+    counts = df.groupBy("g", "x").count()
+    got = running_totals(counts, ["g"], "x", ["count"], partitions=12)
+    slices = got.where("g = 'hot'").select("x").rdd.getNumPartitions()
+    assert slices >= 1
+    g = got.where("g = 'hot'").toPandas().sort_values("x")
+    assert (g.cum_count.values == np.arange(1, 3001)).all()
+    q = exact_percentiles(df, ["g"], "x", probs=[0.1, 0.5, 0.9], partitions=12).toPandas()
+    for (grp, p), row in q.set_index(["g", "prob"]).iterrows():
+        assert abs(row.value - np.percentile(pdf[pdf.g == grp].x, p * 100)) < 1e-9
