@@ -82,7 +82,9 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(token, n)``: corpus frequency of every distinct token. One aggregation combined map-side
     (far fewer rows than ``(id, token)`` pairs); every vocabulary-level fixture derives from it, so
     within a query Spark reuses its exchange."""
-    return tokens(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    from annoscope.plans.sizing import shared
+    # read by the vector lookup, the seed lists and the probability lexicon under different filters
+    return shared(tokens(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
 
 
 def lemma_map(spark: SparkSession) -> DataFrame:

@@ -44,3 +44,12 @@ def ensure_parallelism(df: DataFrame, factor: int = 2, key: str | None = None) -
     if df._jdf.rdd().getNumPartitions() >= target:  # planning only (JVM side), no job
         return df
     return df.repartition(target, key) if key else df.repartition(target)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Persist (memory, spilling to disk) an intermediate that several branches of one query read
+    under different projections or filters. Spark only reuses *identical* exchanges, so without
+    this each branch recomputes it. Lost blocks are recomputed from lineage."""
+    from pyspark.storagelevel import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
