@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-
 from pyspark.storagelevel import StorageLevel
 
 _PID = "_slice"
