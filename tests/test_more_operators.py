@@ -92,3 +92,13 @@ def test_lexicon_json_map(spark, tmp_path):
     p.write_text('{"kind": ["care_virtue"], "cruel": ["care_vice", "care_virtue"]}')
     got = sorted(tuple(r) for r in readers.read_lexicon_json(spark, str(p)).collect())
     assert got == [("cruel", "care_vice"), ("cruel", "care_virtue"), ("kind", "care_virtue")]
+
+
+def test_concepts_zero_vector_for_unknown_category(spark):
+    from annoscope.operators import vectors as V
+    seeds = spark.createDataFrame([("care", "kind"), ("care", "warm"), ("loyalty", "zzz")], "category string, word string")
+    vecs = spark.createDataFrame([("kind", [3.0, 0.0]), ("warm", [0.0, 4.0])], "token string, vec array<float>")
+    got = {(r.category, r.pos): r.value for r in V.concept_vectors(seeds, vecs, dim=2).collect()}
+    assert math.isclose(got[("care", 0)], 0.6) and math.isclose(got[("care", 1)], 0.8)
+    assert got[("loyalty", 0)] == 0.0 and got[("loyalty", 1)] == 0.0
+    assert [r.category for r in V.missing_concepts(seeds, vecs).collect()] == ["loyalty"]
