@@ -102,3 +102,20 @@ def test_concepts_zero_vector_for_unknown_category(spark):
     assert math.isclose(got[("care", 0)], 0.6) and math.isclose(got[("care", 1)], 0.8)
     assert got[("loyalty", 0)] == 0.0 and got[("loyalty", 1)] == 0.0
     assert [r.category for r in V.missing_concepts(seeds, vecs).collect()] == ["loyalty"]
+
+
+def test_tfidf_smooth_idf_and_l2(spark):
+    from annoscope.operators import vectors as V
+    docs = {1: ["a", "a", "b"], 2: ["b", "c"], 3: ["a", "c", "c"]}
+    terms = spark.createDataFrame([(i, t) for i, ts in docs.items() for t in ts], "id long, term string")
+    tf = V.term_counts(terms)
+    n = spark.createDataFrame([(3,)], "n long")
+    n_fit = spark.createDataFrame([(2,)], "n long")
+    got = {(r.id, r.term): r.value for r in V.tfidf_from_counts(tf, n, n_fit, F.col("id") <= 2, min_df=1, max_df=1.0).collect()}
+    # fit set = docs 1, 2: df_fit a=1, b=2, c=1 ; idf = ln((1+2)/(1+df)) + 1
+    idf = {"a": math.log(3 / 2) + 1, "b": math.log(3 / 3) + 1, "c": math.log(3 / 2) + 1}
+    for i, ts in docs.items():
+        w = {t: ts.count(t) * idf[t] for t in set(ts)}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        for t, v in w.items():
+            assert math.isclose(got[(i, t)], v / norm)
