@@ -118,13 +118,15 @@ def average_precision(df: DataFrame, group_cols: Sequence[str], y: str = "y_true
 
 
 def interpolate_grid(vertices: DataFrame, group_cols: Sequence[str], x: str, y: str, n: int = 100,
-                     force: tuple[int, float] | None = None) -> DataFrame:
+                     force: tuple[int, float] | None = None, left_fill: bool = True) -> DataFrame:
     """Linear interpolation of ``y`` at ``n`` evenly spaced ``x`` in [0, 1] (grid_i = i·(1/(n−1))).
 
     Semantics of NumPy's ``interp``: for a grid point the segment starts at the *last* vertex (in
     ``k`` order) whose x is <= the point; beyond the last vertex its y is used. Each segment
     explodes only the grid points it covers (≈ n + vertices rows per group). ``force=(i, v)`` sets
-    grid point ``i`` to ``v`` afterwards. Returns ``(group..., i, grid, value)``.
+    grid point ``i`` to ``v`` afterwards. ``left_fill=False`` skips the fill left of the first
+    vertex (ROC and PR curves start at x = 0, so there is nothing to fill).
+    Returns ``(group..., i, grid, value)``.
     """
     g = list(group_cols)
     step = 1.0 / (n - 1)
@@ -140,12 +142,13 @@ def interpolate_grid(vertices: DataFrame, group_cols: Sequence[str], x: str, y:
     val = F.when(F.col("_x_next").isNull(), F.col("_y")).otherwise(
         F.col("_y") + (grid - F.col("_x")) * (F.col("_y_next") - F.col("_y")) / (F.col("_x_next") - F.col("_x")))
     out = ex.where(inside).select(*g, "i", grid.alias("grid"), val.alias("value"))
-    # grid points left of the first vertex take the first vertex's y (np.interp's left value)
-    first = v.groupBy(*g).agg(F.min_by("_x", "k").alias("_x0"), F.min_by("_y", "k").alias("_y0"))
-    left = first.select(*g, "_x0", "_y0", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")) \
-        .where(F.col("i") * F.lit(step) < F.col("_x0")).select(*g, "i", (F.col("i") * F.lit(step)).alias("grid"),
-                                                                F.col("_y0").alias("value"))
-    out = out.unionByName(left)
+    if left_fill:
+        # grid points left of the first vertex take the first vertex's y (np.interp's left value)
+        first = v.groupBy(*g).agg(F.min_by("_x", "k").alias("_x0"), F.min_by("_y", "k").alias("_y0"))
+        left = first.select(*g, "_x0", "_y0", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")) \
+            .where(F.col("i") * F.lit(step) < F.col("_x0")).select(*g, "i", (F.col("i") * F.lit(step)).alias("grid"),
+                                                                    F.col("_y0").alias("value"))
+        out = out.unionByName(left)
     if force is not None:
         fi, fv = force
         out = out.withColumn("value", F.when(F.col("i") == fi, F.lit(float(fv))).otherwise(F.col("value")))
@@ -156,14 +159,14 @@ def roc_interpolated(df: DataFrame, group_cols: Sequence[str], y: str = "y_true"
     """L4: TPR at ``n`` FPR grid points, the last forced to 1. Interpolates over all vertices
     (dropping collinear ones cannot change a linear interpolation), so ``k`` stays consecutive."""
     v = roc_vertices(df, group_cols, y, s, drop_intermediate=False)
-    return interpolate_grid(v, group_cols, "fpr", "tpr", n, force=(n - 1, 1.0)) \
+    return interpolate_grid(v, group_cols, "fpr", "tpr", n, force=(n - 1, 1.0), left_fill=False) \
         .withColumnRenamed("grid", "fpr").withColumnRenamed("value", "tpr")
 
 
 def pr_interpolated(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s: str = "y_score", n: int = 100) -> DataFrame:
     """Precision at ``n`` recall grid points, the first forced to 1."""
     v = pr_vertices(df, group_cols, y, s)
-    return interpolate_grid(v, group_cols, "recall", "precision", n, force=(0, 1.0)) \
+    return interpolate_grid(v, group_cols, "recall", "precision", n, force=(0, 1.0), left_fill=False) \
         .withColumnRenamed("grid", "recall").withColumnRenamed("value", "precision")
 
 

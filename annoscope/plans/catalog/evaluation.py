@@ -137,9 +137,9 @@ def eval_kfold(spark, sf):
                                                                    F.lit(-1).alias("i"), "v")
     auc_p = C.trapezoid_area(pr_v, _GF, "recall", "precision", "v").select("category", F.lit("auc_pr").alias("metric"),
                                                                           F.lit(-1).alias("i"), "v")
-    ri = C.interpolate_grid(roc_v, _GF, "fpr", "tpr", force=(99, 1.0)).select(
+    ri = C.interpolate_grid(roc_v, _GF, "fpr", "tpr", force=(99, 1.0), left_fill=False).select(
         "category", F.lit("tpr").alias("metric"), "i", F.col("value").alias("v"))
-    pi = C.interpolate_grid(pr_v, _GF, "recall", "precision", force=(0, 1.0)).select(
+    pi = C.interpolate_grid(pr_v, _GF, "recall", "precision", force=(0, 1.0), left_fill=False).select(
         "category", F.lit("precision").alias("metric"), "i", F.col("value").alias("v"))
     vals = auc_r.unionByName(auc_p).unionByName(ri).unionByName(pi)
     return rounded(C.mean_sd_ci(vals, ["category", "metric", "i"], "v", 0.95))

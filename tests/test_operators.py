@@ -36,6 +36,17 @@ def test_build_lexicon_aliases_and_grid(spark):
     assert got == {"w": ["care_vice", "sanctity_virtue"]}
 
 
+def test_set_ops_match_venn_regions(spark):
+    a = spark.createDataFrame([(w,) for w in "abcdx"], "word string")
+    b = spark.createDataFrame([(w,) for w in "cdefx"], "word string")
+    c = spark.createDataFrame([(w,) for w in "dfghx"], "word string")
+    ops = {k: sorted(r.word for r in v.collect()) for k, v in L.lexicon_set_ops(a, b, c).items()}
+    assert ops["all"] == ["d", "x"] and ops["only_a"] == ["a", "b"] and ops["b_c_not_a"] == ["f"]
+    regions = {(r.in_a, r.in_b, r.in_c): r.n_words for r in L.lexicon_venn(a, b, c).collect()}
+    assert regions[(1, 1, 1)] == len(ops["all"]) and regions[(1, 0, 0)] == len(ops["only_a"])
+    assert regions[(1, 1, 0)] == len(ops["a_b_not_c"]) and regions[(0, 0, 1)] == len(ops["only_c"])
+
+
 def test_venn_regions_sum_to_union(spark):
     a = spark.createDataFrame([(w,) for w in "abcd"], "word string")
     b = spark.createDataFrame([(w,) for w in "cdef"], "word string")
