@@ -16,3 +16,22 @@ def test_micro_batch_scorer_matches_batch(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.select("batch_id").distinct().count() >= 2          # several micro-batches
     assert sorted((r.id, r.n) for r in got.drop("batch_id").collect()) == sorted((i, len(t)) for i, t in rows)
+
+
+def test_stream_window_join_bounds(spark, tmp_path):
+    import datetime as dt
+
+    from annoscope.streaming.interval_join import run_to_table, windowed_comments_stream
+
+    t0 = dt.datetime(2020, 1, 1)
+    pdir, cdir = str(tmp_path / "p"), str(tmp_path / "c")
+    spark.createDataFrame([(1, t0)], "id long, created timestamp").write.parquet(pdir)
+    spark.createDataFrame([("early", 1, t0 - dt.timedelta(hours=2), "YTA"), ("in", 1, t0 + dt.timedelta(hours=5), "NTA"),
+                           ("late", 1, t0 + dt.timedelta(hours=30), "NTA"), ("info", 1, t0, "INFO")],
+                          "id string, parent_id long, created timestamp, label string").write.parquet(cdir)
+    ps = spark.readStream.schema("id long, created timestamp").parquet(pdir)
+    cs = spark.readStream.schema("id string, parent_id long, created timestamp, label string").parquet(cdir)
+    j = windowed_comments_stream(ps, cs, window="18 hours", lookback="18 hours")
+    out = str(tmp_path / "out")
+    run_to_table(j.select(F.col("id").alias("comment_id")), out, str(tmp_path / "ck"))
+    assert sorted(r.comment_id for r in spark.read.parquet(out).collect()) == ["early", "in"]
