@@ -1,0 +1,15 @@
+"""Written intermediate tables in the shared folder (they also cut lineage: a lost executor costs a re-read)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from annoscope.session import scratch_path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table below ``spark.checkpoint.dir``, read back. The work is done once,
+    however many branches read it, and the table's size is known to the planner."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -54,3 +54,39 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS
        sha256(array_to_string(kept, ' ')) AS kept_sha256
 FROM s
 """
+
+
+# ---- 8: mixing sources to target weights ----
+@_query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.mixing import curriculum, digest
+
+    return digest(curriculum(_read(spark, sf_dir, "documents"))).drop("first_position")
+
+
+SQL["op8_source_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS n,
+         CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, row_number() OVER o AS k,
+         (sum(n) OVER () * 1.5::DOUBLE - coalesce(sum(2.0::DOUBLE * n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+           / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM s WINDOW o AS (ORDER BY 2.0::DOUBLE * n / w, source ASC NULLS LAST)
+), t AS (
+  SELECT source, n, CASE WHEN level IS NULL THEN 2.0::DOUBLE * n ELSE least(2.0::DOUBLE * n, level * w) END AS target
+  FROM (SELECT *, (SELECT min_by(rate, k) FROM r WHERE rate * w <= 2.0::DOUBLE * n) AS level FROM r)
+), p AS (
+  SELECT d.doc_id, d.size, CAST(t.n AS BIGINT) AS source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS demand,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS begins
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(greatest(least(size, demand - begins), 0) + greatest(least(size, demand - begins - source_size), 0) AS BIGINT) AS taken
+FROM p
+"""
