@@ -90,3 +90,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(greatest(least(size, demand - begins), 0) + greatest(least(size, demand - begins - source_size), 0) AS BIGINT) AS taken
 FROM p
 """
+
+
+# ---- 4: MinHash near-dedup ----
+@_query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.near_dedup import near_duplicates
+
+    classes = near_duplicates(_read(spark, sf_dir, "documents"))
+    return classes.withColumn("kept", (F.col("doc_id") == F.col("class_id")).cast("int"))
