@@ -99,3 +99,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     classes = near_duplicates(_read(spark, sf_dir, "documents"))
     return classes.withColumn("kept", (F.col("doc_id") == F.col("class_id")).cast("int"))
+
+
+# ---- 1: benchmark decontamination ----
+@_query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.decontaminate import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
