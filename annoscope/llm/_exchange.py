@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BLOCK_BYTES = 4 << 20
 PART_ENTRIES = 4_000_000
+LEAST_PARTS = 64  # enough parallelism for small corpora; each block sends one row to each part
 CHUNK, PART = "_block", "_part"
 
 
@@ -40,7 +41,7 @@ def layout(docs: DataFrame, text: str = "text") -> Layout:
     size = int(row["b"] or 0)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     blocks = max(2 * tasks, -(-size // BLOCK_BYTES))
-    wanted = max(tasks, -(-(size // 5) // PART_ENTRIES))
+    wanted = max(min(tasks, LEAST_PARTS), -(-(size // 5) // PART_ENTRIES))
     parts = 1 << max(0, (wanted - 1).bit_length())
     return Layout(blocks=blocks, parts=parts, tasks=max(tasks, blocks // 8), rows=int(row["n"]))
 
