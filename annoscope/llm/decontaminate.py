@@ -159,32 +159,41 @@ def _regions(ix: Index, points: np.ndarray, moved: np.ndarray) -> tuple[np.ndarr
 
 
 def _align(ix: Index, points: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: np.ndarray, low: np.ndarray):
-    """Least edits of each whole piece in its region's band, with the matched range of the text."""
-    edits, length = ix.edits[piece], ix.lengths[piece]
+    """Least edits of each whole piece in its region's band, with the matched range of the text; -1 edits where
+    they exceed the piece's budget."""
+    n, edits, length = len(piece), ix.edits[piece], ix.lengths[piece]
     left = low - edits  # the band's diagonals, widened by the edits
-    width = int((4 * edits + 2).max()) + 1
-    delta = np.arange(width, dtype=np.int64)
-    unit = np.int64(1) << 32
-    cost = np.broadcast_to(delta, (len(piece), width)).copy()  # no edits yet; the low half is the starting diagonal
-    used = 4 * edits + 2
-    cost[delta[None, :] > used[:, None]] = unit * 10**6
-    best = np.zeros((len(piece), 2), np.int64)
-    for i in range(int(length.max())):
-        j = left[:, None] + i + delta
-        ok = (j >= 0) & (j < (end - begin)[:, None])
-        char = np.where(ok, points[np.clip(j + begin[:, None], 0, max(len(points) - 1, 0))], np.uint32(0xFFFFFFFF))
-        mine = ix.points[np.minimum(ix.starts[piece] + i, len(ix.points) - 1)]
-        step = cost + unit * (char != mine[:, None])
-        step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + unit)
-        cost = np.minimum.accumulate(step - unit * delta, axis=1) + unit * delta
-        cost[delta[None, :] > used[:, None]] = unit * 10**6
-        over = np.flatnonzero(length == i + 1)
+    width, longest = int(edits.max()) * 4 + 3, int(length.max())
+    unit = np.int32(1 << max(width.bit_length(), 1))  # a cell holds edits * unit + the diagonal it started on
+    far = np.int32(1 << 30)
+    j = left[:, None] + np.arange(longest + width)
+    inside = (j >= 0) & (j < (end - begin)[:, None])
+    region = np.where(inside, points[np.clip(j + begin[:, None], 0, max(len(points) - 1, 0))], np.uint32(0xFFFFFFFF))
+    item = ix.points[np.minimum(ix.starts[piece][:, None] + np.arange(longest), len(ix.points) - 1)]
+    delta = np.arange(width, dtype=np.int32)
+    ramp = delta * unit
+    blocked = delta > (4 * edits + 2)[:, None]
+    cost = np.where(blocked, far, np.broadcast_to(delta, (n, width)))
+    live = np.arange(n)
+    out = np.full((n, 3), -1, np.int64)
+    for i in range(longest):
+        step = cost + unit * (region[:, i:i + width] != item[:, i, None])
+        np.minimum(step[:, :-1], cost[:, 1:] + unit, out=step[:, :-1])
+        cost = np.minimum.accumulate(step - ramp, axis=1) + ramp
+        cost[blocked] = far
+        over = np.flatnonzero(length[live] == i + 1)
         if len(over):
             to = np.argmin(cost[over], axis=1)
-            best[over, 0] = cost[over, to]
-            best[over, 1] = left[over] + i + 1 + to
-    distance, start = best[:, 0] >> 32, best[:, 0] & (unit - 1)
-    return distance, np.maximum(left + start, 0), np.minimum(best[:, 1], end - begin)
+            best, who = cost[over, to].astype(np.int64), live[over]
+            out[who] = np.stack([best // unit, left[who] + best % unit, left[who] + i + 1 + to], axis=1)
+        if i % 16 == 15:  # a region whose every cell is over budget cannot come back
+            keep = (cost.min(axis=1) // unit <= edits[live]) & (length[live] > i + 1)
+            if not keep.any():
+                break
+            if not keep.all():
+                live, cost, region, item, blocked = live[keep], cost[keep], region[keep], item[keep], blocked[keep]
+    distance = np.where(out[:, 0] <= edits, out[:, 0], -1)
+    return distance, np.maximum(out[:, 1], 0), np.minimum(out[:, 2], end - begin)
 
 
 def _search(ix: Index, table: pa.Table) -> Iterator[tuple[int, int, int, int, int]]:
@@ -199,7 +208,7 @@ def _search(ix: Index, table: pa.Table) -> Iterator[tuple[int, int, int, int, in
         for i in range(0, len(text), 512):
             t, p, lo = text[i:i + 512], piece[i:i + 512], low[i:i + 512]
             edits, begin, end = _align(ix, points, moved[t], moved[t + 1], p, lo)
-            good = (edits <= ix.edits[p]) & (end > begin)
+            good = (edits >= 0) & (end > begin)
             t, p, edits, begin, end = t[good], p[good], edits[good], begin[good], end[good]
             found.extend(zip((t + base).tolist(), ix.owner[p].tolist(), edits.tolist(), source[moved[t] + begin].tolist(),
                              (source[moved[t] + end - 1] + 1).tolist()))

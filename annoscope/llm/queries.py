@@ -107,3 +107,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annoscope.llm.decontaminate import find_leaks
 
     return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+# ---- 2: quality classifier ----
+@_query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.quality import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
