@@ -79,16 +79,18 @@ def targets(sources: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, budge
 
 
 def curriculum(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, budget: float = 1.5, cap: float = 2.0,
-               doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+               doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
     """Placements, range-sorted by ``position`` (0..1): doc_id, source, size, source_size, target, offset (of the
     document in its source's stream), copy (0, 1, ...), take (words taken from this copy), position. A
-    document of which nothing is taken has one row with take 0 and no position."""
+    document of which nothing is taken has one row with take 0 and no position. ``keep`` names columns of ``docs``
+    to carry along, as one struct ``kept`` (say the text itself)."""
     _check(schedules)
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("_key"),
                        F.substring(key, 1, _BUCKET_DIGITS).alias("_bucket"),
-                       F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
-    rows = saved(rows, "mix-sizes")  # texts are read once
+                       F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+                       *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []))
+    rows = rows if keep else saved(rows, "mix-sizes")  # without texts to carry, they are read once
     buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"))
     in_source = Window.partitionBy("source").orderBy("_bucket")
     goal = targets(buckets.groupBy("source").agg(F.sum("_n").alias("source_size")), schedules, budget, cap)
@@ -102,11 +104,12 @@ def curriculum(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, budge
         .select("r.*", "b._from", "b.source_size", "b._slot", "b.target")
     local = Window.partitionBy("source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size")
     offset = (F.col("_from") + F.sum("size").over(local.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("offset")
-    placed = joined.select("doc_id", "source", "size", "source_size", "target", "_slot", offset)
-    return _placements(placed, schedules, cap)
+    kept = ["kept"] if keep else []
+    placed = joined.select("doc_id", "source", "size", "source_size", "target", "_slot", offset, *kept)
+    return _placements(placed, schedules, cap, kept)
 
 
-def _placements(placed: DataFrame, schedules: Sequence[Schedule], cap: float) -> DataFrame:
+def _placements(placed: DataFrame, schedules: Sequence[Schedule], cap: float, kept: list[str]) -> DataFrame:
     demand = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     copies = [F.lit(k).cast("long") for k in range(max(1, -int(-cap // 1)))]
 
@@ -122,7 +125,7 @@ def _placements(placed: DataFrame, schedules: Sequence[Schedule], cap: float) ->
     taken = F.filter(F.array(*[one(k) for k in copies]), lambda x: x["take"] > 0)
     out = (placed.withColumn("_p", F.explode_outer(taken))
            .select("doc_id", "source", "size", "source_size", "target", "offset", F.col("_p.copy").alias("copy"),
-                   F.coalesce(F.col("_p.take"), F.lit(0).cast("long")).alias("take"), F.col("_p.position").alias("position")))
+                   F.coalesce(F.col("_p.take"), F.lit(0).cast("long")).alias("take"), F.col("_p.position").alias("position"), *kept))
     order = [F.col("position").asc_nulls_last(), F.col("source").asc_nulls_last(), F.col("offset").asc(), F.col("doc_id").asc_nulls_first()]
     return out.repartitionByRange(*order).sortWithinPartitions(*order)
 

@@ -115,3 +115,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annoscope.llm.quality import classify
 
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+# ---- 10: personal data ----
+#: The key of the registered query and of the pipeline; a deployment gives its own.
+PII_KEY = "annoscope-demo-key"
+
+
+@_query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.pii import pseudonymise
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonymise(docs, PII_KEY, found="replaced")
+    return out.select("doc_id", "text", F.coalesce(F.size("replaced"), F.lit(0)).alias("n_replaced"))
