@@ -129,3 +129,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = pseudonymise(docs, PII_KEY, found="replaced")
     return out.select("doc_id", "text", F.coalesce(F.size("replaced"), F.lit(0)).alias("n_replaced"))
+
+
+# ---- 3: document fingerprints ----
+@_query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.fingerprint import compared
+
+    return compared(_read(spark, sf_dir, "documents"))
+
+
+# ---- 6: token counts ----
+@_query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.token_count import count_tokens
+
+    return count_tokens(_read(spark, sf_dir, "documents"))
