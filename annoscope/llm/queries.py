@@ -145,3 +145,84 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annoscope.llm.token_count import count_tokens
 
     return count_tokens(_read(spark, sf_dir, "documents"))
+
+
+# ---- 9: URL filter ----
+@_query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.url_filter import judge
+
+    return judge(_read(spark, sf_dir, "pages")).drop("score")
+
+
+def _url_sql() -> str:
+    from annoscope.llm.url_filter import ALPHABET, CUTS, ORDERS, RANGE, RULES, SYMBOLS, TABLE, WEIGHT
+
+    parts = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
+    upper, lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+    def fits(name: str) -> str:
+        h, _, rest = name.partition("/")
+        return f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{rest}')"
+
+    longest = sorted(RULES, key=lambda r: (-len(r[0]), r[0]))
+    rule = " ".join(f"WHEN {fits(n)} THEN '{n}'" for n, _ in longest)
+    verdict = " ".join(f"WHEN '{n}' THEN '{v}'" for n, v in RULES)
+    code = lambda k: (f"CASE WHEN i <= {k} THEN 0 WHEN strpos('{ALPHABET}', substr(t, i - {k}, 1)) > 0 "
+                      f"THEN strpos('{ALPHABET}', substr(t, i - {k}, 1)) ELSE {SYMBOLS - 1} END")
+    cells = []
+    for o in range(ORDERS):
+        context = " + ".join(["0"] + [f"c{k} * {SYMBOLS ** (k - 1)}" for k in range(1, o + 1)])
+        cells.append(f"(((c0 + ({context}) * {SYMBOLS}) * 10 + {o}) * 7919) % {TABLE} AS g{o}")
+        cells.append(f"((({context}) * 10 + {5 + o}) * 7919) % {TABLE} AS x{o}")
+
+    def chance(table: str) -> str:
+        p = f"(1.0::DOUBLE / {SYMBOLS})"
+        for o in range(ORDERS):
+            p = f"(({table}[g{o} + 1] + {WEIGHT}::DOUBLE * {p}) / ({table}[x{o} + 1] + {WEIGHT}::DOUBLE))"
+        return p
+
+    names = ", ".join(f"g{o}, x{o}" for o in range(ORDERS))
+    return f"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, translate(coalesce(url, ''), {upper}, {lower}) AS t,
+         translate(coalesce(regexp_extract(url, {parts}, 1), ''), {upper}, {lower}) AS host, coalesce(regexp_extract(url, {parts}, 2), '') AS path,
+         substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 1) IN ('0', '1', '2') AS apart
+  FROM pages
+), d AS (
+  SELECT *, CASE {rule} END AS rule FROM p
+), v AS (
+  SELECT *, CASE rule {verdict} END AS told FROM d
+), s AS (
+  SELECT r, {", ".join(f"{code(k)} AS c{k}" for k in range(ORDERS))} FROM (SELECT r, t, unnest(range(1, length(t) + 1)) AS i FROM v)
+), e AS MATERIALIZED (
+  SELECT r, {", ".join(cells)} FROM s
+), n AS (
+  SELECT told, cell, count(*) AS n FROM (SELECT r, unnest([{names}]) AS cell FROM e) JOIN v USING (r) WHERE told IS NOT NULL AND NOT apart GROUP BY ALL
+), m AS MATERIALIZED (
+  SELECT list(coalesce(a.n, 0)::DOUBLE ORDER BY k.cell) AS a, list(coalesce(b.n, 0)::DOUBLE ORDER BY k.cell) AS b
+  FROM (SELECT unnest(range(0, {TABLE})) AS cell) k
+  LEFT JOIN (SELECT * FROM n WHERE told = 'allow') a ON a.cell = k.cell LEFT JOIN (SELECT * FROM n WHERE told = 'block') b ON b.cell = k.cell
+), q AS (
+  SELECT r, sum(ln({chance("m.a")}) - ln({chance("m.b")})) / count(*) AS score FROM e, m GROUP BY r
+), w AS MATERIALIZED (
+  SELECT v.*, coalesce(q.score, 0.0) AS score FROM v LEFT JOIN q USING (r)
+), h AS (
+  SELECT least(greatest(CAST(floor((score + {RANGE}) / {2 * RANGE / CUTS}::DOUBLE) AS INTEGER), 0), {CUTS - 1}) AS cell,
+         count(*) FILTER (told = 'allow') AS good, count(*) FILTER (told = 'block') AS bad
+  FROM w WHERE told IS NOT NULL AND apart GROUP BY 1
+), g AS (
+  SELECT i, coalesce(sum(h.good) FILTER (h.cell < i), 0) / nullif((SELECT sum(good) FROM h), 0)::DOUBLE
+            + coalesce(sum(h.bad) FILTER (h.cell >= i), 0) / nullif((SELECT sum(bad) FROM h), 0)::DOUBLE AS err
+  FROM (SELECT unnest(range(0, {CUTS})) AS i), h GROUP BY i
+), b AS (
+  SELECT list(i ORDER BY i) AS least FROM g WHERE err = (SELECT min(err) FROM g)
+), l AS (
+  SELECT coalesce(-{RANGE}::DOUBLE + least[len(least) // 2 + 1] * {2 * RANGE / CUTS}::DOUBLE, 0.0) AS level FROM b
+)
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN score >= coalesce((SELECT level FROM l), 0.0) THEN 'allow' ELSE 'block' END) AS verdict
+FROM w
+"""
+
+
+SQL["op9_url_filter"] = _url_sql()
