@@ -35,6 +35,7 @@ from annoscope.llm._io import saved
 SHINGLE, SIMILARITY, BANDS, ROWS, IDF_STRENGTH = 5, 0.8, 14, 4, 0.25
 _TABLE_BITS = 16
 _MEMBERS = 64  # documents of a leader that are verified in one group
+_FAR_BLOCK, _NEAR_BLOCK = 64, 256  # members of a bucket that meet in one task
 
 #: Bytes that do not belong to a word: everything in ASCII but letters and digits.
 GAP = np.ones(256, dtype=bool)
@@ -246,10 +247,11 @@ def verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 def _links(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) whose components are those of all similar pairs that share a bucket.
 
-    First all members of a bucket meet its leader, the document with most company in all its buckets. Two members
-    that are both linked to the leader are in one class already. Every other member then meets
-    the members it may still be similar to: 1 - similarity is a metric, so the two distances to the leader
-    differ by at most 1 - ``similarity``."""
+    First all members of a bucket meet its leader, the document with most company in all its buckets. After that only
+    pairs of a bucket whose documents are not yet in one component can join anything. Of these, two that are both
+    linked to the leader cannot be; 1 - similarity is a metric, so the distances of a similar pair to the leader
+    differ by at most 1 - ``similarity``. The pairs left are verified too, in blocks of bounded size: a block of
+    members far from the leader meets each block of all members, and only links leave the task."""
     sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     members = saved(members.join(sizes, ["band", "key"]), "near-members")
     company = members.groupBy("doc").agg(F.sum("_n").alias("_c"))
@@ -258,18 +260,52 @@ def _links(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
         .select("band", "key", (-F.col("_d")).alias("a"))
     met = members.select("band", "key", F.col("doc").alias("b")).join(leaders, ["band", "key"])
     met = saved(met.where("a <> b"), "near-met")
-    first = saved(verified(met.select("a", "b").distinct(), vectors), "near-first")
-    far = met.join(first, ["a", "b"]).select("band", "key", "a", "b", (1 - F.col("similarity")).alias("d"))
+    first = saved(verified(met.select("a", "b").distinct(), vectors.select("doc_id", "vector")), "near-first")
+    joined = components(first.where(F.col("similarity") >= similarity)).select(F.col("node").alias("b"), "root")
+    far = met.join(first, ["a", "b"]).join(joined, "b", "left") \
+        .select("band", "key", "b", (1 - F.col("similarity")).alias("d"), F.coalesce("root", "b").alias("root"))
     far = saved(far, "near-far")
-    reach = 1 - similarity
-    alone = far.where(F.col("d") > reach)
-    x, y = alone.alias("x"), far.alias("y")
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach + 1e-6)
-    once = (F.col("y.d") <= reach) | (F.col("x.b") < F.col("y.b"))
-    second = x.join(y, near & once & (F.col("x.b") != F.col("y.b"))).select(
-        F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
-    links = first.unionByName(verified(second, vectors)).where(F.col("similarity") >= similarity)
-    return links.select("a", "b")
+    mixed = far.groupBy("band", "key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("band", "key")
+    far = far.join(mixed, ["band", "key"], "left_semi")
+    counts = far.groupBy("band", "key").agg(F.sum((F.col("d") > 1 - similarity).cast("int")).alias("_x"), F.count(F.lit(1)).alias("_y"))
+    far = far.join(counts, ["band", "key"]).withColumn("_nx", F.ceil(F.col("_x") / _FAR_BLOCK).cast("int")).withColumn(
+        "_ny", F.ceil(F.col("_y") / _NEAR_BLOCK).cast("int")).where("_nx > 0").join(vectors.withColumnRenamed("doc_id", "b"), "b")
+    cell = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = ["b", "d", "root", "keys", "vector"]
+    alone = far.where(F.col("d") > 1 - similarity).select("band", "key", cell("_nx").alias("_i"), every("_ny").alias("_j"), F.lit(True).alias("alone"), *data)
+    all_ = far.select("band", "key", every("_nx").alias("_i"), cell("_ny").alias("_j"), F.lit(False).alias("alone"), *data)
+    second = alone.unionByName(all_).groupBy("band", "key", "_i", "_j").applyInArrow(ex.task(_across, similarity), "a long, b long")
+    return first.where(F.col("similarity") >= similarity).select("a", "b").unionByName(second)
+
+
+def _across(similarity: float, table: pa.Table) -> pa.Table:
+    """Links between a block of members that are far from their leader and a block of all members of the bucket. A
+    pair is looked at in the first bucket that it shares only."""
+    band = table.column("band")[0].as_py() if table.num_rows else 0
+    side = np.array(table.column("alone").to_pylist(), dtype=bool)
+    doc, d, root = (table.column(c).to_numpy() for c in ("b", "d", "root"))
+    keys = np.array(table.column("keys").to_pylist(), dtype=np.int64).reshape(len(doc), -1)
+    vectors = table.column("vector").to_pylist()
+    ys = np.flatnonzero(~side)
+    names = [np.frombuffer(v, np.uint32, len(v) // 8) for v in vectors]
+    weights = [np.frombuffer(v, np.float32, len(v) // 8, len(v) // 2) for v in vectors]
+    total = np.array([w.sum(dtype=np.float64) for w in weights])
+    reach, links = 1 - similarity, []
+    for x in np.flatnonzero(side):
+        may = (root[ys] != root[x]) & (np.abs(d[ys] - d[x]) <= reach + 1e-6) & ((d[ys] <= reach) | (doc[ys] > doc[x]))
+        may &= ~(keys[ys][:, :band] == keys[x, :band]).any(axis=1)
+        may &= np.minimum(total[ys], total[x]) >= (similarity - 1e-6) * np.maximum(total[ys], total[x])
+        y = ys[may]
+        if not len(y) or not len(names[x]):
+            continue
+        k, w = np.concatenate([names[i] for i in y]), np.concatenate([weights[i] for i in y])
+        size = np.array([len(names[i]) for i in y])
+        at = np.minimum(np.searchsorted(names[x], k), len(names[x]) - 1)
+        low = np.where(names[x][at] == k, np.minimum(weights[x][at], w), np.float32(0)).astype(np.float64)
+        both = np.add.reduceat(low, np.concatenate([[0], np.cumsum(size)[:-1]]))
+        links.extend((int(doc[x]), int(doc[i])) for i in y[both >= similarity * (total[x] + total[y] - both)])
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -293,7 +329,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
                     idf_strength: float = IDF_STRENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size), one row per distinct id: the class is named by its smallest id."""
+    """(doc_id, class_id), one row per distinct id: the class is named by its smallest id."""
     lay = ex.layout(docs, text)
     by_block = ex.dealt(docs, lay, doc_id, text).groupBy(ex.CHUNK)
     counts = (by_block.applyInArrow(ex.task(_send_shingles, lay, shingle), _SENT)
@@ -305,11 +341,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     head_rep = heads.select("doc_id", "text_key").join(same, "text_key").select(F.col("doc_id").alias("leader"), "rep")
     vectors = heads.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "vector", "keys")
     members = vectors.select(F.col("doc_id").alias("doc"), F.posexplode("keys").alias("band", "key"))
-    roots = components(_links(members, vectors.select("doc_id", "vector"), similarity))
+    roots = components(_links(members, vectors, similarity))
     head_rep = head_rep.join(roots, head_rep["rep"] == roots["node"], "left").select("leader", F.coalesce("root", "rep").alias("class_id"))
     found = signed.select("doc_id", "leader").distinct().join(head_rep, "leader").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     every = docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
     classes = every.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    classes = saved(classes, "near-classes")
-    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return classes.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return classes
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without those of documents that are not the smallest id of their class."""
+    gone = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__near_gone"))
+    gone = saved(gone, "near-gone")
+    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("__near_gone"), "left_anti")
