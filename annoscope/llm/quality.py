@@ -155,15 +155,16 @@ def _summed(rows: DataFrame, work, names: int) -> dict[int, np.ndarray]:
 
 
 def _isotonic(x: np.ndarray, total: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over grid cells; knots at the means of the pools."""
+    """Pool adjacent violators over grid cells; knots at both ends of each pool."""
     pools: list[list[float]] = []
     for xi, t, c in zip(x, total, count):
-        pools.append([xi * c, t, c])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    # half a row of each class keeps the scores of pure pools inside (0, 1) and apart by their size
-    return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1.0) for p in pools])
+        pools.append([xi, xi, t, c])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            _, high, t, c = pools.pop()
+            pools[-1] = [pools[-1][0], high, pools[-1][2] + t, pools[-1][3] + c]
+    ends = [(e, (p[2] + 0.5) / (p[3] + 1.0)) for p in pools for e in ((p[0], p[1]) if p[0] < p[1] else (p[0],))]
+    # half a row of each class keeps the scores of pure pools inside (0, 1); the values must not fall for that
+    return np.array([e for e, _ in ends]), np.maximum.accumulate(np.array([v for _, v in ends]))
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str, train: Column, features: int = FEATURES, ridge: float = RIDGE, scale: float = SCALE,

@@ -226,3 +226,12 @@ FROM w
 
 
 SQL["op9_url_filter"] = _url_sql()
+
+
+# ---- 7: toxicity ----
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.toxicity import detect
+
+    found = detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))

@@ -74,4 +74,4 @@ def test_statistics_against_plain_python():
 
 def test_isotonic_pools():
     x, y = q._isotonic(np.array([0.0, 1, 2, 3]), np.array([1.0, 0, 2, 4]), np.array([2.0, 2, 4, 4]))
-    assert np.all(np.diff(x) > 0) and np.all(np.diff(y) >= 0) and len(x) == 3
+    assert np.all(np.diff(x) > 0) and np.all(np.diff(y) >= 0) and x.tolist() == [0, 1, 2, 3] and y[0] == y[1] == 1.5 / 5
