@@ -34,8 +34,10 @@ def mean_ci(df: DataFrame, group_cols: Sequence[str], value: str, confidence: fl
     from annoscope.functions.dist import t_quantile
 
     g = list(group_cols)
-    a = df.rollup(*g).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("_sd"), F.count(value).alias("n"))
-    a = a.select(*[F.coalesce(F.col(c).cast("string"), F.lit(total_label)).alias(c) for c in g], "mean", "n", "_sd")
+    a = df.rollup(*g).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("_sd"), F.count(value).alias("n"),
+                          *[F.grouping(c).alias(f"_all_{c}") for c in g])
+    # a NULL group stays NULL; only rollup's own totals get the label
+    a = a.select(*[F.when(F.col(f"_all_{c}") == 1, F.lit(total_label)).otherwise(F.col(c).cast("string")).alias(c) for c in g], "mean", "n", "_sd")
     half = t_quantile(F.lit((1 + confidence) / 2), (F.col("n") - 1).cast("double")) * F.col("_sd") / F.sqrt("n")
     return a.select(*g, "n", "mean", (F.col("mean") - half).alias("ci_lower"), (F.col("mean") + half).alias("ci_upper"))
 
@@ -51,7 +53,7 @@ def positive_rate(labels: DataFrame, group_cols: Sequence[str], label: str = "la
     keep = [c for c in g if c != total_col]
     r = labels.rollup(*keep, total_col).agg(pos, F.grouping_id().alias("_gid"))
     r = r.where(F.col("_gid") <= 1)  # drop rollup levels above total_col
-    return r.select(*keep, F.coalesce(F.col(total_col), F.lit(total_label)).alias(total_col), "pos_rate")
+    return r.select(*keep, F.when(F.col("_gid") == 1, F.lit(total_label)).otherwise(F.col(total_col)).alias(total_col), "pos_rate")
 
 
 def histogram(df: DataFrame, group_cols: Sequence[str], value: str, bins: int) -> DataFrame:

@@ -88,37 +88,32 @@ def _long_flags(radar: DataFrame, categories: Sequence[str], threshold: float) -
                                         (F.col(f"{c}_score") >= threshold).cast("int").alias("post_flag"),
                                         (F.col(f"v_{c}_score") >= threshold).cast("int").alias("verdict_flag"))
                                for c in categories]))
-    return radar.select("topic_1", "topic_2", side.alias("side"), rows.alias("r")).where(F.col("side").isNotNull()) \
+    return radar.select("topic_1", "topic_2", side.alias("side"), rows.alias("r")) \
         .select("topic_1", "topic_2", "side", "r.category", "r.post_flag", "r.verdict_flag")
 
 
 def topic_rates(radar: DataFrame, categories: Sequence[str] = CATEGORIES, threshold: float = 0.5) -> DataFrame:
     """Share of posts / verdicts with each category, by (topic_1, side); one grouped pass."""
-    lf = _long_flags(radar, categories, threshold)
+    lf = _long_flags(radar, categories, threshold).where(F.col("side").isNotNull())
     return lf.groupBy(F.col("topic_1").alias("topic"), "side", "category").agg(
         F.count(F.lit(1)).alias("n"), F.avg("post_flag").alias("post_rate"), F.avg("verdict_flag").alias("verdict_rate"))
 
 
-def topic_pair_rates(radar: DataFrame, categories: Sequence[str] = CATEGORIES, threshold: float = 0.5,
-                     max_topics: int = 1000) -> DataFrame:
+def topic_pair_rates(radar: DataFrame, categories: Sequence[str] = CATEGORIES, threshold: float = 0.5) -> DataFrame:
     """Rates by *unordered* topic pair and side; pairs with no post get rate 0.
 
-    The spine (topic pairs x < y × sides × categories) is built from the distinct topic values,
-    whose number is checked (``max_topics``) before the pair join; data rows are never paired."""
+    Data rows are read and aggregated once, into a written table. The spine (topic pairs x < y × sides × categories)
+    is the answer's own shape and comes from that small table; data rows are never paired."""
+    from annoscope.session import written
+
     lf = _long_flags(radar, categories, threshold)
     t1, t2 = F.least("topic_1", "topic_2"), F.greatest("topic_1", "topic_2")
-    rates = lf.groupBy(t1.alias("topic_a"), t2.alias("topic_b"), "side", "category").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("post_flag").alias("post_rate"), F.avg("verdict_flag").alias("verdict_rate"))
-    topics = radar.select(F.col("topic_1").alias("t")).union(radar.select(F.col("topic_2").alias("t"))).distinct()
-    # lazy guard inside the same job: fail instead of building an unbounded spine
-    n_topics = topics.agg(F.count(F.lit(1)).alias("_nt"))
-    topics = topics.crossJoin(F.broadcast(n_topics)).where(
-        F.assert_true(F.col("_nt") <= max_topics, f"more than {max_topics} topics; the pair spine would not be bounded").isNull()
-    ).select("t")
-    ta, tb = topics.select(F.col("t").alias("topic_a")), topics.select(F.col("t").alias("topic_b"))
-    pairs = F.broadcast(ta).join(F.broadcast(tb), F.col("topic_a") < F.col("topic_b"))
-    dims = lf.select("side", "category").distinct()
-    spine = pairs.crossJoin(F.broadcast(dims))
+    every = written(lf.groupBy(t1.alias("topic_a"), t2.alias("topic_b"), "side", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("post_flag").alias("post_rate"), F.avg("verdict_flag").alias("verdict_rate")), "topic_rates")
+    rates = every.where(F.col("side").isNotNull())
+    topics = every.select(F.col("topic_a").alias("t")).union(every.select(F.col("topic_b").alias("t"))).distinct()
+    pairs = topics.select(F.col("t").alias("topic_a")).join(topics.select(F.col("t").alias("topic_b")), F.col("topic_a") < F.col("topic_b"))
+    spine = pairs.crossJoin(rates.select("side", "category").distinct())
     j = spine.join(rates, ["topic_a", "topic_b", "side", "category"], "left")
     return j.select("topic_a", "topic_b", "side", "category", F.coalesce("n", F.lit(0)).alias("n"),
                     F.coalesce("post_rate", F.lit(0.0)).alias("post_rate"),

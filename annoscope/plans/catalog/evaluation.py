@@ -14,7 +14,7 @@ from annoscope.session import scratch_path
 from annoscope.sources import readers, sinks
 
 G2 = ["category", "corpus"]
-CORPORA = ("de", "en", "es", "fr")
+# The percentile levels of the threshold table.
 F1_LEVELS = (95, 90, 80, 70, 60, 50)
 T_975_DF9 = 2.262157162798239  # Student t 0.975 quantile, 9 degrees of freedom (10 folds)
 W = S.with_(S.SCORED_FOLDS)
@@ -149,12 +149,10 @@ def eval_kfold(spark, sf):
 
 @register("eval_auc_grid", "evaluation", sql=W + ", " + S.ranked_ctes("scored_folds", G2) + f""",
 auc AS (SELECT category, corpus, sum(neg * (tps - pos / 2.0)) / (max(n_pos) * max(n_neg)) AS auc FROM rc WHERE n_pos > 0 AND n_neg > 0 GROUP BY ALL)
-SELECT category, {', '.join(f"round(max(CASE WHEN corpus = '{c}' THEN round(auc, 2) END), 6) AS {c}" for c in CORPORA)}
-FROM auc GROUP BY category""")
+SELECT category, corpus, round(auc, 2) AS auc FROM auc""")
 def eval_auc_grid(spark, sf):
     auc = C.auc_roc(fx.scored_folds(spark, sf), G2)
-    wide = auc.groupBy("category").pivot("corpus", list(CORPORA)).agg(F.first(F.round("auc", 2)))
-    return rounded(wide)
+    return rounded(auc.select("category", "corpus", F.round("auc", 2).alias("auc")))
 
 
 # ---------------------------------------------------------------- F1 at percentile levels
@@ -300,12 +298,10 @@ mlong AS (SELECT 'scorer' AS method, category, corpus, id, y_true, y_score FROM
 """ + S.ranked_ctes("mlong", ["method", "category", "corpus"]) + f""",
 auc AS (SELECT method, category, corpus, sum(neg * (tps - pos / 2.0)) / (max(n_pos) * max(n_neg)) AS auc
         FROM rc WHERE n_pos > 0 AND n_neg > 0 GROUP BY ALL)
-SELECT method, category, {', '.join(f"round(max(CASE WHEN corpus = '{c}' THEN round(auc, 2) END), 6) AS {c}" for c in CORPORA)}
-FROM auc GROUP BY method, category""")
+SELECT method, category, corpus, round(auc, 2) AS auc FROM auc""")
 
 
 @register("eval_auc_methods", "evaluation", sql=_methods_sql())
 def eval_auc_methods(spark, sf):
     auc = C.auc_roc(_methods_long(spark, sf), ["method", "category", "corpus"])
-    wide = auc.groupBy("method", "category").pivot("corpus", list(CORPORA)).agg(F.first(F.round("auc", 2)))
-    return rounded(wide)
+    return rounded(auc.select("method", "category", "corpus", F.round("auc", 2).alias("auc")))

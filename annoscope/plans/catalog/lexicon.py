@@ -43,7 +43,7 @@ def lex_load(spark, sf):
 # ---- lex_build: raw (word, category, sentiment) rows -> word -> dims ----
 
 def _raw_lexicon_rows(spark, sf):
-    vocab = fx.tokens(spark, sf).select(F.col("token").alias("word")).distinct().where(u01("word", F.lit("lx")) < 0.05)
+    vocab = fx.tokens(spark, sf).select(F.col("token").alias("word")).distinct()
     rows = vocab.select("word", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
     return rows.select("word", _pick(RAW_CATEGORY_SPELLINGS, "word", "k", F.lit("c")).alias("category"),
                        _pick(RAW_SENTIMENT_SPELLINGS, "word", "k", F.lit("s")).alias("sentiment"))
@@ -53,7 +53,6 @@ _LEX_BUILD_SQL = S.with_(S.TOKENS) + f""", raw AS (
   SELECT word, {_sql_pick(RAW_CATEGORY_SPELLINGS, 'word', 'k', S.q('c'))} AS category,
          {_sql_pick(RAW_SENTIMENT_SPELLINGS, 'word', 'k', S.q('s'))} AS sentiment
   FROM (SELECT DISTINCT token AS word FROM tokens) v CROSS JOIN (SELECT UNNEST([0, 1]) AS k) kk
-  WHERE {S.u01('word', S.q('lx'))} < 0.05
 ), norm AS (
   SELECT word, CASE trim(lower(category)) {' '.join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in L.CATEGORY_ALIASES.items())}
                   ELSE trim(lower(category)) END AS c, trim(lower(sentiment)) AS p FROM raw
@@ -74,8 +73,7 @@ DIC_CODES = tuple((str(i + 1), d.replace("_", ".")) for i, d in enumerate(DIMENS
 
 
 def _dic_entries(spark, sf):
-    vocab = fx.tokens(spark, sf).select(F.col("token").alias("w")).distinct().where(
-        (u01("w", F.lit("dic")) < 0.05) & F.col("w").rlike(r"^\p{L}+$"))
+    vocab = fx.tokens(spark, sf).select(F.col("token").alias("w")).distinct().where(F.col("w").rlike(r"^\p{L}+$"))
     c1 = (F.floor(u01("w", F.lit("c1")) * len(DIC_CODES)) + 1).cast("int")
     c2 = (F.floor(u01("w", F.lit("c2")) * len(DIC_CODES)) + 1).cast("int")
     two_codes = u01("w", F.lit("two")) < 0.4
@@ -86,7 +84,7 @@ def _dic_entries(spark, sf):
 @register("lex_dic", "lexicon", sql=S.with_(S.TOKENS) + f""", e AS (
   SELECT w, CAST(floor({S.u01('w', S.q('c1'))} * {len(DIC_CODES)}) AS INTEGER) + 1 AS c1,
          CASE WHEN {S.u01('w', S.q('two'))} < 0.4 THEN CAST(floor({S.u01('w', S.q('c2'))} * {len(DIC_CODES)}) AS INTEGER) + 1 END AS c2
-  FROM (SELECT DISTINCT token AS w FROM tokens) WHERE {S.u01('w', S.q('dic'))} < 0.05 AND regexp_matches(w, '^\\p{{L}}+$')
+  FROM (SELECT DISTINCT token AS w FROM tokens) WHERE regexp_matches(w, '^\\p{{L}}+$')
 ), codes AS {S.values([(int(k), v.replace('.', '_')) for k, v in DIC_CODES], ['code', 'dim'])},
 x AS (SELECT w, c1 AS code FROM e UNION ALL SELECT w, c2 FROM e WHERE c2 IS NOT NULL)
 SELECT w AS word, array_to_string(list_sort(list_distinct(list(dim))), ',') AS dims

@@ -21,7 +21,7 @@ def score_lexicon_rowwise(spark, sf):
 
 
 @register("stream_window_join", "streaming", sql=BASE + f"""SELECT c.parent_id AS post_id, c.id AS comment_id, c.label
-FROM comments c JOIN posts p ON c.parent_id = p.id AND c.created <= p.created + {WINDOW_SQL} AND c.created >= p.created - INTERVAL 3650 DAY
+FROM comments c JOIN posts p ON c.parent_id = p.id AND c.created <= p.created + {WINDOW_SQL}
 WHERE c.label IN ('YTA', 'NTA', 'ESH', 'NAH')""")
 def stream_window_join(spark, sf):
     base = scratch_path(spark, "stream")
@@ -38,7 +38,7 @@ def stream_window_join(spark, sf):
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     ps = ps.withColumn("created", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("created"))))
     cs = cs.withColumn("created", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("created"))))
-    joined = IJ.windowed_comments_stream(ps, cs, window=f"{fx.POST_WINDOW_DAYS} days", lookback="3650 days", watermark="1 hour")
+    joined = IJ.windowed_comments_stream(ps, cs, window=f"{fx.POST_WINDOW_DAYS} days")
     out = joined.select("post_id", F.col("id").alias("comment_id"), "label")
     IJ.run_to_table(out, f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")

@@ -55,7 +55,6 @@ POST_WINDOW_DAYS = 1200
 POST_MIN_JUDGMENTS = 8
 POST_BALANCE = 0.7
 HIGHLIGHT_CODERS = (0, 1, 2, 3, 549)
-VOCAB_SIZE = 500
 
 
 def _map_expr(col, pairs):
@@ -96,17 +95,18 @@ def lexicon_a(spark: SparkSession) -> DataFrame:
 
 
 def lexicon_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = vocabulary(spark, sf_dir).select(F.col("token").alias("word")).where(u01("word") < 0.1)
+    vocab = vocabulary(spark, sf_dir).select(F.col("token").alias("word"))
     cols = [u01("word", F.lit(c)).alias(f"{c}_p") for c in CATEGORIES]
     cols += [(2 * u01("word", F.lit(c), F.lit("s")) - 1).alias(f"{c}_sent") for c in CATEGORIES]
     return vocab.select("word", *cols)
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token -> 64-d vector of ``embeddings`` row ``floor(u01(token)*500)``; 30 % OOV."""
-    vocab = vocabulary(spark, sf_dir).select("token").where(u01("token", F.lit("oov")) >= 0.3)
-    vocab = vocab.select("token", F.floor(u01("token") * VOCAB_SIZE).cast("long").alias("vec_id"))
+    """token -> 64-d vector of ``embeddings`` row ``floor(u01(token) * number of rows)``; 30 % OOV."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    size = emb.agg((F.max("vec_id") + 1).alias("_n"))  # one row
+    vocab = vocabulary(spark, sf_dir).select("token").where(u01("token", F.lit("oov")) >= 0.3)
+    vocab = vocab.crossJoin(F.broadcast(size)).select("token", F.floor(u01("token") * F.col("_n")).cast("long").alias("vec_id"))
     return vocab.join(emb, "vec_id", "inner").select("token", "vec")
 
 

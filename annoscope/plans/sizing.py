@@ -1,49 +1,27 @@
 """Broadcast only behind a size check.
 
-``maybe_broadcast`` hints a broadcast when the caller gives a proven row bound; ``checked_broadcast``
-proves the bound itself with a capped count (``limit(n+1).count()`` reads at most n+1 rows per task
-and stops). Above the bound the plain DataFrame is returned and Spark plans a shuffle join.
+``maybe_broadcast`` hints a broadcast when the caller gives a proven row bound that fits the session's
+``spark.sql.autoBroadcastJoinThreshold``; otherwise Spark plans (and AQE re-plans) the join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
 
 def broadcast_limit_bytes(df: DataFrame) -> int:
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        v = int(str(raw).lower().rstrip("b"))
-    except ValueError:
-        v = 10 * 1024 * 1024
-    return max(v, 0)
+    """The session's broadcast threshold in bytes; 0 where broadcasts are switched off."""
+    raw = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m")).strip().lower()
+    digits = raw.rstrip("bkmg")
+    return max(int(digits) * _UNITS[raw[len(digits):]], 0)
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int | None, row_bytes: int = 64) -> DataFrame:
     if max_rows is None:
         return df
-    if max_rows * row_bytes <= max(broadcast_limit_bytes(df), 8 * 1024 * 1024):
-        return F.broadcast(df)
-    return df
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000, row_bytes: int = 64) -> DataFrame:
-    """Broadcast ``df`` iff it provably has at most ``max_rows`` rows (capped count)."""
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return maybe_broadcast(df, n, row_bytes)
-    return df
-
-
-def ensure_parallelism(df: DataFrame, factor: int = 2, key: str | None = None) -> DataFrame:
-    """Spread rows over at least ``factor × defaultParallelism`` partitions before CPU-heavy
-    per-row work (tokenising, hashing, regex), when the scan produced fewer (e.g. one large file
-    with a single row group). On a cluster reading many files this is a no-op; only planning is
-    done here, no job is run."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df._jdf.rdd().getNumPartitions() >= target:  # planning only (JVM side), no job
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+    return F.broadcast(df) if max_rows * row_bytes <= broadcast_limit_bytes(df) else df
 
 
 def shared(df: DataFrame) -> DataFrame:

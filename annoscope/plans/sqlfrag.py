@@ -42,11 +42,11 @@ LEXICON_A = f"lexicon_a AS {values(fx.LEXICON_A_ROWS, ['word', 'dim'])}"
 LEXICON_B = "lexicon_b AS (\n  SELECT word, " + ", ".join(
     [f"{u01('word', q(c))} AS {c}_p" for c in CATEGORIES]
     + [f"2 * {u01('word', q(c), q('s'))} - 1 AS {c}_sent" for c in CATEGORIES]
-) + f"\n  FROM (SELECT DISTINCT token AS word FROM tokens) WHERE {u01('word')} < 0.1\n)"
+) + f"\n  FROM (SELECT DISTINCT token AS word FROM tokens)\n)"
 
 WORD_VECTORS = f"""word_vectors AS (
   SELECT v.token, e.embedding AS vec
-  FROM (SELECT token, CAST(floor({u01('token')} * {fx.VOCAB_SIZE}) AS BIGINT) AS vec_id
+  FROM (SELECT token, CAST(floor({u01('token')} * (SELECT max(vec_id) + 1 FROM embeddings)) AS BIGINT) AS vec_id
         FROM (SELECT DISTINCT token FROM tokens) WHERE {u01('token', q('oov'))} >= 0.3) v
   JOIN embeddings e ON e.vec_id = v.vec_id
 )"""

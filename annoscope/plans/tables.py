@@ -7,20 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-
-_SPREAD: dict[tuple[str, int], bool] = {}
+# Tables whose rows get per-row work (tokenising, hashing, window joins) right after the scan.
+WORKED = frozenset(("documents", "conversations", "lineitem", "orders", "embeddings"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cluster when the scan yields too few partitions (the
-    repartition sits above the scan, so column pruning and filters still reach Parquet). The
-    decision is planned once per path and parallelism."""
+    """A driver table. One that is a single split (so at most ``spark.sql.files.maxPartitionBytes``,
+    or one row group) is dealt to all cores before the per-row work; a table of more splits is read
+    as it is, without a shuffle."""
     if name not in TABLES:
         raise KeyError(name)
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    target = spark.sparkContext.defaultParallelism * 2
-    key = (path, target)
-    if key not in _SPREAD:
-        _SPREAD[key] = df._jdf.rdd().getNumPartitions() < target  # planning only, no job
-    return df.repartition(target) if _SPREAD[key] else df
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in WORKED and df._jdf.rdd().getNumPartitions() == 1:  # planning only, no job
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df

@@ -48,37 +48,37 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 RECORD_ROWS = 10_000
 
 
-def _record_chunk(rows: int = RECORD_ROWS):
-    """Chunk id that puts at most ``rows`` consecutive rows of a partition into one record."""
-    return F.floor(F.monotonically_increasing_id() / F.lit(rows))
+def _chunked(df: DataFrame, keys: Sequence[str], by: Sequence[str], rows: int) -> DataFrame:
+    """Adds ``_chunk``, which deals each key's rows by hash to records of about ``rows`` values. A key of
+    at most ``rows`` values is one record; the shape depends on counts and hashes, not on the layout."""
+    n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("long").alias("_n"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    j = df.alias("d").join(n.alias("n"), same) if keys else df.alias("d").crossJoin(F.broadcast(n.alias("n")))  # one row
+    return j.select("d.*", F.pmod(F.xxhash64(*[F.col(f"d.{c}") for c in by]), F.col("n._n")).alias("_chunk"))
 
 
 def write_grouped_json(df: DataFrame, key: str, value: str, path: str, mode: str = "overwrite",
                        record_rows: int = RECORD_ROWS) -> None:
-    """``{key: [values]}`` objects, one line per key and chunk (``collect_list`` per key,
-    distributed). A hot key is spread over several records of at most ``record_rows`` values;
-    readers concatenate records of the same key."""
-    g = df.select(key, value, _record_chunk(record_rows).alias("_chunk")).groupBy(key, "_chunk") \
-        .agg(F.collect_list(value).alias(value)).drop("_chunk")
+    """``{key: [values]}`` objects, one line per key (values in ascending order). Only a key of more
+    than ``record_rows`` values is spread over several records; readers concatenate them."""
+    g = _chunked(df.select(key, value), [key], [value], record_rows).groupBy(key, "_chunk") \
+        .agg(F.array_sort(F.collect_list(value)).alias(value)).drop("_chunk")
     write_json_lines(g, path, mode)
 
 
-def write_dic(entries: DataFrame, path: str, codes: Sequence[tuple[str, str]], parts: int | None = None,
+def write_dic(entries: DataFrame, path: str, codes: Sequence[tuple[str, str]], record_rows: int = RECORD_ROWS,
               mode: str = "overwrite") -> None:
-    """Write ``.dic`` dictionaries: each part file is a complete dictionary (code section + its
-    share of entries). ``entries(w, c1, c2, split)``: word, one or two codes, and whether the word is
-    written as two fields (a multi-word key)."""
-    spark = entries.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    """Write ``.dic`` dictionaries of about ``record_rows`` entries; each file is a complete dictionary
+    (code section + its share of entries). ``entries(w, c1, c2, split)``: word, one or two codes,
+    and whether the word is written as two fields (a multi-word key)."""
     header = "%\n" + "\n".join(f"{c}\t{name}" for c, name in codes) + "\n%\n"
     half = (F.length("w") / 2).cast("int")
     word = F.when(F.col("split"), F.concat(F.substring("w", 1, half), F.lit(" "), F.expr("substring(w, 1 + cast(length(w) / 2 as int))"))) \
         .otherwise(F.col("w"))
     line = F.concat_ws("\t", word, F.col("c1").cast("string"), F.col("c2").cast("string"))
-    bucket = F.pmod(F.xxhash64("w"), F.lit(n))
-    files = entries.select(bucket.alias("b"), line.alias("line")).groupBy("b").agg(
+    files = _chunked(entries, [], ["w"], record_rows).select("_chunk", line.alias("line")).groupBy("_chunk").agg(
         F.concat(F.lit(header), F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n")).alias("value"))
-    files.select("value").repartition(n).write.mode(mode).text(path)
+    files.select("value").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
 def write_fold_predictions(pred: DataFrame, path: str, record_rows: int = RECORD_ROWS, mode: str = "overwrite") -> None:
@@ -87,21 +87,19 @@ def write_fold_predictions(pred: DataFrame, path: str, record_rows: int = RECORD
     A fold is written as several records of at most ``record_rows`` predictions, so no record
     holds a whole fold; readers concatenate records of the same fold.
     """
-    rows = pred.select("fold", _record_chunk(record_rows).alias("chunk"), F.struct("y_true", "y_score", "y_pred").alias("r"))
-    g = rows.groupBy("fold", "chunk").agg(F.collect_list("r").alias("rs"))
+    rows = _chunked(pred, ["fold"], ["y_score", "y_true"], record_rows)
+    g = rows.groupBy("fold", "_chunk").agg(F.array_sort(F.collect_list(F.struct("y_score", "y_true", "y_pred"))).alias("rs"))
     out = g.select("fold", F.col("rs.y_true").alias("y_true"), F.col("rs.y_score").alias("y_score"),
                    F.col("rs.y_pred").alias("y_pred"))
     out.write.mode(mode).json(path)
 
 
-def write_nested_corpus_json(tweets: DataFrame, path: str, chunks: int | None = None, mode: str = "overwrite") -> None:
+def write_nested_corpus_json(tweets: DataFrame, path: str, record_rows: int = RECORD_ROWS, mode: str = "overwrite") -> None:
     """A6 writer: JSON lines ``{"Corpus": c, "Tweets": [{tweet_id, tweet_text, annotations: [...]}]}``.
-    Each corpus is split into hash chunks, so no record holds a whole corpus."""
-    n = chunks or int(tweets.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    A corpus of more than ``record_rows`` tweets is split into hash chunks of about that size."""
     per_tweet = tweets.groupBy("corpus", "tweet_id", "tweet_text").agg(
         F.collect_list(F.struct(F.col("annotator").cast("string").alias("annotator"), "annotation")).alias("annotations"))
-    ch = F.pmod(F.xxhash64("tweet_id"), F.lit(n))
-    recs = per_tweet.groupBy(F.col("corpus").alias("Corpus"), ch.alias("_chunk")).agg(
+    recs = _chunked(per_tweet, ["corpus"], ["tweet_id"], record_rows).groupBy(F.col("corpus").alias("Corpus"), "_chunk").agg(
         F.collect_list(F.struct("tweet_id", "tweet_text", "annotations")).alias("Tweets"))
     recs.select("Corpus", "Tweets").write.mode(mode).json(path)
 
@@ -110,7 +108,7 @@ def write_keyed_json(df: DataFrame, key: str, value_cols: list[str], path: str,
                      mode: str = "overwrite") -> None:
     """A7 writer: object-keyed JSON ``{key: {value...}}``, one object per record of at most
     ``record_rows`` keys; records are written as separate text rows (one object per line)."""
-    g = df.withColumn("_chunk", _record_chunk(record_rows)).groupBy("_chunk").agg(F.map_from_entries(F.collect_list(F.struct(
+    g = _chunked(df, [], [key], record_rows).groupBy("_chunk").agg(F.map_from_entries(F.collect_list(F.struct(
         F.col(key).cast("string"), F.struct(*value_cols)))).alias("m"))
     g.select(F.to_json("m").alias("value")).write.mode(mode).text(path)
 

@@ -1,8 +1,10 @@
 """Stream-stream interval join of posts and comments (F5 as a stream).
 
-Both sides carry watermarks; the join condition bounds the comment time on both sides of the
-post time (``lookback`` before, ``window`` after), which lets Spark drop join state once the
-watermark passes. Comments later than the window are never emitted — the batch rule.
+A comment is joined to its post if it is not later than ``window`` after it — the batch rule, which has no
+lower bound. Without ``watermark`` and ``lookback`` the result equals the batch join however the
+input is cut into micro-batches, and join state is kept. To let Spark drop state, give a
+``watermark`` (the input's largest disorder; later rows are dropped) and a ``lookback``
+(comments older than that before their post are not joined).
 ``TIMESTAMP + INTERVAL`` is evaluated in the session time zone (a DST day is 23 or 25 hours);
 build the streams from a UTC session for exact windows.
 """
@@ -13,14 +15,16 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def windowed_comments_stream(posts: DataFrame, comments: DataFrame, window: str = "18 hours",
-                             lookback: str = "18 hours", watermark: str = "1 hour",
+                             lookback: str | None = None, watermark: str | None = None,
                              labels=("YTA", "NTA", "ESH", "NAH")) -> DataFrame:
     """``posts(id, created)`` ⋈ ``comments(id, parent_id, created, label, ...)`` for streams."""
-    p = posts.select(F.col("id").alias("post_id"), F.col("created").alias("post_created")).withWatermark("post_created", watermark)
-    c = comments.where(F.col("label").isin(list(labels))).withWatermark("created", watermark)
-    cond = ((F.col("parent_id") == F.col("post_id"))
-            & (F.col("created") <= F.col("post_created") + F.expr(f"INTERVAL {window}"))
-            & (F.col("created") >= F.col("post_created") - F.expr(f"INTERVAL {lookback}")))
+    p = posts.select(F.col("id").alias("post_id"), F.col("created").alias("post_created"))
+    c = comments.where(F.col("label").isin(list(labels)))
+    if watermark:
+        p, c = p.withWatermark("post_created", watermark), c.withWatermark("created", watermark)
+    cond = (F.col("parent_id") == F.col("post_id")) & (F.col("created") <= F.col("post_created") + F.expr(f"INTERVAL {window}"))
+    if lookback:
+        cond = cond & (F.col("created") >= F.col("post_created") - F.expr(f"INTERVAL {lookback}"))
     return c.join(p, cond, "inner")
 
 

@@ -13,19 +13,33 @@ from annoscope.functions.text import TOKEN_PATTERN
 from annoscope.schema import CATEGORIES, dimensions
 
 
-def lexicon_map_row(lexicon: DataFrame, lemma_map: DataFrame | None = None, max_words: int = 2_000_000) -> DataFrame:
-    """One-row static table ``(_lex map<string,array<string>>, _lemma map<string,string>)``.
-
-    The lexicon size is checked (capped count) before it is folded into a single value."""
-    n = lexicon.select("word").distinct().limit(max_words + 1).count()
-    if n > max_words:
-        raise ValueError(f"lexicon larger than {max_words} words; use the shuffle scorer")
-    lex = lexicon.groupBy("word").agg(F.collect_set("dim").alias("dims")).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "dims"))).alias("_lex"))
+def _buckets(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """One row with an array of buckets; bucket ``hash(key) % size`` holds the entries of its keys, about one each."""
+    size = rows.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("int").alias("_size"))  # one row
+    cell = F.pmod(F.hash(key), F.col("_size")).alias("_cell")
+    filled = rows.crossJoin(F.broadcast(size)).groupBy(cell).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).alias("_b"))
+    cells = size.select(F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_cell"))
+    empty = F.array().cast(filled.schema["_b"].dataType)
+    return (cells.join(filled, "_cell", "left").agg(F.array_sort(F.collect_list(F.struct("_cell", F.coalesce("_b", empty).alias("b")))).alias("_s"))
+            .select(F.transform("_s", lambda x: x["b"]).alias(name)))
+
+
+def _looked_up(buckets: str, token):
+    """The value of ``token`` in a bucket array, or NULL: one bucket is read, whatever the number of keys."""
+    bucket = F.element_at(F.col(buckets), F.pmod(F.hash(token), F.size(buckets)) + 1)
+    return F.get(F.transform(F.filter(bucket, lambda e: e["k"] == token), lambda e: e["v"]), F.lit(0))
+
+
+def lexicon_map_row(lexicon: DataFrame, lemma_map: DataFrame | None = None) -> DataFrame:
+    """One-row static table ``(_lex, _lemma)``: hash buckets of ``word -> dims`` and ``token -> lemma``.
+
+    The whole lexicon is one value in every task. That suits dictionaries; for lexicons that grow with the
+    corpus use ``micro_batch.score_stream`` with the join scorer."""
+    lex = _buckets(lexicon.groupBy("word").agg(F.collect_set("dim").alias("dims")), "word", "dims", "_lex")
     if lemma_map is None:
-        return lex.withColumn("_lemma", F.create_map().cast("map<string,string>"))
-    lm = lemma_map.agg(F.map_from_entries(F.collect_list(F.struct("token", F.trim(F.lower("lemma"))))).alias("_lemma"))
-    return lex.crossJoin(lm)
+        return lex.withColumn("_lemma", F.array().cast("array<array<struct<k:string,v:string>>>"))
+    lemmas = lemma_map.select("token", F.trim(F.lower("lemma")).alias("lemma"))
+    return lex.crossJoin(F.broadcast(_buckets(lemmas, "token", "lemma", "_lemma")))  # one row each
 
 
 def score_lexicon_rowwise(texts: DataFrame, lex_row: DataFrame, categories: Sequence[str] = CATEGORIES,
@@ -33,10 +47,10 @@ def score_lexicon_rowwise(texts: DataFrame, lex_row: DataFrame, categories: Sequ
     """D4-D6 without a shuffle: token dims (else lemma dims) counted per row, normalised by the
     row's token count, poles merged unless ``sentiment``. Works on streaming ``texts``."""
     dims = dimensions(categories)
-    j = texts.crossJoin(F.broadcast(lex_row))
+    j = texts.crossJoin(F.broadcast(lex_row))  # one row
     toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
-    hits = F.transform(toks, lambda t: F.coalesce(F.col("_lex")[t],
-                                                  F.col("_lex")[F.coalesce(F.col("_lemma")[t], F.trim(F.lower(t)))],
+    lemma = lambda t: F.when(F.size("_lemma") > 0, _looked_up("_lemma", t))
+    hits = F.transform(toks, lambda t: F.coalesce(_looked_up("_lex", t), _looked_up("_lex", F.coalesce(lemma(t), F.trim(F.lower(t)))),
                                                   F.array().cast("array<string>")))
     flat = F.flatten(hits)
     base = j.select(F.col(id_col).alias("id"), F.size(toks).cast("long").alias("n_tokens"), flat.alias("_dims"))
@@ -51,9 +65,3 @@ def score_lexicon_rowwise(texts: DataFrame, lex_row: DataFrame, categories: Sequ
     if not sentiment:
         x = x.select("id", "n_tokens", *[(F.col(f"{c}_virtue") + F.col(f"{c}_vice")).alias(c) for c in categories])
     return x
-
-
-def binarize_rowwise(scored: DataFrame, thresholds: dict[str, float], strict: bool = False) -> DataFrame:
-    """B16/B17 with fixed thresholds (literal per column): row-wise, stream-safe."""
-    cols = [((F.col(c) > t) if strict else (F.col(c) >= t)).cast("int").alias(f"{c}_pred") for c, t in thresholds.items()]
-    return scored.select("*", *cols)
