@@ -242,10 +242,11 @@ def subword_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, vec, y, ys, fold)``: a binary label, one label per category (one-vs-all), fold 0 = test, 1..10 = train."""
     e = table(spark, sf_dir, "embeddings")
-    fold = (F.pmod(F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(10)) + 1)
+    ys = F.array(*[(F.col("label") % len(CATEGORIES) == k).cast("int") for k in range(len(CATEGORIES))])
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"),
-                    (F.col("label") < 5).cast("int").alias("y"), fold.cast("int").alias("fold"))
+                    (F.col("label") < 5).cast("int").alias("y"), ys.alias("ys"), fold_of("vec_id").alias("fold"))
 
 
 def fold_of(id_col, n: int = 11):
