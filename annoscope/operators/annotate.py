@@ -54,61 +54,66 @@ def highlight_spans(hl: DataFrame, articles_n: DataFrame) -> DataFrame:
     return j.where(F.col("_pos") > 0).drop("_pos")
 
 
-def sentence_group_hits(hl: DataFrame, articles: DataFrame, bin_size: int = 256) -> DataFrame:
-    """For every (coder, document, domain) group and every sentence of the document,
-    the number of the group's highlights overlapping the sentence (0 = negative)."""
-    groups = hl.select("coder_id", "document_id", "assigned_domain").distinct()
+def _sentences_of(articles: DataFrame) -> DataFrame:
     art = normalized_articles(articles)
-    sents = sentence_spans(art.withColumnRenamed("document_id", "id"), pattern=SENTENCE_PATTERN) \
-        .withColumnRenamed("id", "document_id")
-    spans = highlight_spans(hl, art)
-    hits = overlap_join(sents.select("document_id", "sent_no", F.col("start").alias("s_start"), F.col("end").alias("s_end")),
-                        spans, ["document_id"], ("s_start", "s_end"), ("h_start", "h_end"), bin_size)
+    return sentence_spans(art.withColumnRenamed("document_id", "id"), pattern=SENTENCE_PATTERN).withColumnRenamed("id", "document_id")
+
+
+def sentence_group_keys(hl: DataFrame, articles: DataFrame, bin_size: int = 256) -> DataFrame:
+    """F9/F10/G2 without texts: for every (coder, document, domain) group and every sentence number of the
+    document, the number of the group's highlights overlapping the sentence (0 = negative)."""
+    groups = hl.select("coder_id", "document_id", "assigned_domain").distinct()
+    sents = _sentences_of(articles).select("document_id", "sent_no", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    spans = highlight_spans(hl, normalized_articles(articles))
+    hits = overlap_join(sents, spans, ["document_id"], ("s_start", "s_end"), ("h_start", "h_end"), bin_size)
     cnt = hits.groupBy("coder_id", "document_id", "assigned_domain", "sent_no").agg(F.count(F.lit(1)).alias("n_hits"))
-    sg = sents.join(groups, "document_id", "inner")
+    sg = sents.select("document_id", "sent_no").join(groups, "document_id", "inner")
     out = sg.join(cnt, ["coder_id", "document_id", "assigned_domain", "sent_no"], "left")
-    return out.select("coder_id", "document_id", "assigned_domain", "sent_no", "sentence",
-                      F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+    return out.select("coder_id", "document_id", "assigned_domain", "sent_no", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
 
-def sentence_counts(hits: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
-    """Per sentence *text*: ``{c}`` = overlapping highlights of domain c, ``{c}_seen`` = those
-    plus one per negative group of domain c, ``none`` = negative groups."""
+def sentence_group_hits(hl: DataFrame, articles: DataFrame, bin_size: int = 256) -> DataFrame:
+    """``sentence_group_keys`` with the sentence's text attached."""
+    texts = _sentences_of(articles).select("document_id", "sent_no", "sentence")
+    return sentence_group_keys(hl, articles, bin_size).join(texts, ["document_id", "sent_no"]) \
+        .select("coder_id", "document_id", "assigned_domain", "sent_no", "sentence", "n_hits")
+
+
+def _count_columns(categories: Sequence[str]) -> list:
     d, k = F.col("assigned_domain"), F.col("n_hits")
     aggs = [F.sum(F.when(d == c, k).otherwise(0)).alias(c) for c in categories]
     aggs.append(F.sum(F.when(k == 0, 1).otherwise(0)).alias(NONE_CATEGORY))
-    aggs += [F.sum(F.when(d == c, F.when(k > 0, k).otherwise(1)).otherwise(0)).alias(f"{c}_seen") for c in categories]
-    return hits.groupBy("sentence").agg(*aggs)
+    return aggs + [F.sum(F.when(d == c, F.when(k > 0, k).otherwise(1)).otherwise(0)).alias(f"{c}_seen") for c in categories]
 
 
-def content_token_array(text_col: str = "sentence", stop_words: Sequence[str] | None = None,
-                        bad_strings: Sequence[str] = BAD_STRINGS, min_len: int = 3):
-    """C3 inside the row (keeps token order, no shuffle): an ``array<string>`` Column."""
-    stop_words = default_stop_words() if stop_words is None else tuple(stop_words)
-    toks = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)
-    bad = F.array(*[F.lit(b.lower()) for b in bad_strings])
-    stop = F.array(*[F.lit(s) for s in stop_words])
-    kept = F.filter(toks, lambda t: ~F.array_contains(bad, F.lower(t)) & ~F.array_contains(stop, t))
-    stripped = F.transform(kept, lambda t: F.regexp_replace(t, r"[^\p{L}]", ""))
-    return F.transform(F.filter(stripped, lambda t: F.length(t) >= min_len), lambda t: F.lower(t))
+def sentence_counts(hits: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """Per sentence *text*: ``{c}`` = overlapping highlights of domain c, ``{c}_seen`` = those
+    plus one per negative group of domain c, ``none`` = negative groups."""
+    return hits.groupBy("sentence").agg(*_count_columns(categories))
+
+
+def document_sentence_counts(hl: DataFrame, articles: DataFrame, categories: Sequence[str] = CATEGORIES, bin_size: int = 256) -> DataFrame:
+    """``sentence_counts`` of highlights and articles: counted by (document, sentence number) first, so each text is
+    attached once and then grouped."""
+    per = sentence_group_keys(hl, articles, bin_size).groupBy("document_id", "sent_no").agg(*_count_columns(categories))
+    names = [c for c in per.columns if c not in ("document_id", "sent_no")]
+    texts = _sentences_of(articles).select("document_id", "sent_no", "sentence")
+    return per.join(texts, ["document_id", "sent_no"]).groupBy("sentence").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def with_content_tokens(counts: DataFrame, min_tokens: int = 3, stop_words: Sequence[str] | None = None,
                         bad_strings: Sequence[str] = BAD_STRINGS, min_len: int = 3) -> DataFrame:
     """C3 + C6: add ``tokens`` (content tokens in text order) and ``length``; keep sentences with at
-    least ``min_tokens`` tokens.
-
-    Tokens are exploded and filtered with hashed ``IN`` sets (stop words, bad strings), then
-    gathered back per sentence. ``counts`` is already partitioned by ``sentence``, so gathering
-    back needs no new shuffle.
+    least ``min_tokens`` tokens. Filtered inside the row (stop words and bad strings as hashed sets): no
+    shuffle, and the work is linear in a sentence's length.
     """
     stop_words = default_stop_words() if stop_words is None else tuple(stop_words)
-    ex = counts.select("sentence", F.posexplode(F.regexp_extract_all("sentence", F.lit(TOKEN_PATTERN), 0)).alias("p", "t"))
-    ex = ex.where(~F.lower("t").isin([b.lower() for b in bad_strings]) & ~F.col("t").isin(list(stop_words)))
-    ex = ex.select("sentence", "p", F.lower(F.regexp_replace("t", r"[^\p{L}]", "")).alias("t")).where(F.length("t") >= min_len)
-    toks = ex.groupBy("sentence").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]).alias("tokens"))
-    toks = toks.withColumn("length", F.size("tokens")).where(F.col("length") >= min_tokens)
-    return counts.join(toks, "sentence", "inner")
+    bad = [b.lower() for b in bad_strings]
+    toks = F.regexp_extract_all(F.col("sentence"), F.lit(TOKEN_PATTERN), F.lit(0))
+    kept = F.filter(toks, lambda t: ~F.lower(t).isin(bad) & ~t.isin(list(stop_words)))
+    letters = F.transform(kept, lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}]", "")))
+    out = counts.withColumn("tokens", F.filter(letters, lambda t: F.length(t) >= min_len))
+    return out.withColumn("length", F.size("tokens")).where(F.col("length") >= min_tokens)
 
 
 def map_labels(rows: DataFrame, label_map: DataFrame, col: str = "annotation", sep: str = ",",

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from annoscope.operators.curves import score_counts
+from annoscope.session import per_group, written
+
 
 def prior_ratio(train: DataFrame, group_cols: Sequence[str], y: str = "y_true") -> DataFrame:
     """``(group..., pos_share, neg_to_pos)`` from the training labels."""
@@ -64,17 +67,17 @@ def platt_fit(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s: st
     from pyspark.ml.feature import VectorAssembler
 
     g = list(group_cols)
-    counts = df.groupBy(*g).agg(F.sum(F.col(y)).alias("_np"), F.sum(1 - F.col(y)).alias("_nn"))
-    j = df.join(counts, on=g) if g else df.crossJoin(counts)
-    t = F.when(F.col(y) == 1, (F.col("_np") + 1) / (F.col("_np") + 2)).otherwise(1 / (F.col("_nn") + 2))
-    base = j.select(*g, F.col(s).cast("double").alias("_s"), t.alias("_t"))
-    twice = base.select(*g, "_s", F.explode(F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("_t").alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (1 - F.col("_t")).alias("w")))).alias("r"))
+    scores = written(score_counts(df, g, y, s), "scores")  # rows are read once, then one row per distinct score
+    counts = per_group(scores.groupBy(*g).agg(F.sum("pos").alias("_np"), F.sum("neg").alias("_nn")))
+    j = scores.join(counts, on=g) if g else scores.crossJoin(counts)
+    one = F.col("pos") * (F.col("_np") + 1) / (F.col("_np") + 2) + F.col("neg") / (F.col("_nn") + 2)
+    twice = j.select(*g, F.col("score").alias("_s"), F.explode(F.array(
+        F.struct(F.lit(1.0).alias("label"), one.alias("w")),
+        F.struct(F.lit(0.0).alias("label"), (F.col("pos") + F.col("neg") - one).alias("w")))).alias("r"))
     twice = twice.select(*g, "_s", "r.label", "r.w")
     feat = VectorAssembler(inputCols=["_s"], outputCol="features").transform(twice)
     rows = []
-    for key in _groups(df, g):
+    for key in _groups(counts, g):
         part = _where_group(feat, g, key)
         lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=0.0,
                                 standardization=False, maxIter=max_iter, tol=tol)
@@ -87,6 +90,7 @@ def platt_fit(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s: st
 def platt_apply(df: DataFrame, params: DataFrame, group_cols: Sequence[str], s: str = "y_score",
                 out: str = "calibrated") -> DataFrame:
     g = list(group_cols)
+    params = per_group(params)
     j = df.join(params, on=g) if g else df.crossJoin(params)
     return j.withColumn(out, 1 / (1 + F.exp(F.col("a") * F.col(s) + F.col("b"))))
 
@@ -100,19 +104,20 @@ def platt_inverse(c, a="a", b="b") -> Column:
 def isotonic_fit_apply(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s: str = "y_score",
                        out: str = "calibrated") -> DataFrame:
     """Increasing isotonic regression of the label on the score, per group, applied to the
-    same rows; predictions clip outside the fitted range (Spark ML's behaviour)."""
+    same rows; predictions clip outside the fitted range (Spark ML's behaviour). Rows are collapsed to one weighted
+    row per distinct score first; rows without a score or label get no value."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
     g = list(group_cols)
-    feat = VectorAssembler(inputCols=[s], outputCol="features").transform(
-        df.withColumn("label", F.col(y).cast("double")).withColumn(s, F.col(s).cast("double")))
-    parts = []
-    for key in _groups(df, g):
+    scores = written(score_counts(df, g, y, s).withColumn("_w", (F.col("pos") + F.col("neg")).cast("double")), "scores")
+    feat = VectorAssembler(inputCols=["score"], outputCol="features").transform(scores.withColumn("label", F.col("pos") / F.col("_w")))
+    res = None
+    for key in _groups(scores, g):
         part = _where_group(feat, g, key)
-        m = IsotonicRegression(featuresCol="features", labelCol="label", isotonic=True).fit(part)
-        parts.append(m.transform(part).withColumnRenamed("prediction", out).drop("features", "label"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+        m = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="_w", isotonic=True).fit(part)
+        done = m.transform(part).select(*g, F.col("score").alias("_s"), F.col("prediction").alias(out))
+        res = done if res is None else res.unionByName(done)
+    if res is None:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    return df.withColumn("_s", F.col(s).cast("double")).join(res, [*g, "_s"], "left").drop("_s")

@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.storagelevel import StorageLevel
 
+from annoscope.session import per_group, written
 from annoscope.operators.prefix import exact_percentiles, running_totals, with_next, with_prev
 
 INF = float("inf")
@@ -45,7 +45,7 @@ def ranked_counts(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s
     cum = cum.select(*g, "score", "pos", "neg", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"),
                      F.col("cum__one").alias("k"))
     # one row per distinct score: small next to the input, and every curve reads it several times
-    return _join_totals(cum, _totals(counts, g), g).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(_join_totals(cum, per_group(_totals(counts, g)), g), "ranked")
 
 
 def roc_vertices(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s: str = "y_score",
@@ -175,7 +175,7 @@ def pr_interpolated(df: DataFrame, group_cols: Sequence[str], y: str = "y_true",
 def median_predictions(df: DataFrame, group_cols: Sequence[str], s: str = "y_score", out: str = "y_pred") -> DataFrame:
     """L1: ``y_pred = score >= median(score)`` of the group (exact median, distributed)."""
     g = list(group_cols)
-    med = exact_percentiles(df, g, s, probs=[0.5]).select(*g, F.col("value").alias("_median"))
+    med = per_group(exact_percentiles(df, g, s, probs=[0.5]).select(*g, F.col("value").alias("_median")))
     j = df.join(med, on=g, how="inner") if g else df.crossJoin(med)
     return j.withColumn(out, (F.col(s) >= F.col("_median")).cast("int")).drop("_median")
 

@@ -14,7 +14,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.storagelevel import StorageLevel
+
+from annoscope.session import per_group, written
 
 _PID = "_slice"
 
@@ -37,9 +38,9 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_col: str, sum
     ranged = df.repartitionByRange(_partitions(df, partitions), *[F.col(c) for c in g], order)
     # The slice id must be identical for the two consumers below (local sums and slice totals).
     # Range bounds come from sampling the input, whose row order may differ between two
-    # executions, so the sliced rows are persisted once and both consumers read the same blocks.
-    # A lost block is recomputed from the same shuffle (fixed range bounds), so ids stay stable.
-    sliced = ranged.withColumn(_PID, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    # executions, so the sliced rows are written once, with their slice id, and both consumers read
+    # that table.
+    sliced = written(ranged.withColumn(_PID, F.spark_partition_id()), "slices")
     w_local = Window.partitionBy(_PID, *g).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
     totals = sliced.groupBy(_PID, *g).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
@@ -88,10 +89,11 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     """
     g = list(group_cols)
     base = df.where(F.col(value_col).isNotNull()).select(*g, F.col(value_col).cast("double").alias("_v"))
-    counts = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(counts, "values")
     cum = running_totals(counts, g, "_v", ["_n"], partitions=partitions)
     cum = cum.select(*g, "_v", (F.col("cum__n") - F.col("_n")).alias("_lo_pos"), (F.col("cum__n") - 1).alias("_hi_pos"))
-    sizes = counts.groupBy(*g).agg(F.sum("_n").alias("_N"))
+    sizes = per_group(counts.groupBy(*g).agg(F.sum("_n").alias("_N")))
     if probs_df is None:
         spark = df.sparkSession
         probs_df = spark.createDataFrame([(float(p),) for p in probs], f"{prob_col} double")
@@ -105,7 +107,7 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     cum_r = cum.select(*[F.col(c).alias(f"_c_{c}") for c in g], "_v", "_lo_pos", "_hi_pos")
     cond = [F.col("_p") >= F.col("_lo_pos"), F.col("_p") <= F.col("_hi_pos")]
     cond += [F.col(c) == F.col(f"_c_{c}") for c in g]
-    hit = pos.join(cum_r, on=cond, how="inner").select(*g, prob_col, "_h", "_p0", "_p", "_v")
+    hit = per_group(pos).join(cum_r, on=cond, how="inner").select(*g, prob_col, "_h", "_p0", "_p", "_v")
     res = hit.groupBy(*g, prob_col, "_h", "_p0").agg(
         F.min_by("_v", "_p").alias("_v0"), F.max_by("_v", "_p").alias("_v1"))
     frac = F.col("_h") - F.col("_p0")

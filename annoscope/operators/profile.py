@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from annoscope.operators.prefix import exact_percentiles
+from annoscope.session import per_group
 
 
 def _pivot_probs(q: DataFrame, g: list[str], names: dict[float, str]) -> DataFrame:
@@ -70,7 +71,7 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value: str, whisker: flo
     """Quartiles (linear), IQR, whiskers at the most extreme values within ``whisker``·IQR
     of the box, and the number of outliers."""
     g = list(group_cols)
-    q = _pivot_probs(exact_percentiles(df, g, value, probs=[0.25, 0.5, 0.75]), g, {0.25: "q1", 0.5: "median", 0.75: "q3"})
+    q = per_group(_pivot_probs(exact_percentiles(df, g, value, probs=[0.25, 0.5, 0.75]), g, {0.25: "q1", 0.5: "median", 0.75: "q3"}))
     j = df.join(q, g) if g else df.crossJoin(q)
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - whisker * iqr, F.col("q3") + whisker * iqr
@@ -87,7 +88,7 @@ def kde_grid(df: DataFrame, group_cols: Sequence[str], value: str, n_grid: int =
     g = list(group_cols)
     v = F.col(value).cast("double")
     stats = df.groupBy(*g).agg(F.count(v).alias("_n"), F.stddev_samp(v).alias("_sd"))
-    stats = stats.withColumn("_bw", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd"))
+    stats = per_group(stats).withColumn("_bw", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd"))
     counts = df.groupBy(*g, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     j = counts.join(stats, g) if g else counts.crossJoin(stats)
     step = (hi - lo) / (n_grid - 1)

@@ -56,15 +56,16 @@ def judgment_counts(posts: DataFrame, comments: DataFrame, window_expr: str, min
     return judgment_filter(posts, comments, window_expr, min_total, balance)[0]
 
 
-def top_comment(comments: DataFrame, post_col: str = "post_id") -> DataFrame:
-    """H1: highest-scored comment per post; ties -> smallest comment id (a deterministic choice).
+def top_comment(comments: DataFrame, post_col: str = "post_id", keep: Sequence[str] = ()) -> DataFrame:
+    """H1: highest-scored comment per post; ties -> smallest comment id (a deterministic choice). ``keep`` names
+    further columns of that comment to carry along, so that it need not be looked up again.
 
     ``min_by(…, struct(-score, id))`` is an aggregate with partial aggregation, so no post's
     comments are ever sorted or gathered in one task."""
     key = F.struct(-F.col("score"), F.col("id"))
     return comments.groupBy(post_col).agg(
         F.min_by("id", key).alias("verdict_id"), F.min_by("label", key).alias("verdict"),
-        F.max("score").alias("verdict_score"))
+        F.max("score").alias("verdict_score"), *[F.min_by(c, key).alias(c) for c in keep])
 
 
 def verdict_join(posts: DataFrame, comments: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:

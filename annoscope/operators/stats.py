@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from annoscope.functions.dist import chi2_survival, two_sided_normal_p, two_sided_t_p
 from annoscope.functions.predicates import significance_stars
 from annoscope.operators.prefix import running_totals
+from annoscope.session import per_group, written
 
 
 def norm_ppf(q: float) -> float:
@@ -99,15 +100,24 @@ def average_ranks(df: DataFrame, group_cols: Sequence[str], value: str) -> DataF
 def mann_whitney(df: DataFrame, group_cols: Sequence[str], value: str, sample: str, with_p: bool = True) -> DataFrame:
     """Mann–Whitney U of the first sample (``sample`` = 1) with tie-corrected, continuity-
     corrected normal p (two-sided), plus the medians of both samples."""
-    from annoscope.operators.prefix import exact_percentiles
-
     g = list(group_cols)
-    ranks = average_ranks(df, g, value)
-    per = df.groupBy(*g, F.col(value).cast("double").alias(value)).agg(
-        F.count_if(F.col(sample) == 1).alias("c1"), F.count(F.lit(1)).alias("c_all"))
-    j = per.join(ranks, on=[*g, value])
-    a = j.groupBy(*g).agg(F.sum(F.col("c1") * F.col("rank")).alias("R1"), F.sum("c1").alias("n1"),
-                          F.sum("c_all").alias("n"), F.sum(F.pow(F.col("c"), 3) - F.col("c")).alias("ties"))
+    # one row per distinct value with the counts of both samples; one running total over both
+    # gives average ranks, ties and both medians
+    first, second = F.col(sample) == 1, F.col(sample) == 0
+    per = df.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("_v")).agg(
+        F.count_if(first).alias("c1"), F.count_if(second).alias("c0"), F.count(F.lit(1)).alias("c"))
+    cum = written(running_totals(per, g, "_v", ["c1", "c0", "c"]), "ranks")
+    sizes = per_group(cum.groupBy(*g).agg(F.sum("c1").alias("_s1"), F.sum("c0").alias("_s0")))
+    j = cum.join(sizes, g) if g else cum.crossJoin(sizes)
+    rank = F.col("cum_c") - F.col("c") + (F.col("c") + 1) / 2.0
+
+    def median(i: int):
+        at = lambda k: F.min(F.when(F.col(f"cum_c{i}") >= k, F.col("_v")))
+        return (at(F.floor((F.col(f"_s{i}") + 1) / 2)) + at(F.floor(F.col(f"_s{i}") / 2) + 1)) / 2
+
+    a = j.groupBy(*g).agg(F.sum(F.col("c1") * rank).alias("R1"), F.sum("c1").alias("n1"), F.sum("c").alias("n"),
+                          F.sum(F.pow(F.col("c"), 3) - F.col("c")).alias("ties"),
+                          median(1).alias("median1"), median(0).alias("median2"))
     n1, n = F.col("n1").cast("double"), F.col("n").cast("double")
     n2 = n - n1
     u1 = F.col("R1") - n1 * (n1 + 1) / 2
@@ -115,11 +125,7 @@ def mann_whitney(df: DataFrame, group_cols: Sequence[str], value: str, sample: s
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     u = F.greatest(u1, n1 * n2 - u1)
     z = F.try_divide(u - mu - 0.5, sigma)
-    out = a.select(*g, F.col("n1").alias("n1"), (F.col("n") - F.col("n1")).alias("n2"), u1.alias("U"), z.alias("z"))
-    med = exact_percentiles(df.withColumn("_smp", F.col(sample)), [*g, "_smp"], value, probs=[0.5])
-    med1 = med.where(F.col("_smp") == 1).select(*g, F.col("value").alias("median1"))
-    med0 = med.where(F.col("_smp") == 0).select(*g, F.col("value").alias("median2"))
-    out = out.join(med1, g, "left").join(med0, g, "left") if g else out.crossJoin(med1).crossJoin(med0)
+    out = a.select(*g, F.col("n1").alias("n1"), (F.col("n") - F.col("n1")).alias("n2"), u1.alias("U"), z.alias("z"), "median1", "median2")
     if with_p:
         # U is the larger of U1, U2, so z < 0 only within the continuity correction: p clips to 1
         out = out.withColumn("p_value", F.when(F.col("z") < 0, F.lit(1.0))

@@ -59,9 +59,11 @@ def youden_threshold(df: DataFrame, group_cols: Sequence[str], y: str = "y_true"
 
 def apply_threshold(df: DataFrame, thresholds: DataFrame, group_cols: Sequence[str], s: str = "y_score",
                     threshold: str = "threshold", strict: bool = False, out: str = "y_pred") -> DataFrame:
-    """Join per-group thresholds (one row per group; Spark broadcasts by size) and binarise."""
+    """Join per-group thresholds (one row per group, written so that Spark broadcasts them by size) and binarise."""
+    from annoscope.session import per_group
+
     g = list(group_cols)
-    t = thresholds.select(*g, threshold)
+    t = per_group(thresholds.select(*g, threshold))
     j = df.join(t, on=g, how="inner") if g else df.crossJoin(t)
     cmp = F.col(s) > F.col(threshold) if strict else F.col(s) >= F.col(threshold)
     return j.withColumn(out, cmp.cast("int"))

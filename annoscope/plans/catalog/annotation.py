@@ -27,11 +27,11 @@ def _filtered_hl(spark, sf):
 
 
 def _hits(spark, sf):
-    return A.sentence_group_hits(_filtered_hl(spark, sf), fx.articles(spark, sf))
+    return A.sentence_group_keys(_filtered_hl(spark, sf), fx.articles(spark, sf))
 
 
 def _counts(spark, sf):
-    return A.with_content_tokens(A.sentence_counts(_hits(spark, sf)))
+    return A.with_content_tokens(A.document_sentence_counts(_filtered_hl(spark, sf), fx.articles(spark, sf)))
 
 
 EMFD_BASE = S.with_(S.HIGHLIGHTS, S.ARTICLES) + f""", hl0 AS (SELECT * FROM highlights WHERE focus_duration >= 2700 AND coder_id NOT IN (549)),

@@ -10,7 +10,7 @@ from annoscope.operators.prefix import exact_percentiles
 from annoscope.plans import fixtures as fx, sqlfrag as S
 from annoscope.plans.catalog._util import rounded
 from annoscope.plans.registry import register
-from annoscope.session import scratch_path
+from annoscope.session import per_group, scratch_path
 from annoscope.sources import readers, sinks
 
 G2 = ["category", "corpus"]
@@ -174,8 +174,11 @@ def eval_f1_levels(spark, sf):
     probs = groups.crossJoin(F.broadcast(levels)).withColumn("prob", F.col("level") / 100.0)
     thr = exact_percentiles(s, G2, "y_score", probs_df=probs, out_col="threshold")
     thr = thr.join(probs, on=[*G2, "prob"]).select(*G2, "level", "threshold")
-    p = s.join(thr, on=G2).withColumn("y_pred", (F.col("y_score") >= F.col("threshold")).cast("int"))
-    m = C.binary_metrics(C.confusion(p, [*G2, "level", "threshold"]))
+    # one row per distinct score meets the few levels of its group, not every raw row
+    p = C.score_counts(s, G2).join(per_group(thr), on=G2)
+    over = lambda c, hit: F.sum(F.when((F.col("score") >= F.col("threshold")) == hit, F.col(c)).otherwise(0))
+    m = C.binary_metrics(p.groupBy(*G2, "level", "threshold").agg(
+        over("pos", True).alias("tp"), over("neg", True).alias("fp"), over("neg", False).alias("tn"), over("pos", False).alias("fn")))
     return rounded(m.select(*G2, "level", "threshold", "f1"))
 
 

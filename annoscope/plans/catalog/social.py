@@ -11,6 +11,7 @@ from annoscope.plans import fixtures as fx, sqlfrag as S
 from annoscope.plans.catalog._util import rounded
 from annoscope.plans.registry import register
 from annoscope.schema import CATEGORIES
+from annoscope.session import written
 
 WINDOW = f"INTERVAL {fx.POST_WINDOW_DAYS} DAYS"
 WINDOW_SQL = f"INTERVAL {fx.POST_WINDOW_DAYS} DAY"
@@ -29,6 +30,14 @@ def filtered_comments(spark, sf):
     return SO.judgment_filter(fx.posts(spark, sf), fx.comments(spark, sf), WINDOW, fx.POST_MIN_JUDGMENTS, fx.POST_BALANCE)[1]
 
 
+def judged(spark, sf):
+    """``(posts, comments)``: the filtered posts' ids and counts and their judgment comments, from one windowed
+    join written once; every consumer of a query reads that small table."""
+    comments = written(filtered_comments(spark, sf), "judged")
+    counts = comments.groupBy("post_id").agg(*[F.count_if(F.col("label") == lab).alias(lab.lower()) for lab in SO.JUDGMENTS])
+    return counts.withColumnRenamed("post_id", "id"), comments
+
+
 def verdicts(spark, sf):
     return SO.top_comment(filtered_comments(spark, sf))
 

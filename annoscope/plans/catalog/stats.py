@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annoscope.operators import stats as ST
+from annoscope.operators import social as SO, stats as ST
 from annoscope.operators.prefix import exact_percentiles
 from annoscope.operators.threshold import percentile_threshold
 from annoscope.plans import fixtures as fx, sqlfrag as S
@@ -17,6 +17,7 @@ from annoscope.plans.catalog import social as SC
 from annoscope.plans.catalog._util import rounded
 from annoscope.plans.registry import register
 from annoscope.schema import CATEGORIES
+from annoscope.session import written
 
 Z_975 = 1.959963984540054          # normal 0.975 quantile (95 % two-sided)
 # χ² (1 df) critical values for p = .001, .01, .05.
@@ -144,12 +145,11 @@ def category_thresholds(df, level: float, prefix: str, categories=CATEGORIES):
 def _flagged(spark, sf):
     """Filtered posts and their verdict comments with top-20 % flags (``>=`` the 80th percentile,
     posts against posts, verdicts against all filtered comments)."""
-    posts = fx.posts(spark, sf).join(SC.filtered_posts(spark, sf).select("id"), "id", "left_semi")
-    comments = SC.filtered_comments(spark, sf)
-    v = SC.verdicts(spark, sf)
+    kept, comments = SC.judged(spark, sf)
+    posts = written(fx.posts(spark, sf).join(kept.select("id"), "id", "left_semi"), "judged_posts")
     thr = category_thresholds(posts, LEVEL, "pt_").crossJoin(category_thresholds(comments, LEVEL, "ct_"))  # 1 row × 1 row
-    vc = comments.join(v.select(F.col("verdict_id").alias("id")), "id", "left_semi")
-    j = posts.join(vc.select(F.col("post_id").alias("id"), *[F.col(f"{c}_score").alias(f"v_{c}") for c in CATEGORIES]), "id")
+    v = SO.top_comment(comments, keep=[f"{c}_score" for c in CATEGORIES])
+    j = posts.join(v.select(F.col("post_id").alias("id"), *[F.col(f"{c}_score").alias(f"v_{c}") for c in CATEGORIES]), "id")
     j = j.crossJoin(F.broadcast(thr))
     return j.select("id", *[(F.col(f"{c}_score") >= F.col(f"pt_{c}")).cast("int").alias(f"p_{c}") for c in CATEGORIES],
                     *[(F.col(f"v_{c}") >= F.col(f"ct_{c}")).cast("int").alias(f"vf_{c}") for c in CATEGORIES])
@@ -203,8 +203,7 @@ def stat_condprob(spark, sf):
 
 # ---------------------------------------------------------------- per post: comment side × category
 
-def _comment_flags(spark, sf):
-    c = SC.filtered_comments(spark, sf)
+def _comment_flags(c):
     c = c.crossJoin(F.broadcast(category_thresholds(c, LEVEL, "ct_")))  # one-row table
     side = F.col("label").isin("YTA", "ESH").cast("int")
     return c.select("post_id", side.alias("ya"), F.explode(F.array(*[
@@ -231,17 +230,18 @@ _COMMENT_FLAGS_SQL = SC.BASE + ", cq AS (SELECT " + ", ".join(
 SELECT (SELECT count(*) FROM fposts) AS n_posts, count_if(gt1 * lt1 > 0) AS n_both,
        round(count_if(gt1 * lt1 > 0) / (SELECT count(*) FROM fposts), 6) AS share FROM pp""")
 def stat_or_per_post(spark, sf):
-    f = _comment_flags(spark, sf)
+    kept, comments = SC.judged(spark, sf)
+    f = _comment_flags(comments)
     t = f.groupBy("post_id", "category").agg(
         F.count_if((F.col("ya") == 0) & (F.col("flag") == 0)).alias("n00"), F.count_if((F.col("ya") == 0) & (F.col("flag") == 1)).alias("n01"),
         F.count_if((F.col("ya") == 1) & (F.col("flag") == 0)).alias("n10"), F.count_if((F.col("ya") == 1) & (F.col("flag") == 1)).alias("n11"),
         F.sum("flag").alias("nf"))
     t = t.where((F.col("nf") > 0) & (F.col("n00") > 0) & (F.col("n01") > 0) & (F.col("n10") > 0) & (F.col("n11") > 0))
-    o = ST.odds_ratio(t)
-    sig = F.col("p_value") < 0.05
+    o = ST.odds_ratio(t, with_p=False)
+    sig = F.col("z") > F.lit(Z_975)  # two-sided p < 0.05, as a plain column: these are many rows
     pp = o.groupBy("post_id").agg(F.count_if(sig & (F.col("odds_ratio") > 1)).alias("gt1"),
                                   F.count_if(sig & (F.col("odds_ratio") <= 1)).alias("lt1"))
-    n_posts = SC.filtered_posts(spark, sf).agg(F.count(F.lit(1)).alias("n_posts"))
+    n_posts = kept.agg(F.count(F.lit(1)).alias("n_posts"))
     both = pp.agg(F.count_if(F.col("gt1") * F.col("lt1") > 0).alias("n_both"))
     return rounded(n_posts.crossJoin(both).withColumn("share", F.col("n_both") / F.col("n_posts")))
 
@@ -257,6 +257,6 @@ SELECT post_id, category, n1, n2, round(mean1, 6) AS mean1, round(mean2, 6) AS m
   CAST(n1 + n2 - 2 AS DOUBLE) AS df
 FROM a""")
 def stat_ttest(spark, sf):
-    f = _comment_flags(spark, sf)
+    f = _comment_flags(SC.judged(spark, sf)[1])
     r = ST.ttest_ind(f, ["post_id", "category"], "flag", "ya", with_p=False)
     return rounded(r.withColumn("t", F.when(F.col("t").isNotNull() & ~F.isnan("t"), F.col("t"))))

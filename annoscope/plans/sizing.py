@@ -25,9 +25,8 @@ def maybe_broadcast(df: DataFrame, max_rows: int | None, row_bytes: int = 64) ->
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """Persist (memory, spilling to disk) an intermediate that several branches of one query read
-    under different projections or filters. Spark only reuses *identical* exchanges, so without
-    this each branch recomputes it. Lost blocks are recomputed from lineage."""
-    from pyspark.storagelevel import StorageLevel
+    """An intermediate that several branches of one query read under different projections or filters, written
+    once to the shared folder (Spark only reuses *identical* exchanges). Nothing stays cached."""
+    from annoscope.session import written
 
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return written(df, "shared")

@@ -57,6 +57,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def per_group(df: DataFrame, name: str = "per_group") -> DataFrame:
+    """A table of one row (or a few) per group, written first: its size is then known when a join with it is
+    planned, so Spark broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and the rows it is joined to are
+    not shuffled by a key of a few values."""
+    return written(df, name)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the session's Python workers, wherever the driver was started: a zip of its
     modules goes out with ``addPyFile``, once per Spark context."""
