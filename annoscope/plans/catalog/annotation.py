@@ -105,6 +105,14 @@ def label_tristate(spark, sf):
     return A.labels_from_counts(_counts(spark, sf), ["sentence"])
 
 
+@register("label_twostate", "annotation", sql=EMFD_BASE + "SELECT sentence, " + ", ".join(
+    f"CASE WHEN {c} >= 1 THEN 1 ELSE 0 END AS {c}_label" for c in CATEGORIES)
+    + f", CAST(greatest({', '.join(CATEGORIES)}) = 0 AS INTEGER) AS none_label FROM ctok")
+def label_twostate(spark, sf):
+    """Annotations without a seen count: present or not."""
+    return A.labels_from_counts(_counts(spark, sf), ["sentence"], with_seen=False)
+
+
 # ---------------------------------------------------------------- label maps and counts
 
 _MAPPED_SQL = S.with_(S.REDDIT, S.REDDIT_MAP) + """, ex AS (SELECT doc_id, annotator, text, UNNEST(string_split(annotation, ',')) AS raw FROM reddit),

@@ -67,6 +67,15 @@ def lex_build(spark, sf):
     return lex.select("word", F.array_join("dims", ",").alias("dims"))
 
 
+@register("lex_json", "lexicon", sql=_LEX_BUILD_SQL)
+def lex_json(spark, sf):
+    """A lexicon written as JSON lines ``{"word": ..., "dims": [...]}`` and read back."""
+    path = scratch_path(spark, "lexicon_json")
+    sinks.write_json_lines(L.build_lexicon(_raw_lexicon_rows(spark, sf)), path)
+    lex = readers.read_lexicon_jsonl(spark, path)
+    return lex.groupBy("word").agg(F.array_join(F.array_sort(F.collect_set("dim")), ",").alias("dims"))
+
+
 # ---- lex_dic: .dic dictionaries written in parts, parsed back ----
 
 DIC_CODES = tuple((str(i + 1), d.replace("_", ".")) for i, d in enumerate(DIMENSIONS))
