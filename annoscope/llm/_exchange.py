@@ -17,8 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from annoscope.llm import _text as tx
+
 BLOCK_BYTES = 4 << 20
-PART_ENTRIES = 4_000_000
+PART_ENTRIES = 2_000_000
 LEAST_PARTS = 64  # enough parallelism for small corpora; each block sends one row to each part
 CHUNK, PART = "_block", "_part"
 
@@ -75,9 +77,17 @@ def answers(parts: list[int], payloads: list[bytes], bounds: np.ndarray, dtype)
 
 def task(fn, *given):
     """``fn`` with its first arguments bound, as a plain function of one Arrow table."""
-    return lambda table: fn(*given, table)
+    def run(table):
+        out = fn(*given, table)
+        tx.release()
+        return out
+    return run
 
 
 def task2(fn, *given):
     """As ``task``, for a function of two Arrow tables (a cogroup)."""
-    return lambda left, right: fn(*given, left, right)
+    def run(left, right):
+        out = fn(*given, left, right)
+        tx.release()
+        return out
+    return run

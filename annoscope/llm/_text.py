@@ -6,13 +6,15 @@ polynomial over random byte values, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 #: The contract's word separators: space and the control characters 0x09-0x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -44,6 +46,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for later tasks, and what an idle
+    worker holds counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null text is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -76,6 +86,7 @@ def slices(table: pa.Table | pa.RecordBatch, text: str = "text", most: int = _SL
         to = min(max(to, at + 1), table.num_rows)
         yield table.slice(at, to - at)
         at = to
+    release()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ from annoscope.llm import _text as tx
 from annoscope.llm._io import saved
 
 SHINGLE, SIMILARITY, BANDS, ROWS, IDF_STRENGTH = 5, 0.8, 14, 4, 0.25
-_TABLE_BITS = 16
+_TABLE_BITS = 14
 _MEMBERS = 64  # documents of a leader that are verified in one group
 _FAR_BLOCK, _NEAR_BLOCK = 64, 256  # members of a bucket that meet in one task
 
@@ -99,16 +99,18 @@ def _send_shingles(lay: ex.Layout, k: int, table: pa.Table) -> pa.Table:
 def _count(table: pa.Table) -> pa.Table:
     """For each sender, which of its shingles are in more documents than it knows, and in how many."""
     keys = [np.frombuffer(b, np.uint32) for b in table.column("keys").to_pylist()]
-    own = []
+    counts = np.ones(sum(map(len, keys)), np.uint32)
+    at = 0
     for k, b in zip(keys, table.column("counts").to_pylist()):
-        n, c = np.ones(len(k), np.int64), np.frombuffer(b, np.uint32)
-        n[c[:len(c) // 2]] = c[len(c) // 2:]
-        own.append(n)
-    every, counts = np.concatenate(keys), np.concatenate(own)
-    order = np.argsort(every)
-    first = tx.segment_starts(every[order])
-    total = np.empty(len(every), np.int64)
-    total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(every))))
+        c = np.frombuffer(b, np.uint32)
+        counts[at + c[:len(c) // 2].astype(np.int64)] = c[len(c) // 2:]
+        at += len(k)
+    ranked = np.concatenate(keys).astype(np.uint64) << np.uint64(32) | np.arange(len(counts), dtype=np.uint64)
+    ranked.sort()
+    first = tx.segment_starts(ranked >> np.uint64(32))
+    order = (ranked & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    total = np.empty(len(counts), np.int64)
+    total[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), first), np.diff(np.append(first, len(order))))
     at, rows = 0, []
     chunks, parts = table.column(ex.CHUNK).to_pylist(), table.column(ex.PART).to_pylist()
     for i, k in enumerate(keys):
@@ -252,12 +254,14 @@ def _links(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
     linked to the leader cannot be; 1 - similarity is a metric, so the distances of a similar pair to the leader
     differ by at most 1 - ``similarity``. The pairs left are verified too, in blocks of bounded size: a block of
     members far from the leader meets each block of all members, and only links leave the task."""
-    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # written tables on one side: Spark can then split the other side's large partitions
+    sizes = saved(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "near-sizes")
     members = saved(members.join(sizes, ["band", "key"]), "near-members")
     company = members.groupBy("doc").agg(F.sum("_n").alias("_c"))
     members = members.join(company, "doc")
     leaders = members.groupBy("band", "key").agg(F.max(F.struct("_c", (-F.col("doc")).alias("_d")))["_d"].alias("_d")) \
         .select("band", "key", (-F.col("_d")).alias("a"))
+    leaders = saved(leaders, "near-leaders")
     met = members.select("band", "key", F.col("doc").alias("b")).join(leaders, ["band", "key"])
     met = saved(met.where("a <> b"), "near-met")
     first = saved(verified(met.select("a", "b").distinct(), vectors.select("doc_id", "vector")), "near-first")
