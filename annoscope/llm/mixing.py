@@ -23,7 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from annoscope.llm._io import saved
+from annoscope.session import written as saved
 
 Schedule = Sequence[tuple[float, float]]
 

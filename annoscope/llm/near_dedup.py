@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from annoscope.llm import _exchange as ex
 from annoscope.llm import _text as tx
-from annoscope.llm._io import saved
+from annoscope.session import written as saved
 
 SHINGLE, SIMILARITY, BANDS, ROWS, IDF_STRENGTH = 5, 0.8, 14, 4, 0.25
 _TABLE_BITS = 14

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from annoscope.llm import _text as tx
-from annoscope.llm._io import saved
+from annoscope.session import written as saved
 
 FEATURES, RIDGE, SCALE, GRID = 256, 1.0, 1.0, 1024
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from annoscope.llm import _exchange as ex
 from annoscope.llm import _text as tx
-from annoscope.llm._io import saved
+from annoscope.session import written as saved
 from annoscope.llm.near_dedup import GAP
 from annoscope.llm.quality import _isotonic, fold
 

@@ -86,10 +86,10 @@ def _probability(counts: Column, cells: Column) -> Column:
 
 def score(url: Column, accepted: Column, rejected: Column) -> Column:
     """Log-likelihood difference of accepted and rejected, per character."""
-    e = events(url)
-    total = F.transform(F.array(e), lambda cells: F.when(F.size(cells) > 0, F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + F.log(
-        _probability(accepted, x)) - F.log(_probability(rejected, x))) / F.size(cells)).otherwise(F.lit(0.0)))
-    return F.element_at(total, 1)
+    # bound once: each table stands in the plan a single time, however often it is looked up
+    bound = F.array(F.struct(events(url).alias("e"), accepted.alias("a"), rejected.alias("r")))
+    ratio = lambda m: F.aggregate(m["e"], F.lit(0.0), lambda acc, x: acc + F.log(_probability(m["a"], x)) - F.log(_probability(m["r"], x)))
+    return F.element_at(F.transform(bound, lambda m: F.when(F.size(m["e"]) > 0, ratio(m) / F.size(m["e"])).otherwise(F.lit(0.0))), 1)
 
 
 def held_out(page_id: Column) -> Column:

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from annoscope.llm import decontaminate, mixing, near_dedup, pii, quality
-from annoscope.llm._io import saved
+from annoscope.session import written as saved
 
 PII_KEY = "annoscope-demo-key"
 
