@@ -265,7 +265,8 @@ def _links(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
     met = members.select("band", "key", F.col("doc").alias("b")).join(leaders, ["band", "key"])
     met = saved(met.where("a <> b"), "near-met")
     first = saved(verified(met.select("a", "b").distinct(), vectors.select("doc_id", "vector")), "near-first")
-    joined = components(first.where(F.col("similarity") >= similarity)).select(F.col("node").alias("b"), "root")
+    stars = components(first.where(F.col("similarity") >= similarity))
+    joined = stars.select(F.col("node").alias("b"), "root")
     far = met.join(first, ["a", "b"]).join(joined, "b", "left") \
         .select("band", "key", "b", (1 - F.col("similarity")).alias("d"), F.coalesce("root", "b").alias("root"))
     far = saved(far, "near-far")
@@ -280,7 +281,8 @@ def _links(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
     alone = far.where(F.col("d") > 1 - similarity).select("band", "key", cell("_nx").alias("_i"), every("_ny").alias("_j"), F.lit(True).alias("alone"), *data)
     all_ = far.select("band", "key", every("_nx").alias("_i"), cell("_ny").alias("_j"), F.lit(False).alias("alone"), *data)
     second = alone.unionByName(all_).groupBy("band", "key", "_i", "_j").applyInArrow(ex.task(_across, similarity), "a long, b long")
-    return first.where(F.col("similarity") >= similarity).select("a", "b").unionByName(second)
+    # the components found so far stand for their links; mostly no other link is left
+    return stars.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(second)
 
 
 def _across(similarity: float, table: pa.Table) -> pa.Table:
@@ -314,9 +316,9 @@ def _across(similarity: float, table: pa.Table) -> pa.Table:
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root): the smallest node of each component of undirected ``links`` (a, b), by alternating
-    large-star and small-star rounds over written tables until no link changes."""
+    large-star and small-star rounds over written tables until every node hangs on its root."""
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    while True:
+    while not _is_star_forest(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -324,11 +326,15 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        after = saved(small.where("u <> v").distinct(), name)
-        marks = [e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first() for e in (edges, after)]
-        edges = after
-        if marks[0] == marks[1]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        edges = saved(small.where("u <> v").distinct(), name)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Every node has one neighbour below it, and that one has none."""
+    if edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").count():
+        return False
+    return edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").count() == 0
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
@@ -341,9 +347,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     signed = saved(by_block.cogroup(counts.groupBy(ex.CHUNK)).applyInArrow(
         ex.task2(_sign, lay, shingle, similarity, bands, rows, idf_strength), _SIGNED), "near-signed")
     heads = signed.where(F.col("text_key").isNotNull())
-    same = heads.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
+    same = saved(heads.groupBy("text_key").agg(F.min("doc_id").alias("rep")), "near-same")
     head_rep = heads.select("doc_id", "text_key").join(same, "text_key").select(F.col("doc_id").alias("leader"), "rep")
-    vectors = heads.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "vector", "keys")
+    vectors = saved(heads.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "vector", "keys"), "near-vectors")
     members = vectors.select(F.col("doc_id").alias("doc"), F.posexplode("keys").alias("band", "key"))
     roots = components(_links(members, vectors, similarity))
     head_rep = head_rep.join(roots, head_rep["rep"] == roots["node"], "left").select("leader", F.coalesce("root", "rep").alias("class_id"))
