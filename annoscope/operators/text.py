@@ -49,6 +49,11 @@ def default_stop_words() -> tuple[str, ...]:
     raise FileNotFoundError("Spark MLlib English stop-word list not found")
 
 
+def united_stop_words(*lists: Sequence[str]) -> tuple[str, ...]:
+    """Several stop-word lists as one, in order, without repeats."""
+    return tuple(dict.fromkeys(w for words in lists for w in words))
+
+
 def token_table(texts: DataFrame, id_col: str = "id", text_col: str = "text", lower: bool = True,
                 pattern: str = TOKEN_PATTERN) -> DataFrame:
     """``(id, pos, token)``; ``pos`` is 0-based. Narrow (map-only) stage."""

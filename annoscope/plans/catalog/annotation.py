@@ -209,17 +209,17 @@ def vignette_prep(spark, sf):
 CORPUS_ORDER = ("news", "reddit", "twitter")
 
 
-@register("corpus_merge", "annotation", sql="""SELECT corpus, source_id, CAST(rank_ AS BIGINT) * 1099511627776 + source_id AS id, CAST(length(text) AS INTEGER) AS n_chars, lang FROM (
-  SELECT 'news' AS corpus, 0 AS rank_, doc_id AS source_id, text, lang FROM documents
-  UNION ALL SELECT 'reddit', 1, item_id, text, NULL FROM benchmark
-  UNION ALL SELECT 'twitter', 2, conv_id * 1000 + turn, text, NULL FROM conversations)""")
+@register("corpus_merge", "annotation", sql="""SELECT corpus, source_id, rank_ || ':' || source_id AS id, CAST(length(text) AS INTEGER) AS n_chars, lang FROM (
+  SELECT 'news' AS corpus, '0' AS rank_, CAST(doc_id AS VARCHAR) AS source_id, text, lang FROM documents
+  UNION ALL SELECT 'reddit', '1', CAST(item_id AS VARCHAR), text, NULL FROM benchmark
+  UNION ALL SELECT 'twitter', '2', conv_id || '-' || turn, text, NULL FROM conversations)""")
 def corpus_merge(spark, sf):
-    news = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text", "lang")
-    reddit = table(spark, sf, "benchmark").select(F.col("item_id").alias("source_id"), "text")
-    tw = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("source_id"), "text")
+    news = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text", "lang")
+    reddit = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("source_id"), "text")
+    tw = table(spark, sf, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("source_id"), "text")
     parts = []
     for i, (name, df) in enumerate(zip(CORPUS_ORDER, (news, reddit, tw))):
-        parts.append(df.withColumn("corpus", F.lit(name)).withColumn("id", F.lit(i).cast("long") * F.lit(1 << 40) + F.col("source_id")))
+        parts.append(df.withColumn("corpus", F.lit(name)).withColumn("id", F.concat_ws(":", F.lit(str(i)), "source_id")))
     u = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     return u.select("corpus", "source_id", "id", F.length("text").alias("n_chars"), "lang")
 

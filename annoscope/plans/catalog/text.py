@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annoscope.functions.text import NORMALIZE_RULES, normalize_text
+from annoscope.functions.hashing import u01
 from annoscope.operators import text as T
 from annoscope.plans import fixtures as fx, sqlfrag as S
 from annoscope.plans.catalog._util import rounded
@@ -60,6 +61,28 @@ def tok_content(spark, sf):
     return T.content_tokens(cased).select("id", "pos", "token")
 
 
+# Words that a caller adds to the default stop words (C5 unites several lists).
+EXTRA_STOP_WORDS = (("une", "est", "que"), ("und", "der", "die", "que"))
+
+
+@register("tok_content_tagged", "text", sql=S.with_(S.TOKENS_CASED) + f""", tagged AS (
+  SELECT *, CASE WHEN {S.u01('id', 'pos', S.q('ent'))} < 0.1 THEN 'PERSON' END AS ent,
+         CASE WHEN {S.u01('id', 'pos', S.q('tag'))} < 0.6 THEN 'NN' ELSE 'DT' END AS tag FROM tokens_cased
+)
+SELECT id, pos, lower(t2) AS token FROM (
+  SELECT id, pos, regexp_replace(token, '[^\\p{{L}}]', '', 'g') AS t2 FROM tagged
+  WHERE ent IS NULL AND tag = 'NN' AND NOT list_contains({_bad_list_sql()}, lower(token)) AND NOT list_contains({_stop_list_sql()}, token)
+    AND NOT list_contains([{', '.join(S.q(w) for ws in EXTRA_STOP_WORDS for w in ws)}], token)
+) WHERE length(t2) >= 3""")
+def tok_content_tagged(spark, sf):
+    """Content tokens of a table with entity and tag columns, without the words of three united stop lists."""
+    cased = T.token_table(fx.texts(spark, sf), lower=False)
+    tagged = cased.withColumn("ent", F.when(u01("id", "pos", F.lit("ent")) < 0.1, "PERSON")) \
+        .withColumn("tag", F.when(u01("id", "pos", F.lit("tag")) < 0.6, "NN").otherwise("DT"))
+    stop = T.united_stop_words(T.default_stop_words(), *EXTRA_STOP_WORDS)
+    return T.content_tokens(tagged, stop_words=stop).select("id", "pos", "token")
+
+
 _BOW_SQL = S.with_(S.TOKENS, S.LEMMA_MAP) + f"""SELECT id, pos, term FROM (
   SELECT t.id, t.pos, trim(lower(coalesce(trim(lower(m.lemma)), trim(lower(t.token))))) AS term
   FROM tokens t LEFT JOIN lemma_map m ON m.token = t.token

@@ -24,8 +24,11 @@ def read_tsv(spark: SparkSession, path: str, schema, encoding: str = "UTF-8") ->
 
 
 def read_problex_csv(spark: SparkSession, path: str, categories: Sequence[str] = CATEGORIES) -> DataFrame:
-    """Probability lexicon ``word, {c}_p, {c}_sent``; one row per word."""
-    return read_csv(spark, path, lexicon_b(categories)).dropDuplicates(["word"])
+    """Probability lexicon ``word, {c}_p, {c}_sent``; one row per word (of repeated words the smallest row, so
+    that runs agree)."""
+    rows = read_csv(spark, path, lexicon_b(categories))
+    rest = [c for c in rows.columns if c != "word"]
+    return rows.groupBy("word").agg(F.min(F.struct(*rest)).alias("_r")).select("word", "_r.*")
 
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
