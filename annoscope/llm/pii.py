@@ -40,8 +40,6 @@ PATTERNS = {
     "name": rf"\b{_TITLE} \p{{Lu}}\p{{Ll}}{{1,40}}(?: \p{{Lu}}\p{{Ll}}{{1,40}})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: No entity is without one of these; a cheap test before the whole pattern.
-_HINT = rf"[0-9@]|{_TITLE} \p{{Lu}}"
 
 _LATIN, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абцдефгхижклмнопярстувзыюэ", "αβξδεφγηιθκλμνοπψρστυωχζύά"
 
@@ -164,7 +162,7 @@ def _surrogate(entity: Column, k: Column, digest: Column, digits: Column, letter
 
 def entities(text: Column) -> Column:
     """All entities of a text, in order."""
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def later_attempts(found: DataFrame, key: str) -> DataFrame:

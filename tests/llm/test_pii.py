@@ -87,3 +87,13 @@ def test_collisions_are_drawn_again(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pseudonymise(empty, KEY).collect() == []
+
+
+def test_entities_without_a_digit_are_found(spark):
+    """One document a kind, with no digit, @ or title elsewhere in it."""
+    secrets = ["correcthorse", "AKIA" + "QWERTYUIOPASDFGH", "abcdef" * 6]
+    rows = [(0, f"the password: {secrets[0]} here"), (1, f"the {secrets[1]} here"), (2, f"the {secrets[2]} here"), (3, None), (4, "no entity")]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY, found="replaced").collect()}
+    for i, kind in enumerate(("password", "key", "secret")):
+        assert [x["kind"] for x in out[i]["replaced"]] == [kind] and secrets[i] not in out[i]["text"]
+    assert [out[i]["text"] for i in (3, 4)] == [None, "no entity"]
