@@ -7,8 +7,11 @@ each range of k + 1 diagonals lies whole in one. Regions that reach the lemma's
 banded alignment of the whole item (free ends in the text, unit costs).
 
 Texts and items are compared in lower case, with runs of white space and controls as one space.
-Items longer than ``segment`` characters are searched as overlapping segments, so that a long passage of a long item
-is found too. The items are a stated query set: they are indexed in blocks of bounded size, and
+Items longer than ``segment`` characters are searched as overlapping segments. Besides, every item longer than ``passage``
+characters is searched as windows of that length at half its length apart, the last one flush with the item's end, with
+``passage_rate`` edits a character: a text that copies only a part of an item holds one of them if the copied part has
+at least 1.5 * ``passage`` characters and few edits. Overlapping windows and segments found are one passage; its edits
+are those of its worst window. What lies in a found whole item is not reported again. The items are a stated query set: they are indexed in blocks of bounded size, and
 each block scans all documents; documents are never shuffled.
 
 Defined cases: null and empty texts hold no item; null items and items of fewer than ``q`` characters
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from annoscope.llm import _text as tx
 
 Q, EDIT_RATE, SEGMENT = 8, 0.1, 400
+PASSAGE, PASSAGE_RATE = 80, 0.025
+_GRAMS_A_CHAR = 4  # a character of an item is in up to two segments and two windows
 ITEM_BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 22
 _BASE = 0x9E3779B97F4A7C15
@@ -79,6 +85,7 @@ class Index:
     q: int
     ids: list
     owner: np.ndarray
+    partial: np.ndarray
     points: np.ndarray
     starts: np.ndarray
     edits: np.ndarray
@@ -94,8 +101,10 @@ class Index:
         return np.diff(self.starts)
 
 
-def index(items: Iterable[tuple], q: int = Q, edit_rate: float = EDIT_RATE, segment: int = SEGMENT) -> Index:
-    ids, owner, pieces = [], [], []
+def index(items: Iterable[tuple], q: int = Q, edit_rate: float = EDIT_RATE, segment: int = SEGMENT,
+          passage: int = PASSAGE, passage_rate: float = PASSAGE_RATE) -> Index:
+    ids, owner, pieces, partial, window_owner, windows = [], [], [], [], [], []
+    passage = max(passage, q)
     for item_id, text in items:
         points, _, _ = code_points(pa.array([text or ""], pa.string()))
         points = points[1:] if len(points) and points[0] == 0x20 else points
@@ -106,9 +115,16 @@ def index(items: Iterable[tuple], q: int = Q, edit_rate: float = EDIT_RATE, segm
         for c in cuts:
             pieces.append(points[c:c + segment] if len(points) > segment else points)
             owner.append(len(ids))
+            partial.append(len(points) > segment)
+        if len(points) > passage:
+            cuts = [*range(0, len(points) - passage, passage // 2), len(points) - passage]
+            windows += [points[c:c + passage] for c in cuts]
+            window_owner += [len(ids)] * len(cuts)
         ids.append(item_id)
+    rate = np.repeat([edit_rate, passage_rate], [len(pieces), len(windows)])
+    owner, partial, pieces = owner + window_owner, partial + [True] * len(windows), pieces + windows
     length = np.array([len(p) for p in pieces], dtype=np.int64)
-    edits = np.minimum((length * edit_rate).astype(np.int64), (length - q) // q)
+    edits = np.minimum((length * rate).astype(np.int64), (length - q) // q)
     starts = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
     grams = [_grams(p, q) for p in pieces]
     keys = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -119,7 +135,7 @@ def index(items: Iterable[tuple], q: int = Q, edit_rate: float = EDIT_RATE, segm
     first = tx.segment_starts(keys)
     seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
     seen[keys >> np.uint64(64 - _FILTER_BITS)] = True
-    return Index(q, ids, np.array(owner, np.int64), np.concatenate(pieces) if pieces else np.zeros(0, np.uint32), starts, edits,
+    return Index(q, ids, np.array(owner, np.int64), np.array(partial, bool), np.concatenate(pieces) if pieces else np.zeros(0, np.uint32), starts, edits,
                  length + 1 - q * (edits + 1), seen, keys[first], np.append(first, len(keys)), piece, offset)
 
 
@@ -197,8 +213,8 @@ def _align(ix: Index, points: np.ndarray, begin: np.ndarray, end: np.ndarray, pi
 
 
 def _search(ix: Index, table: pa.Table) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, begin, end, edits) of the verified regions of a table's texts; of overlapping regions of
-    an item in a text, the one with the fewest edits."""
+    """(row, item, begin, end, edits) of the verified regions of a table's texts; of overlapping regions of a whole
+    item in a text, the one with the fewest edits, and overlapping parts of an item as one."""
     if not len(ix.keys):
         return
     base, found = 0, []
@@ -210,23 +226,31 @@ def _search(ix: Index, table: pa.Table) -> Iterator[tuple[int, int, int, int, in
             edits, begin, end = _align(ix, points, moved[t], moved[t + 1], p, lo)
             good = (edits >= 0) & (end > begin)
             t, p, edits, begin, end = t[good], p[good], edits[good], begin[good], end[good]
-            found.extend(zip((t + base).tolist(), ix.owner[p].tolist(), edits.tolist(), source[moved[t] + begin].tolist(),
+            found.extend(zip((t + base).tolist(), ix.owner[p].tolist(), ix.partial[p].tolist(), edits.tolist(), source[moved[t] + begin].tolist(),
                              (source[moved[t] + end - 1] + 1).tolist()))
         base += part.num_rows
     found.sort()
-    kept: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for row, item, edits, begin, end in found:
-        spans = kept.setdefault((row, item), [])
-        if all(end <= b or begin >= e for b, e in spans):
-            spans.append((begin, end))
-            yield row, item, begin, end, edits
+    for (row, item), hits in groupby(found, key=lambda f: f[:2]):
+        whole, parts = [], []
+        for _, _, partial, edits, begin, end in hits:
+            if any(end > b and begin < e for b, e, _ in whole):
+                continue
+            (parts if partial else whole).append((begin, end, edits))
+        passages = []
+        for begin, end, edits in sorted(parts):
+            if passages and begin < passages[-1][1]:
+                first, last, most = passages.pop()
+                begin, end, edits = first, max(last, end), max(most, edits)
+            passages.append((begin, end, edits))
+        for span in whole + passages:
+            yield row, item, *span
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple]]:
     """The items, in blocks of bounded size."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     size = int(rows.agg(F.sum(F.length("t"))).first()[0] or 0)
-    n = max(1, -(-size // block_chars))
+    n = max(1, -(-size * _GRAMS_A_CHAR // block_chars))
     if n == 1:
         yield [(r["i"], r["t"]) for r in rows.collect()]
         return

@@ -85,3 +85,22 @@ def test_gram_hashes_by_doubling():
             for j in range(len(h)):
                 assert (h[i] == h[j]) == (points[i:i + q].tolist() == points[j:j + q].tolist())
     assert pa.types.is_string(pa.array([""], pa.string()).type)
+
+
+def test_copied_parts_of_items_are_found_with_their_range(spark):
+    rnd = random.Random(5)
+    question, long_item = sample(rnd, 200)[:390].strip(), sample(rnd, 500)[:2000].strip()
+    parts = {0: (0, question[:312]), 1: (0, question[-312:]), 2: (1, long_item[-120:])}
+    parts |= {10 + k: (1, long_item[at:at + 300]) for k, at in enumerate(range(0, 1700, 90))} | {50 + k: (1, long_item[at:at + 125]) for k, at in enumerate(range(3, 1800, 130))}
+    rows = [(d, "some words before " + part + " and after") for d, (_, part) in parts.items()]
+    rows += [(100, "other words " + sample(rnd, 80)), (101, "x " + question + " y"), (102, question[100:170])]
+    bench = spark.createDataFrame([(0, question), (1, long_item)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(tuple(r) for r in dc.find_leaks(docs, bench).collect())
+    assert [(d, i) for d, i, *_ in got] == sorted([(d, i) for d, (i, _) in parts.items()] + [(101, 0)])
+    for d, i, begin, end, edits in got:
+        if d != 101:  # windows are half their length apart: up to that much at either end is not reported
+            at, n = len("some words before "), len(parts[d][1])
+            assert at - 2 <= begin <= at + dc.PASSAGE // 2 and at + n - dc.PASSAGE // 2 <= end <= at + n + 2 and edits <= 2
+    assert next(g for g in got if g[0] == 101) == (101, 0, 2, 2 + len(question), 0)
+    assert sorted(r.doc_id for r in dc.drop_leaked(docs, bench).collect()) == [100, 102]
