@@ -28,16 +28,25 @@ MALE_NAMES = ("Adam", "Boris", "Carl", "David", "Emil", "Felix", "Georg", "Hugo"
 FEMALE_NAMES = ("Anna", "Berta", "Clara", "Diana", "Elena", "Frida", "Greta", "Hanna", "Irina", "Julia", "Karla", "Lena", "Maria", "Nora", "Olga", "Paula")
 
 _TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.?"
+#: Lower-case words inside names.
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "af", "al", "el", "bin", "ibn")
+#: Latin, Greek, Cyrillic and Armenian letters and combining marks, as ranges: one class is matched without recursion.
+_LETTER = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0300-\u036f\u0370-\u052f\u0531-\u0587\u1e00-\u1fff]"
+#: Possessive endings ('s, 'll) are not of the name. Loops are possessive, so any number of words needs no stack.
+_WORD = (rf"(?:(?:{'|'.join(PARTICLES)}) )*+(?:\p{{Lu}}\. ?(?=\p{{Lu}}))*+\p{{Lu}}{_LETTER}*+"
+         rf"(?:['\u2019-](?!(?:s|ll|d|ve|re|m)\b){_LETTER}++)*+")
+#: A password goes to the next white space or quote.
+_UNSPACED = r"[^\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\"'`\u00ab\u00bb\u2018-\u201f]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
-    "email": r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "password": r"(?i:\bpassword) ?[=:] ?[A-Za-z0-9]{8,64}",
+    "email": r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++",
+    "password": rf"(?i:\bpassword) ?[=:] ?{_UNSPACED}++",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "secret": r"\b[0-9a-fA-F]{32,128}\b",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\b\d{3}[.-])\d{3}[.-]\d{4}\b",
+    "secret": r"\b[0-9a-fA-F]{32,}\b",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\b\d{3}[ .-])\d{3}[ .-]\d{4}\b|\+\d(?:[ .()/-]{0,2}\d){8,14}(?!\d)",
     "card": r"\b\d{4}(?:[ -]\d{4}){3}\b|\b\d{13,19}\b",
     "ip": rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b",
-    "name": rf"\b{_TITLE} \p{{Lu}}\p{{Ll}}{{1,40}}(?: \p{{Lu}}\p{{Ll}}{{1,40}})?",
+    "name": rf"\b{_TITLE} {_WORD}(?: {_WORD})*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -46,7 +55,7 @@ _LATIN, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абцдефгхиж
 
 def kind(entity: Column) -> Column:
     """The type of a found entity."""
-    return (F.when(entity.contains("@"), "email").when(entity.rlike("^(?i:password)"), "password").when(entity.rlike("^AKIA[0-9A-Z]{16}$"), "key")
+    return (F.when(entity.rlike("^(?i:password) ?[=:]"), "password").when(entity.contains("@"), "email").when(entity.rlike("^AKIA[0-9A-Z]{16}$"), "key")
             .when(entity.rlike("^[0-9]{13,19}$|^[0-9]{4}(?:[ -][0-9]{4}){3}$"), "card").when(entity.rlike("^[0-9a-fA-F]{32,}$"), "secret")
             .when(entity.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip").when(entity.rlike(r"^[+(0-9]"), "phone").otherwise("name"))
 
@@ -87,13 +96,14 @@ def _letters(digest: Column) -> Column:
 
 
 def _filled(shape: Column, digits: Column, letters: Column) -> Column:
-    """``shape`` with its digits and ASCII letters replaced one by one; case and all else stay."""
+    """``shape`` with its digits and ASCII letters replaced one by one; case and all else stay. The digest's digits and letters
+    are used again from the start where they do not suffice."""
+    one = lambda chars, i: F.substr(chars, (i - 1) % F.length(chars) + 1, F.lit(1))
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
 
     def step(acc: Column, c: Column) -> Column:
         digit, low, up = c.between("0", "9"), c.between("a", "z"), c.between("A", "Z")
-        new = (F.when(digit, F.substr(digits, acc["i"], F.lit(1))).when(low, F.substr(letters, acc["i"], F.lit(1)))
-               .when(up, F.upper(F.substr(letters, acc["i"], F.lit(1)))).otherwise(c))
+        new = F.when(digit, one(digits, acc["i"])).when(low, one(letters, acc["i"])).when(up, F.upper(one(letters, acc["i"]))).otherwise(c)
         return F.struct(F.concat(acc["s"], new).alias("s"), (acc["i"] + (digit | low | up).cast("int")).alias("i"))
 
     return F.aggregate(F.split(shape, ""), start, step)["s"]
@@ -124,6 +134,20 @@ def _byte(digest: Column, i: int) -> Column:
     return F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")
 
 
+def _repeated(chars: Column, n: Column) -> Column:
+    """The first ``n`` characters of ``chars`` repeated."""
+    return F.substr(F.repeat(chars, F.ceil(n / F.length(chars)).cast("int")), F.lit(1), n)
+
+
+def _password(word: Column, digits: Column, letters: Column) -> Column:
+    """Same length and shape; letters beyond ASCII become ASCII ones. One of few letters and digits gets 12 letters more, so that there
+    are surrogates enough; a very long one is letters only, as filling costs the square of the length."""
+    plain = F.regexp_replace(word, r"[^\x21-\x7E]", "a")
+    made = F.when(F.length(plain) > 512, _repeated(letters, F.length(plain))).otherwise(_filled(plain, digits, letters))
+    few = F.length(F.regexp_replace(plain, "[^0-9A-Za-z]", "")) < 8
+    return F.concat(made, F.when(few, F.substring(letters, 60, 12)).otherwise(""))
+
+
 def _email(entity: Column, digest: Column, digits: Column, letters: Column) -> Column:
     number = F.regexp_extract(entity, "([._+-]?[0-9]*)@", 1)
     top = F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _byte(digest, 30) % 3 + 1)
@@ -136,7 +160,10 @@ def _name(entity: Column, digest: Column, letters: Column) -> Column:
     male = F.regexp_replace(title, r"\.", "").isin(*MALE_TITLES)
     pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), _byte(digest, 29) % len(names) + 1)
     last = F.initcap(F.substring(letters, 1, 10))
-    first = F.when(F.size(F.split(entity, " ")) > 2, F.concat(F.when(male, pick(MALE_NAMES)).otherwise(pick(FEMALE_NAMES)), F.lit(" "))).otherwise("")
+    words = F.size(F.split(entity, " ")) - 1
+    middle = F.transform(F.sequence(F.lit(3), F.greatest(words, F.lit(3))), lambda i: F.concat(F.initcap(F.substr(letters, i * 7 % 110 + 11, F.lit(7))), F.lit(" ")))
+    given = F.concat(F.when(male, pick(MALE_NAMES)).otherwise(pick(FEMALE_NAMES)), F.lit(" "))
+    first = F.when(words > 2, F.concat(given, F.array_join(middle, ""))).when(words > 1, given).otherwise("")
     script = lambda text, to: F.translate(text, _LATIN + _LATIN.upper(), to + to.upper())
     made = _let(F.concat(first, last), lambda m: F.when(entity.rlike(r" \p{IsCyrillic}"), script(m, _CYRILLIC))
                 .when(entity.rlike(r" \p{IsGreek}"), script(m, _GREEK)).otherwise(m))
@@ -148,10 +175,10 @@ def _surrogate(entity: Column, k: Column, digest: Column, digits: Column, letter
     rest = lambda p: F.regexp_replace(entity, p, "")
     octets = [F.lit(1) + _byte(digest, 0) % 223, _byte(digest, 1), _byte(digest, 2), F.lit(1) + _byte(digest, 3) % 254]
     country, word = r"^\+[0-9]{1,3}[ .-]?", "^(?i:password) ?[=:] ?"
-    hexes = F.substr(digest, F.lit(1), F.length(entity))
+    hexes = _repeated(digest, F.length(entity))
     area = F.concat(F.translate(F.substring(digits, 1, 1), "01", "27"), F.substring(digits, 2, 60))
     return (F.when(k == "email", _email(entity, digest, digits, letters))
-            .when(k == "password", F.concat(head(word), _filled(rest(word), digits, letters)))
+            .when(k == "password", F.concat(head(word), _password(rest(word), digits, letters)))
             .when(k == "key", F.concat(F.lit("AKIA"), _filled(F.substring(entity, 5, 16), digits, letters)))
             .when(k == "secret", F.when(entity == F.upper(entity), F.upper(hexes)).otherwise(hexes))
             .when(k == "phone", F.concat(head(country), _filled(rest(country), area, area)))

@@ -97,3 +97,26 @@ def test_entities_without_a_digit_are_found(spark):
     for i, kind in enumerate(("password", "key", "secret")):
         assert [x["kind"] for x in out[i]["replaced"]] == [kind] and secrets[i] not in out[i]["text"]
     assert [out[i]["text"] for i in (3, 4)] == [None, "no entity"]
+
+
+def test_entities_are_replaced_to_their_natural_end(spark):
+    """Nothing of an entity stays in clear, whatever its length or grouping; what follows it stays."""
+    cases = [("phone", "555 123 4567", " x"), ("phone", "+44 20 7946 0958", ", x"), ("phone", "+49 151 23456789", " x"), ("phone", "+45 12 34 56 78", " x"),
+             ("name", "Mr McDonald", " met"), ("name", "Frau Anne-Marie Meier", " met"), ("name", "Mr Jean Pierre Dupont", " met"), ("name", "Mr O'Neil", " met"),
+             ("name", "Mr J. R. Smith", "'s car"), ("name", "Herr Ludwig van Beethoven", " met"), ("name", "Mr " + " ".join(["Abc"] * 20_000), " met"),
+             ("password", "password: Tr0ub4dor&3", " x"), ("password", "password: ab1", '" x'), ("password", "Password=pä§§wörtchen", " x"), ("password", "password: ***", " x"),
+             ("password", "password=" + "q7" * 100, " x"), ("password", "password=p@ss.word9", " x"), ("password", "password=" + "x" * 50_000, " x"),
+             ("secret", "0123456789abcdef" * 20, " x"), ("email", "one@" + ".".join("abcdefghijklm") + ".org", " x")]
+    docs = spark.createDataFrame([(i, f"see {e}{end}") for i, (_, e, end) in enumerate(cases)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymise(docs, KEY, found="replaced").collect()}
+    for i, (kind, e, end) in enumerate(cases):
+        assert [x["kind"] for x in out[i]["replaced"]] == [kind], e[:80]
+        made = out[i]["replaced"][0]["surrogate"]
+        assert out[i]["text"] == f"see {made}{end}" and made != e
+        if kind == "name":
+            assert len(made.split()) == len(e.split()) and not set(made.split()[1:]) & set(e.split()[1:])
+        elif kind == "secret" or kind == "password" and len(e) > 18 or kind == "phone":
+            assert len(made) == len(e)
+        if kind == "phone":
+            assert re.sub(r"\d", "9", made) == re.sub(r"\d", "9", e)
+    assert not re.search("[äö§]", out[13]["text"])
