@@ -80,8 +80,8 @@ def targets(sources: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, budge
 
 def curriculum(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, budget: float = 1.5, cap: float = 2.0,
                doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """Placements, range-sorted by ``position`` (0..1): doc_id, source, size, source_size, target, offset (of the
-    document in its source's stream), copy (0, 1, ...), take (words taken from this copy), position. A
+    """Placements, range-sorted by ``position`` (0..1): doc_id, source, size, source_size, target, bucket and
+    number (of the document in its source's bucket: no two documents share all three), offset (of the document in its source's stream), copy (0, 1, ...), take (words taken from this copy), position. A
     document of which nothing is taken has one row with take 0 and no position. ``keep`` names columns of ``docs``
     to carry along, as one struct ``kept`` (say the text itself)."""
     _check(schedules)
@@ -105,7 +105,8 @@ def curriculum(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, budge
     local = Window.partitionBy("source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size")
     offset = (F.col("_from") + F.sum("size").over(local.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("offset")
     kept = ["kept"] if keep else []
-    placed = joined.select("doc_id", "source", "size", "source_size", "target", "_slot", offset, *kept)
+    number = F.row_number().over(local).alias("number")
+    placed = joined.select("doc_id", "source", "size", "source_size", "target", "_slot", F.col("_bucket").alias("bucket"), number, offset, *kept)
     return _placements(placed, schedules, cap, kept)
 
 
@@ -124,7 +125,7 @@ def _placements(placed: DataFrame, schedules: Sequence[Schedule], cap: float, ke
 
     taken = F.filter(F.array(*[one(k) for k in copies]), lambda x: x["take"] > 0)
     out = (placed.withColumn("_p", F.explode_outer(taken))
-           .select("doc_id", "source", "size", "source_size", "target", "offset", F.col("_p.copy").alias("copy"),
+           .select("doc_id", "source", "size", "source_size", "target", "bucket", "number", "offset", F.col("_p.copy").alias("copy"),
                    F.coalesce(F.col("_p.take"), F.lit(0).cast("long")).alias("take"), F.col("_p.position").alias("position"), *kept))
     order = [F.col("position").asc_nulls_last(), F.col("source").asc_nulls_last(), F.col("offset").asc(), F.col("doc_id").asc_nulls_first()]
     return out.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -132,6 +133,6 @@ def _placements(placed: DataFrame, schedules: Sequence[Schedule], cap: float, ke
 
 def digest(placements: DataFrame) -> DataFrame:
     """One row per document: size, source_size, target, taken (words over all copies), first_position."""
-    return (placements.groupBy("doc_id", "size", "source_size", "target", "offset")
+    return (placements.groupBy("source", "bucket", "number", "doc_id", "size", "source_size", "target", "offset")
             .agg(F.sum("take").alias("taken"), F.min("position").alias("first_position"))
             .select("doc_id", "size", "source_size", "target", "taken", "first_position"))

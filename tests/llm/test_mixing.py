@@ -69,3 +69,9 @@ def test_empty_clashing_and_bad_schedules(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in digest(curriculum(docs)).collect()) == [(1, 2), (2, 0)]
     with pytest.raises(ValueError):
         curriculum(docs, schedules=[((0.0, 0.0), (1.0, 0.0))])
+
+
+def test_repeated_rows_without_words_keep_a_row_each(spark):
+    rows = [(1, "", "s"), (1, None, "s"), (1, "", "s"), (None, "", "s"), (None, None, "s"), (2, "a b", "s"), (2, "a b", "s"), (1, "", "t"), (3, "c", "t")]
+    got = digest(curriculum(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), budget=1.0)).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == sorted((i or 0, len((t or "").split())) for i, t, _ in rows)
