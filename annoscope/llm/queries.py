@@ -235,3 +235,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+# ---- 13: embedding whitening ----
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.whitening import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings"))
