@@ -243,3 +243,11 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annoscope.llm.whitening import whiten
 
     return whiten(_read(spark, sf_dir, "embeddings"))
+
+
+# ---- 12: HTML extraction ----
+@_query
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.html_text import main_text
+
+    return main_text(_read(spark, sf_dir, "pages"))
