@@ -251,3 +251,11 @@ def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annoscope.llm.html_text import main_text
 
     return main_text(_read(spark, sf_dir, "pages"))
+
+
+# ---- 11: cross-tokenizer alignment ----
+@_query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoscope.llm.alignment import align
+
+    return align(_read(spark, sf_dir, "documents"))
