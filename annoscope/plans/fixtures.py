@@ -249,6 +249,21 @@ def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("label") < 5).cast("int").alias("y"), ys.alias("ys"), fold_of("vec_id").alias("fold"))
 
 
+# The languages that stand for the first four categories of labelled documents.
+LABEL_LANGS: tuple[str, ...] = ("en", "de", "fr", "es")
+
+
+def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, ys, fold)`` of every document: one label per category (its language, the quality label for the last one), a tenth of
+    them flipped, so that no category can be told without errors."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    q = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    told = [F.col("lang") == x for x in LABEL_LANGS] + [F.col("quality") == 1]
+    flip = [u01("doc_id", F.lit(c), F.lit("flip")) < 0.1 for c in CATEGORIES]
+    ys = F.array(*[(F.coalesce(t, F.lit(False)) != f).cast("int") for t, f in zip(told, flip)])
+    return d.join(q, "doc_id", "left").select(F.col("doc_id").alias("id"), ys.alias("ys"), fold_of("doc_id").alias("fold"))
+
+
 def fold_of(id_col, n: int = 11):
     """Evaluation split by hash: 0 = test, 1..n-1 = cross-validation folds."""
     h = F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit("fold"))), 1, 8), 16, 10).cast("long")
