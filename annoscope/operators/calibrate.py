@@ -1,8 +1,8 @@
 """Calibration.
 
-Prior shift is an expression after one small aggregation (one row per group). Platt scaling and
-isotonic regression are fitted with Spark ML per group: a driver loop over the (few) groups, each
-fit itself distributed over the rows of its group.
+Prior shift is an expression after one small aggregation (one row per group). Platt scaling is fitted with Spark ML per
+group: a driver loop over the (few) groups, each fit itself distributed over the rows of its group. Isotonic regression
+pools violators in range slices of all groups at once (``isotonic.py``).
 """
 
 from __future__ import annotations
@@ -103,21 +103,14 @@ def platt_inverse(c, a="a", b="b") -> Column:
 
 def isotonic_fit_apply(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s: str = "y_score",
                        out: str = "calibrated") -> DataFrame:
-    """Increasing isotonic regression of the label on the score, per group, applied to the
-    same rows; predictions clip outside the fitted range (Spark ML's behaviour). Rows are collapsed to one weighted
-    row per distinct score first; rows without a score or label get no value."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
+    """Increasing isotonic regression of the label on the score, per group, applied to the same rows. Rows are
+    collapsed to one weighted row per distinct score first; rows without a score or label get no value."""
+    from annoscope.operators.isotonic import fitted_values
 
     g = list(group_cols)
-    scores = written(score_counts(df, g, y, s).withColumn("_w", (F.col("pos") + F.col("neg")).cast("double")), "scores")
-    feat = VectorAssembler(inputCols=["score"], outputCol="features").transform(scores.withColumn("label", F.col("pos") / F.col("_w")))
-    res = None
-    for key in _groups(scores, g):
-        part = _where_group(feat, g, key)
-        m = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="_w", isotonic=True).fit(part)
-        done = m.transform(part).select(*g, F.col("score").alias("_s"), F.col("prediction").alias(out))
-        res = done if res is None else res.unionByName(done)
-    if res is None:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    return df.withColumn("_s", F.col(s).cast("double")).join(res, [*g, "_s"], "left").drop("_s")
+    scores = score_counts(df, g, y, s).select(*g, F.col("score").alias("_s"), F.col("pos").cast("double").alias("_sum"),
+                                              (F.col("pos") + F.col("neg")).cast("double").alias("_w"))
+    done = fitted_values(scores, g, "_s", "_sum", "_w", out)
+    keep = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in g]
+    rows = df.withColumn("_s", F.col(s).cast("double")).alias("d")
+    return rows.join(done.alias("f"), [F.col("d._s") == F.col("f._s"), *keep], "left").select(*[F.col(f"d.{c}") for c in df.columns], F.col(f"f.{out}"))

@@ -144,7 +144,22 @@ def cal_platt(spark, sf):
     return rounded(out.select("id", "category", "y_score", "a", "b", "calibrated", "restored"))
 
 
-@register("cal_isotonic", "thresholds")
+# the min-max formula: the fitted value at a score is the largest, over starts up to it, of the smallest mean to an end from it on
+@register("cal_isotonic", "thresholds", sql=W + """, train AS (
+  SELECT * FROM scored_folds WHERE fold > 0
+), v AS (
+  SELECT category, y_score, count(*) AS w, sum(y_true) AS s FROM train GROUP BY ALL
+), c AS (
+  SELECT *, row_number() OVER o AS k, sum(w) OVER o AS cw, sum(s) OVER o AS cs FROM v WINDOW o AS (PARTITION BY category ORDER BY y_score)
+), m AS (
+  SELECT a.category, a.k AS a, b.k AS b, (b.cs - a.cs + a.s) / CAST(b.cw - a.cw + a.w AS DOUBLE) AS mean FROM c a JOIN c b ON a.category = b.category AND a.k <= b.k
+), least AS (
+  SELECT i.category, i.k, m.a, min(m.mean) AS mean FROM c i JOIN m ON m.category = i.category AND m.a <= i.k AND m.b >= i.k GROUP BY ALL
+), fit AS (
+  SELECT category, k, max(mean) AS value FROM least GROUP BY ALL
+)
+SELECT t.id, t.category, t.y_true, t.y_score, round(f.value, 6) AS calibrated
+FROM train t JOIN c ON c.category = t.category AND c.y_score = t.y_score JOIN fit f ON f.category = c.category AND f.k = c.k""")
 def cal_isotonic(spark, sf):
     s = fx.scored_folds(spark, sf).where(F.col("fold") > 0)
     return rounded(K.isotonic_fit_apply(s, G1).select("id", "category", "y_true", "y_score", "calibrated"))
