@@ -93,12 +93,25 @@ def sentence_counts(hits: DataFrame, categories: Sequence[str] = CATEGORIES) ->
 
 
 def document_sentence_counts(hl: DataFrame, articles: DataFrame, categories: Sequence[str] = CATEGORIES, bin_size: int = 256) -> DataFrame:
-    """``sentence_counts`` of highlights and articles: counted by (document, sentence number) first, so each text is
-    attached once and then grouped."""
-    per = sentence_group_keys(hl, articles, bin_size).groupBy("document_id", "sent_no").agg(*_count_columns(categories))
-    names = [c for c in per.columns if c not in ("document_id", "sent_no")]
-    texts = _sentences_of(articles).select("document_id", "sent_no", "sentence")
-    return per.join(texts, ["document_id", "sent_no"]).groupBy("sentence").agg(*[F.sum(c).alias(c) for c in names])
+    """``sentence_counts`` of highlights and articles, by differences: a document has a fixed number of (coder, domain) groups,
+    and a sentence's negative groups are those less the groups that hit it. So only sentences that are hit meet groups, and no
+    (group, sentence) pair is made for the others. Articles are cut into sentences once."""
+    from annoscope.plans.sizing import shared
+
+    d = F.col("assigned_domain")
+    groups = hl.select("coder_id", "document_id", "assigned_domain").distinct()
+    per_doc = groups.groupBy("document_id").agg(F.count(F.lit(1)).alias("_groups"), *[F.count_if(d == c).alias(f"_groups_{c}") for c in categories])
+    sents = shared(_sentences_of(articles.join(groups, "document_id", "left_semi")).select("document_id", "sent_no", "start", "end", "sentence"))
+    places = sents.select("document_id", "sent_no", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    hits = overlap_join(places, highlight_spans(hl, normalized_articles(articles)), ["document_id"], ("s_start", "s_end"), ("h_start", "h_end"), bin_size)
+    hits = hits.groupBy("document_id", "sent_no", "coder_id", "assigned_domain").agg(F.count(F.lit(1)).alias("n_hits"))
+    hits = hits.groupBy("document_id", "sent_no").agg(
+        F.count(F.lit(1)).alias("_hit"), *[F.sum(F.when(d == c, F.col("n_hits"))).alias(f"_n_{c}") for c in categories], *[F.count_if(d == c).alias(f"_hit_{c}") for c in categories])
+    rows = sents.select("document_id", "sent_no", "sentence").join(per_doc, "document_id").join(hits, ["document_id", "sent_no"], "left")
+    n = {c: F.coalesce(c, F.lit(0)) for c in hits.columns[2:]}
+    sums = [F.sum(n[f"_n_{c}"]).alias(c) for c in categories] + [F.sum(F.col("_groups") - n["_hit"]).alias(NONE_CATEGORY)]
+    sums += [F.sum(n[f"_n_{c}"] + F.col(f"_groups_{c}") - n[f"_hit_{c}"]).alias(f"{c}_seen") for c in categories]
+    return rows.groupBy("sentence").agg(*sums)
 
 
 def with_content_tokens(counts: DataFrame, min_tokens: int = 3, stop_words: Sequence[str] | None = None,
@@ -119,15 +132,17 @@ def with_content_tokens(counts: DataFrame, min_tokens: int = 3, stop_words: Sequ
 def map_labels(rows: DataFrame, label_map: DataFrame, col: str = "annotation", sep: str = ",",
                check: bool = True, map_rows: int | None = None) -> DataFrame:
     """Split a comma list of raw labels and map each to its category. An unknown raw label is
-    an error (checked with a left-anti join, as the reference's dictionary lookup raises).
+    an error, raised when its row is read: building the query runs no job, and the rows are read once.
     ``map_rows`` (a known size of the label map) lets the map be broadcast."""
     ex = rows.select("*", F.explode(F.split(F.col(col), sep)).alias("raw"))
     m = maybe_broadcast(label_map.select("raw", "category"), map_rows, row_bytes=64)
-    if check:
-        unknown = ex.join(m, "raw", "left_anti").select("raw").limit(5).collect()
-        if unknown:
-            raise KeyError(f"unknown labels: {[r.raw for r in unknown]}")
-    return ex.join(m, "raw", "inner")
+    if not check:
+        return ex.join(m, "raw", "inner")
+    known = m.select("raw", "category", F.lit(True).alias("_known"))
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce("raw", F.lit("NULL")))).cast("string")
+    out = ex.join(known, "raw", "left").withColumn("category", F.when(F.col("_known"), F.col("category")).otherwise(unknown))
+    # the filter reads the column, so the check stays in plans that use none of it
+    return out.where(F.col("category").isNotNull() | F.col("_known")).drop("_known")
 
 
 def count_labels(mapped: DataFrame, key_cols: Sequence[str], categories: Sequence[str] = (*CATEGORIES, NONE_CATEGORY)) -> DataFrame:

@@ -81,20 +81,44 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value: str, whisker: flo
         F.count_if((v < lo) | (v > hi)).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
 
 
+_KDE_CELLS, _KDE_REACH, _KDE_ORDER = 8, 9, 6  # cells a bandwidth; bandwidths to a grid point; moments of a cell
+
+
 def kde_grid(df: DataFrame, group_cols: Sequence[str], value: str, n_grid: int = 101, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """Gaussian KDE with Scott's bandwidth (n^(-1/5) · sample sd) at ``n_grid`` points of
-    [lo, hi]. Values are collapsed to distinct (value, count) first; each distinct value meets the
-    grid once (rows = distinct values × grid points)."""
+    """Gaussian KDE with Scott's bandwidth (n^(-1/5) · sample sd) at ``n_grid`` points of [lo, hi].
+
+    Values are summed up in cells of an eighth of their group's bandwidth, as powers of the distance d to the cell's centre; a cell
+    then meets the grid points within 9 bandwidths, where exp(-(t - d)²/2) is expanded in Hermite polynomials up to d^5. Rows
+    never meet the grid, and the table of cells does not grow with the rows. With |d| at most 1/16 a kernel is off by
+    2.4e-9 of its peak at most, so a density by 2.4e-9 / (bandwidth · √2π). A group without spread has no bandwidth and NULL
+    densities; a group without values has no rows."""
     g = list(group_cols)
     v = F.col(value).cast("double")
-    stats = df.groupBy(*g).agg(F.count(v).alias("_n"), F.stddev_samp(v).alias("_sd"))
-    stats = per_group(stats).withColumn("_bw", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd"))
-    counts = df.groupBy(*g, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    j = counts.join(stats, g) if g else counts.crossJoin(stats)
+    base = df.where(v.isNotNull())
+    stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(v).alias("_sd"))
+    stats = per_group(stats.withColumn("_bw", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd")).drop("_sd"))
+    spread = stats.where("_bw > 0").select(*[F.col(c).alias(f"_g_{c}") for c in g], F.col("_bw").alias("_b"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in g]
+    rows = base.join(spread, same) if g else base.crossJoin(F.broadcast(spread))  # one row
+    width = F.col("_b") / _KDE_CELLS
+    rows = rows.select(*g, "_b", F.floor(v / width).alias("_cell"), ((v / F.col("_b")) * _KDE_CELLS).alias("_at"))
+    d = (F.col("_at") - F.col("_cell") - 0.5) / _KDE_CELLS
+    cells = rows.groupBy(*g, "_b", "_cell").agg(*[F.sum(F.pow(d, F.lit(float(k)))).alias(f"_m{k}") for k in range(_KDE_ORDER)])
     step = (hi - lo) / (n_grid - 1)
-    j = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i"))
-    x = F.lit(lo) + F.col("i") * F.lit(step)
-    kern = F.col("_c") * F.exp(-F.pow(x - F.col("_v"), 2) / (2 * F.pow(F.col("_bw"), 2)))
-    dens = j.groupBy(*g, "i", "_n", "_bw").agg(F.sum(kern).alias("_s"))
+    centre = (F.col("_cell") + 0.5) * width
+    first = F.greatest(F.ceil((centre - _KDE_REACH * F.col("_b") - lo) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((centre + _KDE_REACH * F.col("_b") - lo) / step), F.lit(n_grid - 1)).cast("int")
+    near = cells.withColumn("_c", centre).withColumn("_i0", first).withColumn("_i1", last).where("_i0 <= _i1").withColumn("i", F.explode(F.sequence("_i0", "_i1")))
+    t = (F.lit(lo) + F.col("i") * F.lit(step) - F.col("_c")) / F.col("_b")
+    near = near.withColumn("_t", t)
+    he, series = [F.lit(1.0), F.col("_t")], F.lit(0.0)
+    for k in range(_KDE_ORDER):
+        if k > 1:
+            he.append(F.col("_t") * he[k - 1] - (k - 1) * he[k - 2])
+        series = series + he[k] * F.col(f"_m{k}") / math.factorial(k)
+    sums = near.groupBy(*[F.col(c).alias(f"_g_{c}") for c in g], F.col("i").alias("_gi")).agg(F.sum(F.exp(-F.col("_t") * F.col("_t") / 2) * series).alias("_s"))
+    spine = stats.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
+    out = spine.join(sums, [*same, F.col("i") == F.col("_gi")], "left")
     norm = F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi))
-    return dens.select(*g, "i", (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"), (F.col("_s") / norm).alias("density"))
+    return out.select(*g, "i", (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"),
+                      F.when(F.col("_bw") > 0, F.coalesce("_s", F.lit(0.0)) / norm).alias("density"))

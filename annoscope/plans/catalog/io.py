@@ -36,6 +36,28 @@ def src_nested_json(spark, sf):
     return readers.read_nested_json(spark, path).select("corpus", "tweet_id", "tweet_text", "annotator", "annotation")
 
 
+@register("src_json_document", "io", sql=S.with_(S.TWEETS) + "SELECT corpus, tweet_id, tweet_text, CAST(annotator AS VARCHAR) AS annotator, annotation FROM tweets")
+def src_json_document(spark, sf):
+    """A6 as shipped: one list of corpora in one file, on many lines."""
+    path = scratch_path(spark, "corpora_json")
+    tweet = fx.tweets_flat(spark, sf).groupBy("corpus", "tweet_id", "tweet_text").agg(
+        F.collect_list(F.struct(F.col("annotator").cast("string").alias("annotator"), "annotation")).alias("annotations"))
+    value = F.to_json(F.struct("tweet_id", "tweet_text", "annotations"), {"pretty": "true"})
+    sinks.write_corpora_document(tweet.select("corpus", value.alias("value")), path)
+    return readers.read_corpora_json(spark, path).select("corpus", "tweet_id", "tweet_text", "annotator", "annotation")
+
+
+@register("src_json_object", "io", sql="SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS text, p_brand AS issue, "
+          "CASE WHEN p_size % 2 = 1 THEN 'democratic' ELSE 'republican' END AS party, 'care' AS category FROM part")
+def src_json_object(spark, sf):
+    """A7 as shipped: one object keyed by id in one file, on many lines."""
+    p = table(spark, sf, "part")
+    path = scratch_path(spark, "frames_object")
+    value = F.to_json(F.struct(F.col("p_name").alias("text"), F.pmod("p_size", F.lit(2)).alias("author-label"), F.col("p_brand").alias("issue")))
+    sinks.write_json_document(p.select(F.col("p_partkey").alias("id"), value.alias("value")), path, key="id")
+    return readers.read_map_json(spark, {"care": path}, one_object_per_line=False).select("id", "text", "issue", "party", "category")
+
+
 _FRAME_CAT = f"{S.cats_list()}[CAST(floor({S.u01('p_partkey', S.q('frame'))} * {len(CATEGORIES)}) AS INTEGER) + 1]"
 
 

@@ -36,13 +36,18 @@ def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def _members(spark: SparkSession, path: str, value_type: str) -> DataFrame:
+    """``(key, value)`` of the members of a file's one JSON object, read in byte ranges."""
+    from annoscope.sources.json_document import read_json_document
+
+    rows = read_json_document(spark, path).records
+    m = F.from_json(F.concat(F.lit("{"), F.col("value"), F.lit("}")), f"map<string,{value_type}>", {"mode": "FAILFAST"})
+    return rows.select(F.explode(m).alias("key", "value"))
+
+
 def read_lexicon_json(spark: SparkSession, path: str) -> DataFrame:
-    """Lexicon JSON ``{word: [dim, ...]}`` -> ``(word, dim)``. JSON-lines files with one
-    ``{"word":..., "dims":[...]}`` object per line are read in parallel; a single-object map file is
-    parsed with ``from_json`` into a map and exploded."""
-    raw = spark.read.text(path, wholetext=True)
-    m = F.from_json(F.col("value"), "map<string,array<string>>")
-    return raw.select(F.explode(m).alias("word", "dims")).select("word", F.explode("dims").alias("dim"))
+    """Lexicon JSON, one object ``{word: [dim, ...]}`` a file -> ``(word, dim)``; the file's members are read in parallel."""
+    return _members(spark, path, "array<string>").select(F.col("key").alias("word"), F.explode("value").alias("dim"))
 
 
 def read_lexicon_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -64,12 +69,26 @@ TWEETS_NESTED = T.StructType([
 
 
 def read_nested_json(spark: SparkSession, path: str, schema: T.StructType = TWEETS_NESTED) -> DataFrame:
-    """Corpus -> tweets -> annotations, flattened to one row per annotation.
-
-    Reads JSON lines (one corpus object per line) so files split across tasks; two ``explode``s.
+    """Corpus -> tweets -> annotations, flattened to one row per annotation, from JSON lines (one corpus object
+    per line; files split across tasks); two ``explode``s. See ``read_corpora_json`` for one document a file.
     """
     df = spark.read.schema(schema).json(path)
-    t = df.select(F.col("Corpus").alias("corpus"), F.explode("Tweets").alias("t"))
+    return _annotations(df.select(F.col("Corpus").alias("corpus"), F.explode("Tweets").alias("t")))
+
+
+def read_corpora_json(spark: SparkSession, path: str, schema: T.StructType = TWEETS_NESTED) -> DataFrame:
+    """As ``read_nested_json`` from files that hold one list of corpora each, on any number of lines. The tweets of all
+    corpora are parsed in parallel; the corpus names come from what is left of the document without them."""
+    from annoscope.sources.json_document import read_json_document
+
+    doc = read_json_document(spark, path, depth=3)
+    names = F.from_json("value", "array<struct<Corpus:string,Tweets:array<long>>>", {"mode": "FAILFAST"})
+    corpora = doc.skeleton.select("file", F.explode(names).alias("c")).select("file", F.col("c.Corpus").alias("corpus"), F.col("c.Tweets")[0].alias("container"))
+    rows = doc.records.join(corpora, ["file", "container"])
+    return _annotations(rows.select("corpus", F.from_json("value", schema["Tweets"].dataType.elementType, {"mode": "FAILFAST"}).alias("t")))
+
+
+def _annotations(t: DataFrame) -> DataFrame:
     a = t.select("corpus", F.col("t.tweet_id").alias("tweet_id"), F.col("t.tweet_text").alias("tweet_text"),
                  F.posexplode("t.annotations").alias("annotator_no", "a"))
     return a.select("corpus", "tweet_id", "tweet_text", "annotator_no", F.col("a.annotator").alias("annotator"),
@@ -83,13 +102,15 @@ def read_map_json(spark: SparkSession, paths: dict[str, str], value_type: str =
                   one_object_per_line: bool = True) -> DataFrame:
     """Object-keyed JSON per category ``{id: {...}}``; the key is the id and the category
     is added as a literal; categories unioned by name; party decoded (1 -> democratic).
-    Objects are read one per line (files split across tasks); ``one_object_per_line=False`` reads
-    each file whole, for files that hold a single pretty-printed object."""
+    Objects are read one per line (files split across tasks); ``one_object_per_line=False`` is for files that hold one
+    object each, on any number of lines: its members are read in parallel."""
     parts = []
     for category, path in paths.items():
-        raw = spark.read.text(path, wholetext=not one_object_per_line)
-        m = F.from_json(F.col("value"), f"map<string,{value_type}>")
-        p = raw.select(F.explode(m).alias("id", "v")).select(
+        if one_object_per_line:
+            members = spark.read.text(path).select(F.explode(F.from_json(F.col("value"), f"map<string,{value_type}>")).alias("id", "v"))
+        else:
+            members = _members(spark, path, value_type).select(F.col("key").alias("id"), F.col("value").alias("v"))
+        p = members.select(
             "id", F.col("v.text").alias("text"), F.col("v.issue").alias("issue"),
             F.when(F.col("v.`author-label`") == 1, "democratic").otherwise("republican").alias("party"),
             F.lit(category).alias("category"))

@@ -117,3 +117,36 @@ def write_word_vectors(vectors: DataFrame, path: str, mode: str = "overwrite") -
     """A11 writer: ``token v1 ... vd`` text lines, no header."""
     line = F.concat_ws(" ", F.col("token"), F.array_join(F.transform("vec", lambda v: v.cast("string")), " "))
     vectors.select(line.alias("value")).write.mode(mode).text(path)
+
+
+def write_json_document(values: DataFrame, path: str, key: str | None = None, pretty: bool = True, mode: str = "overwrite") -> None:
+    """One JSON document in one file: a list of the JSON texts ``values(value)``, or an object of them by the column ``key``. The
+    lines are sorted in Spark and streamed through the one writer that a single file needs."""
+    from annoscope.session import written
+
+    name = F.regexp_extract(F.to_json(F.struct(F.col(key or "value").cast("string").alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    item = F.concat(name, F.lit(": " if pretty else ":"), "value") if key else F.col("value")
+    rows = written(values.select(F.struct(F.col(key or "value").cast("string").alias("k"), F.monotonically_increasing_id().alias("u")).alias("at"), item.alias("item")), "json-lines")
+    first = F.broadcast(rows.agg(F.min("at").alias("first")))  # one row
+    lines = rows.crossJoin(first).select(F.lit(1).alias("part"), "at", F.concat(F.when(F.col("at") == F.col("first"), "").otherwise(","), "item").alias("value"))
+    ends = values.sparkSession.createDataFrame([(0, "{" if key else "["), (2, "}" if key else "]")], "part int, value string")
+    lines = lines.unionByName(ends, allowMissingColumns=True).orderBy("part", "at").select("value").coalesce(1)
+    lines.write.mode(mode).option("lineSep", "\n" if pretty else " ").text(path)
+
+
+def write_corpora_document(tweets: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A6 as shipped: one list of corpora in one file on many lines, a tweet a line, from ``tweets(corpus, value)`` with the JSON text
+    of each tweet. No corpus is gathered: its lines are sorted between its first and last one."""
+    from annoscope.session import written
+
+    rows = written(tweets.select("corpus", F.monotonically_increasing_id().alias("u"), "value"), "json-lines")
+    corpora = written(rows.groupBy("corpus").agg(F.min("u").alias("u")), "json-corpora")
+    least = F.broadcast(corpora.agg(F.min("corpus").alias("least")))  # one row
+    head = F.concat(F.when(F.col("corpus") == F.col("least"), "").otherwise(","), F.regexp_replace(F.to_json(F.struct(F.col("corpus").alias("Corpus"))), r"\}$", ""), F.lit(', "Tweets": ['))
+    lines = rows.join(corpora.withColumnRenamed("u", "first"), "corpus").select(
+        F.lit(1).alias("a"), "corpus", F.lit(1).alias("b"), "u", F.concat(F.when(F.col("u") == F.col("first"), "").otherwise(","), "value").alias("value"))
+    lines = lines.unionByName(corpora.crossJoin(least).select(F.lit(1).alias("a"), "corpus", F.lit(0).alias("b"), head.alias("value")), allowMissingColumns=True)
+    lines = lines.unionByName(corpora.select(F.lit(1).alias("a"), "corpus", F.lit(2).alias("b"), F.lit("]}").alias("value")), allowMissingColumns=True)
+    ends = tweets.sparkSession.createDataFrame([(0, "["), (2, "]")], "a int, value string")
+    lines = lines.unionByName(ends, allowMissingColumns=True).orderBy("a", "corpus", "b", "u").select("value").coalesce(1)
+    lines.write.mode(mode).text(path)

@@ -86,12 +86,54 @@ def test_highlights_absent_null_and_negative_group(spark):
 def test_unknown_label_raises(spark):
     rows = spark.createDataFrame([("t", "Care,Bogus")], "text string, annotation string")
     m = spark.createDataFrame([("Care", "care")], "raw string, category string")
-    try:
-        A.map_labels(rows, m)
-    except KeyError as e:
-        assert "Bogus" in str(e)
-    else:
-        raise AssertionError("unknown label accepted")
+    for use in (lambda d: d.collect(), lambda d: d.count()):
+        try:
+            use(A.map_labels(rows, m))
+        except Exception as e:  # noqa: BLE001 (Spark's own error class)
+            assert "unknown label: Bogus" in str(e)
+        else:
+            raise AssertionError("unknown label accepted")
+    assert [r.category for r in A.map_labels(rows, m, check=False).collect()] == ["care"]
+
+
+def test_labels_are_checked_without_a_job_before_the_query(spark):
+    rows = spark.createDataFrame([("t", "Care,Care"), ("u", None)], "text string, annotation string")
+    m = spark.createDataFrame([("Care", "care")], "raw string, category string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("labels", "labels")
+    out = A.map_labels(rows, m)
+    assert not tracker.getJobIdsForGroup("labels")
+    assert [r.category for r in out.collect()] == ["care", "care"]
+    spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_counts_by_difference_equal_the_counts_over_all_pairs(spark):
+    import random
+    rnd = random.Random(6)
+    texts = {str(k): " ".join(f"S{k} w{rnd.randrange(9)} end{j}." for j in range(8)) for k in range(6)}
+    art = spark.createDataFrame([(k, None, t) for k, t in texts.items()], "document_id string, url string, text string")
+    hl = [(rnd.randrange(3), k, rnd.choice(["care", "loyalty", "sanctity"]), t[a:a + rnd.randrange(1, 40)], 9e3)
+          for k, t in texts.items() if k != "5" for a in [rnd.randrange(len(t)) for _ in range(7)]] + [(1, "0", "care", "not in it", 9e3)]
+    hl = spark.createDataFrame(hl, "coder_id int, document_id string, assigned_domain string, content string, focus_duration double")
+    want = sorted(A.sentence_counts(A.sentence_group_hits(hl, art)).collect())
+    got = A.document_sentence_counts(hl, art)
+    assert sorted(tuple(r[c] for c in want[0].__fields__) for r in got.collect()) == [tuple(r) for r in want]
+
+
+def test_density_matches_the_plain_sum_also_outside_the_grid(spark):
+    import numpy as np
+    from annoscope.operators.profile import kde_grid
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.random(400), "b": rng.normal(0.5, 0.01, 300), "far": np.r_[rng.normal(5, 0.1, 50), 0.5], None: rng.random(30)}
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("one", 0.3), ("flat", 0.2), ("flat", 0.2), ("a", None), ("none", None)]
+    got = kde_grid(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()
+    assert {r["k"] for r in got} == {*groups, "one", "flat"} and len(got) == 101 * 6
+    for k, xs in groups.items():
+        bw = len(xs) ** -0.2 * xs.std(ddof=1)
+        dens = {r["i"]: r["density"] for r in got if r["k"] == k}
+        want = [np.exp(-((i / 100 - xs) ** 2) / (2 * bw**2)).sum() / (len(xs) * bw * np.sqrt(2 * np.pi)) for i in range(101)]
+        assert np.allclose([dens[i] for i in range(101)], want, atol=3e-9 / bw)
+    assert all(r["density"] is None for r in got if r["k"] in ("one", "flat"))
 
 
 def test_folds_partition_labelled_rows(spark):
