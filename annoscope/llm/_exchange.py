@@ -49,9 +49,11 @@ def layout(docs: DataFrame, text: str = "text") -> Layout:
 
 
 def dealt(docs: DataFrame, lay: Layout, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, doc_id, text), shuffled once by block; every later step reuses that shuffle."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return (rows.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id"), F.lit(lay.blocks)).cast("int"))
+    """(row, doc_id, text, block), shuffled once by block; every later step of the query reuses that shuffle. Blocks are
+    dealt by the rows' own numbers, so rows with one id, or without, spread like all others. The number holds within one
+    query, whose steps read one and the same shuffle."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return (rows.withColumn(CHUNK, F.pmod(F.xxhash64("row"), F.lit(lay.blocks)).cast("int"))
             .repartition(lay.tasks, CHUNK))
 
 

@@ -37,6 +37,7 @@ PASSAGE, PASSAGE_RATE = 80, 0.025
 _GRAMS_A_CHAR = 4  # a character of an item is in up to two segments and two windows
 ITEM_BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 22
+_POSTINGS = 1 << 20  # postings expanded at a time
 _BASE = 0x9E3779B97F4A7C15
 RESULT = "doc_id long, item_id long, begin long, end long, edits int"
 
@@ -152,26 +153,43 @@ def _regions(ix: Index, points: np.ndarray, moved: np.ndarray) -> tuple[np.ndarr
     at, where, text = at[inside], where[inside], text[inside]
     if not len(at):
         return none, none, none
-    count = ix.first[where + 1] - ix.first[where]
-    total = int(count.sum())
-    entry = np.repeat(ix.first[where] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
-    piece, offset = ix.piece[entry], ix.offset[entry]
-    at, text = np.repeat(at - moved[text], count), np.repeat(text, count)
-    width = ix.edits[piece] + 1
-    band = (at - offset + ix.lengths[piece]) // width  # never negative: the diagonal is moved by the piece's length
-    top = int(band.max()) + 2
-    key = (text * len(ix.edits) + piece) * top + band
-    key = np.sort(key)
-    first = tx.segment_starts(key)
-    size, key = np.diff(np.append(first, len(key))), key[first]
-    # A doubled band is two neighbouring single ones; its count is kept at the lower one.
-    after = np.zeros(len(key), np.int64)
-    after[:-1] = np.where(key[1:] == key[:-1] + 1, size[1:], 0)
-    pair, band = key // top, key % top
-    piece = pair % len(ix.edits)
-    good = size + after >= ix.bound[piece]
-    text, piece, band = (pair // len(ix.edits))[good], piece[good], band[good]
-    return text, piece, band * (ix.edits[piece] + 1) - ix.lengths[piece]
+    # Postings are expanded and added up in runs of positions. What lies behind a run cannot grow any more: its bands are
+    # judged and forgotten, so a phrase that many items share costs memory for the stretch of one piece only.
+    lengths, widths, pieces = ix.lengths, ix.edits + 1, len(ix.edits)
+    top = int(np.diff(moved).max()) + int(lengths.max()) + 2
+    total = np.concatenate([[0], np.cumsum(ix.first[where + 1] - ix.first[where])])
+    key, size, good, i = none, none, [], 0
+    while i < len(at):
+        j = max(int(np.searchsorted(total, total[i] + _POSTINGS, "right")) - 1, i + 1)
+        count = total[i + 1:j + 1] - total[i:j]
+        entry = np.repeat(ix.first[where[i:j]] - (total[i:j] - total[i]), count) + np.arange(total[j] - total[i])
+        piece = ix.piece[entry]
+        # the band is never negative: the diagonal is moved by the piece's length
+        band = (np.repeat(at[i:j] - moved[text[i:j]], count) - ix.offset[entry] + lengths[piece]) // widths[piece]
+        fresh = np.sort((np.repeat(text[i:j], count) * pieces + piece) * top + band)
+        first = tx.segment_starts(fresh)
+        key, size = _added(key, size, fresh[first], np.diff(np.append(first, len(fresh))))
+        i = j
+        pair, band = key // top, key % top
+        t, piece = pair // pieces, pair % pieces
+        # A doubled band is two neighbouring single ones; its count is kept at the lower one.
+        after = np.zeros(len(key), np.int64)
+        after[:-1] = np.where(key[1:] == key[:-1] + 1, size[1:], 0)
+        done = moved[t] + (band + 2) * widths[piece] <= (at[i] if i < len(at) else np.iinfo(np.int64).max)
+        found = done & (size + after >= ix.bound[piece])
+        good.append((t[found], piece[found], (band * widths[piece] - lengths[piece])[found]))
+        key, size = key[~done], size[~done]
+    return tuple(np.concatenate(c) for c in zip(*good))
+
+
+def _added(key: np.ndarray, size: np.ndarray, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by ascending key, with those of ``more``."""
+    if not len(key):
+        return more, counts
+    key, size = np.concatenate([key, more]), np.concatenate([size, counts])
+    order = np.argsort(key, kind="stable")
+    first = tx.segment_starts(key[order])
+    return key[order][first], np.add.reduceat(size[order], first)
 
 
 def _align(ix: Index, points: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: np.ndarray, low: np.ndarray):

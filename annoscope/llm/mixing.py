@@ -3,7 +3,7 @@
 Every source has a weight schedule over training time 0..1 (piecewise linear knots). Its integral is
 the source's weight; the weights share ``budget`` times all words, and a target stops at ``cap`` times
 the size of its source, the excess going to the others by weight until none is above. A source is
-a stream of words: its documents in hash order, again from the start in a second pass. The stream's
+a stream of words: its documents in the order of a hash of id and text, again from the start in a second pass. The stream's
 first ``target`` words are taken, so the last document taken may be cut. The word at offset c of the
 stream is trained at the time t at which the source's cumulative demand reaches c: t inverts the
 integral of the schedule. Placements are range-sorted by that position.
@@ -13,7 +13,7 @@ bucket), buckets per source, and the window runs inside one bucket. Only the tab
 each) is ordered as a whole.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null
-id is hashed as an empty string; documents of size 0 take nothing; rows that repeat an id are
+id is hashed as an empty string, together with the text; documents of size 0 take nothing; rows that repeat an id are
 documents of their own. Every document gets a row even if nothing of it is taken.
 """
 
@@ -30,7 +30,7 @@ Schedule = Sequence[tuple[float, float]]
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Integrals 3, 1 and 2: falling, rising, and strongest in the middle.
 SCHEDULES: tuple[Schedule, ...] = (((0.0, 4.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (0.5, 3.0), (1.0, 1.0)))
-_BUCKET_DIGITS = 3  # hexadecimal digits of the hash: 4096 buckets a source
+_BUCKET_WORDS = 1 << 22  # words of a bucket, about
 
 
 def integral(schedule: Schedule) -> float:
@@ -78,6 +78,12 @@ def targets(sources: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, budge
                     .otherwise(F.least(F.col("_top"), F.col("_level") * F.col("_w"))).alias("target")))
 
 
+def _bucket_digits(docs: DataFrame, text: str) -> int:
+    """Hexadecimal digits of the hash that name a bucket: at least 3 (4096 buckets a source), more for larger corpora."""
+    size = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    return max(3, len(f"{size // (6 * _BUCKET_WORDS):x}"))
+
+
 def curriculum(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, budget: float = 1.5, cap: float = 2.0,
                doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
     """Placements, range-sorted by ``position`` (0..1): doc_id, source, size, source_size, target, bucket and
@@ -85,9 +91,9 @@ def curriculum(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, budge
     document of which nothing is taken has one row with take 0 and no position. ``keep`` names columns of ``docs``
     to carry along, as one struct ``kept`` (say the text itself)."""
     _check(schedules)
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce(F.col(text), F.lit("")))))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("_key"),
-                       F.substring(key, 1, _BUCKET_DIGITS).alias("_bucket"),
+                       F.substring(key, 1, _bucket_digits(docs, text)).alias("_bucket"),
                        F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
                        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []))
     rows = rows if keep else saved(rows, "mix-sizes")  # without texts to carry, they are read once
@@ -132,7 +138,8 @@ def _placements(placed: DataFrame, schedules: Sequence[Schedule], cap: float, ke
 
 
 def digest(placements: DataFrame) -> DataFrame:
-    """One row per document: size, source_size, target, taken (words over all copies), first_position."""
+    """One row per document: size, source_size, target, taken (words over all copies), and the first and last of its positions."""
     return (placements.groupBy("source", "bucket", "number", "doc_id", "size", "source_size", "target", "offset")
-            .agg(F.sum("take").alias("taken"), F.min("position").alias("first_position"))
-            .select("doc_id", "size", "source_size", "target", "taken", "first_position"))
+            .agg(F.sum("take").alias("taken"), F.min("position").alias("first_position"),
+                 F.max("position").alias("last_position"))
+            .select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position"))

@@ -15,14 +15,18 @@
    be similar by the triangle inequality, so no bucket is capped and no link that joins two classes is lost.
 4. Classes are the connected components of the links, by alternating large-star and small-star rounds.
 
-Words are runs of letters, digits and bytes above ASCII, lower-cased. Defined cases: a null text, or one without
-words, is a class of its own; a text of fewer than ``shingle`` words is one shingle; rows that
-repeat an id are one document (its text being that of any of the rows); a null id is never compared: those
-rows get a null class. Extra columns are ignored.
+Words are runs of letters, digits and bytes above ASCII, lower-cased. Rows are compared, not ids: each has a number of its own, so rows
+without an id and rows that repeat one with another text are documents like all others. Defined cases: a null text, or
+one without words, is a class of its own; a text of fewer than ``shingle`` words is one shingle. ``near_duplicates``
+answers by id: an id has the smallest class of its rows, a class the smallest of its ids (null if none of its rows has
+one). ``keep_one`` keeps one row of each class, that with the smallest id (rows without one last, then by the text's
+digest), and of rows equal in id and text any one. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,8 +47,7 @@ GAP[[*b"0123456789", *b"abcdefghijklmnopqrstuvwxyz", *b"ABCDEFGHIJKLMNOPQRSTUVWX
 
 _SENT = f"{ex.PART} int, {ex.CHUNK} int, keys binary, counts binary"
 _ANSWER = f"{ex.CHUNK} int, {ex.PART} int, at binary, counts binary"
-_SIGNED = "doc_id long, leader long, text_key binary, keys array<long>, vector binary"
-_LAST = np.iinfo(np.int64).max
+_SIGNED = "doc_id long, leader long, id long, digest string, text_key binary, keys array<long>, vector binary"
 
 
 def shingle_counts(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,10 +179,9 @@ def _sign(lay: ex.Layout, k: int, similarity: float, bands: int, rows: int, stre
         some = np.flatnonzero(shared >= (similarity - 1e-4) * np.add.reduceat(weight, first))
     else:
         some = first
-    ids = table.column("doc_id").cast(pa.int64())
-    id_of = ids.fill_null(_LAST).to_numpy()[doc[first[some]]] if len(some) else np.zeros(0, np.int64)
-    some, id_of = some[id_of != _LAST], id_of[id_of != _LAST]
-    # Equal sets are told by two sums over their hashes and counts; the smallest id here stands for them.
+    # From here on documents go by the number of their row.
+    id_of = table.column("row").to_numpy()[doc[first[some]]] if len(some) else np.zeros(0, np.int64)
+    # Equal sets are told by two sums over their hashes and counts; the smallest number here stands for them.
     text_key = np.zeros((len(some), 2), np.uint64)
     if len(some):
         text_key[:, 0] = np.add.reduceat(tx.mix(key + tf.astype(np.uint64)), first)[some]
@@ -204,7 +206,10 @@ def _sign(lay: ex.Layout, k: int, similarity: float, bands: int, rows: int, stre
     def of_leader(values: list, kind: pa.DataType) -> pa.Array:
         return pa.array([values[at[i]] if new[i] else None for i in range(len(some))], kind)
 
+    rows = table.select(["doc_id", "text"]).take(pa.array(doc[first[some]] if len(some) else some, pa.int64()))
+    digest = [hashlib.md5(t.encode()).hexdigest() for t in rows.column("text").to_pylist()]
     return pa.table({"doc_id": pa.array(id_of, pa.int64()), "leader": pa.array(leader, pa.int64()),
+                     "id": rows.column("doc_id").cast(pa.int64()), "digest": pa.array(digest, pa.string()),
                      "text_key": of_leader([x.tobytes() for x in text_key[new]], pa.binary()),
                      "keys": of_leader(list(band), pa.list_(pa.int64())),
                      "vector": of_leader(vectors, pa.binary())})
@@ -337,9 +342,8 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").count() == 0
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                    idf_strength: float = IDF_STRENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id), one row per distinct id: the class is named by its smallest id."""
+def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int, idf_strength: float, doc_id: str, text: str) -> DataFrame:
+    """(id, digest, root) of every row that is near another one."""
     lay = ex.layout(docs, text)
     by_block = ex.dealt(docs, lay, doc_id, text).groupBy(ex.CHUNK)
     counts = (by_block.applyInArrow(ex.task(_send_shingles, lay, shingle), _SENT)
@@ -352,15 +356,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     vectors = saved(heads.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "vector", "keys"), "near-vectors")
     members = vectors.select(F.col("doc_id").alias("doc"), F.posexplode("keys").alias("band", "key"))
     roots = components(_links(members, vectors, similarity))
-    head_rep = head_rep.join(roots, head_rep["rep"] == roots["node"], "left").select("leader", F.coalesce("root", "rep").alias("class_id"))
-    found = signed.select("doc_id", "leader").distinct().join(head_rep, "leader").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    every = docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
-    classes = every.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return classes
+    head_rep = head_rep.join(roots, head_rep["rep"] == roots["node"], "left").select("leader", F.coalesce("root", "rep").alias("root"))
+    return saved(signed.select("id", "digest", "leader").join(head_rep, "leader").select("id", "digest", "root"), "near-classes")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without those of documents that are not the smallest id of their class."""
-    gone = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__near_gone"))
-    gone = saved(gone, "near-gone")
-    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("__near_gone"), "left_anti")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
+                    idf_strength: float = IDF_STRENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id), one row per distinct id: the class is named by its smallest id."""
+    classes = _classes(docs, shingle, similarity, bands, rows, idf_strength, doc_id, text)
+    names = classes.groupBy("root").agg(F.min("id").alias("class_id"))
+    found = classes.where("id IS NOT NULL").join(names, "root").groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id"))
+    every = docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
+    return every.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
+             idf_strength: float = IDF_STRENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, of each class one. Rows go by id and text, whatever other rows carry their id."""
+    classes = _classes(docs, shingle, similarity, bands, rows, idf_strength, doc_id, text)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    kept = saved(classes.groupBy("root").agg(F.min(order).alias("k")), "near-kept")
+    texts = classes.groupBy("root", "id", "digest").agg(F.count(F.lit(1)).alias("n")).join(kept, "root")
+    first = F.col("id").eqNullSafe(F.col("k.id")) & (F.col("digest") == F.col("k.digest"))
+    texts = saved(texts.select(F.col("id").alias("__near_id"), F.col("digest").alias("__near_digest"), first.alias("__near_first"), "n")
+                  .where("NOT __near_first OR n > 1").drop("n"), "near-gone")
+    digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__near_id")) & (digest == F.col("__near_digest"))
+    left = docs.join(texts.drop("__near_first"), same, "left_anti")
+    repeated = texts.where("__near_first").select("__near_id", "__near_digest")
+    if repeated.isEmpty():
+        return left
+    # rows equal in id and text to the one kept: any of them, combined in the task first
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__near_row")
+    some = docs.join(repeated, same, "inner").select("__near_id", "__near_digest", every).groupBy("__near_id", "__near_digest").agg(F.first("__near_row").alias("r"))
+    return left.unionByName(some.select("r.*"))

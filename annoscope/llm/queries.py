@@ -61,16 +61,34 @@ FROM s
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annoscope.llm.mixing import curriculum, digest
 
-    return digest(curriculum(_read(spark, sf_dir, "documents"))).drop("first_position")
+    out = digest(curriculum(_read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "size", "source_size", "target", "taken", *[F.round(c, 9).alias(c) for c in ("first_position", "last_position")])
+
+
+def _inverse_sql(share: str) -> str:
+    """The time at which a source's schedule has used up this share of its weight, by the source's slot."""
+    from annoscope.llm.mixing import SCHEDULES, integral
+
+    cases = []
+    for slot, knots in enumerate(SCHEDULES):
+        done, parts = 0.0, []
+        for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+            area, slope, need = (t1 - t0) * (w0 + w1) / 2, (w1 - w0) / (t1 - t0), f"({share} * {integral(knots)}::DOUBLE)"
+            a = f"greatest({need} - {done}::DOUBLE, 0.0::DOUBLE)"
+            root = f"({w0}::DOUBLE + sqrt(greatest({w0 * w0}::DOUBLE + {2 * slope}::DOUBLE * {a}, 0.0::DOUBLE)))"
+            parts.append(f"WHEN {need} <= {done + area}::DOUBLE THEN least({t0}::DOUBLE + CASE WHEN {root} > 0 THEN 2 * {a} / {root} ELSE 0.0::DOUBLE END, {t1}::DOUBLE)")
+            done += area
+        cases.append(f"WHEN {slot} THEN CASE {' '.join(parts)} ELSE 1.0::DOUBLE END")
+    return f"CASE slot {' '.join(cases)} END"
 
 
 SQL["op8_source_mixing"] = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
   FROM documents
 ), s AS (
-  SELECT source, CAST(sum(size) AS DOUBLE) AS n,
+  SELECT source, CAST(sum(size) AS DOUBLE) AS n, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS slot,
          CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w
   FROM d GROUP BY source
 ), r AS (
@@ -79,17 +97,22 @@ WITH d AS (
            / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
   FROM s WINDOW o AS (ORDER BY 2.0::DOUBLE * n / w, source ASC NULLS LAST)
 ), t AS (
-  SELECT source, n, CASE WHEN level IS NULL THEN 2.0::DOUBLE * n ELSE least(2.0::DOUBLE * n, level * w) END AS target
+  SELECT source, slot, n, CASE WHEN level IS NULL THEN 2.0::DOUBLE * n ELSE least(2.0::DOUBLE * n, level * w) END AS target
   FROM (SELECT *, (SELECT min_by(rate, k) FROM r WHERE rate * w <= 2.0::DOUBLE * n) AS level FROM r)
 ), p AS (
-  SELECT d.doc_id, d.size, CAST(t.n AS BIGINT) AS source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS demand,
+  SELECT d.doc_id, d.size, t.slot, CAST(t.n AS BIGINT) AS source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS demand,
          CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS begins
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(least(size, demand - begins), 0) + greatest(least(size, demand - begins - source_size), 0) AS BIGINT) AS taken
-FROM p
-"""
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(one + two AS BIGINT) AS taken,
+       round(CASE WHEN one > 0 THEN first ELSE CASE WHEN two > 0 THEN second END END, 9) AS first_position,
+       round(CASE WHEN two > 0 THEN second ELSE CASE WHEN one > 0 THEN first END END, 9) AS last_position
+FROM (
+  SELECT *, greatest(least(size, demand - begins), 0) AS one, greatest(least(size, demand - begins - source_size), 0) AS two,
+         @FIRST AS first, @SECOND AS second
+  FROM p
+)
+""".replace("@FIRST", _inverse_sql("(CAST(begins AS DOUBLE) / nullif(target, 0))")).replace("@SECOND", _inverse_sql("(CAST(begins + source_size AS DOUBLE) / nullif(target, 0))"))
 
 
 # ---- 4: MinHash near-dedup ----

@@ -104,3 +104,29 @@ def test_copied_parts_of_items_are_found_with_their_range(spark):
             assert at - 2 <= begin <= at + dc.PASSAGE // 2 and at + n - dc.PASSAGE // 2 <= end <= at + n + 2 and edits <= 2
     assert next(g for g in got if g[0] == 101) == (101, 0, 2, 2 + len(question), 0)
     assert sorted(r.doc_id for r in dc.drop_leaked(docs, bench).collect()) == [100, 102]
+
+
+def test_a_phrase_that_all_items_share_needs_little_memory(monkeypatch):
+    import random
+    import tracemalloc
+
+    from annoscope.llm import decontaminate as D
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 9))) for _ in range(3000)]
+    phrase = "Which of the following statements is correct? "
+    items = [(i, (phrase + " ".join(rnd.choice(words) for _ in range(60)))[:400]) for i in range(2500)]
+    ix = D.index(items)
+    filler = [" ".join(rnd.choice(words) for _ in range(12)) for _ in range(60)]
+    text = " ".join(f"{phrase}{f}" for f in filler[:30]) + " " + items[77][1] + " " + " ".join(f"{phrase}{f}" for f in filler[30:])
+    table = pa.table({"text": [text, items[5][1]]})
+    tracemalloc.start()
+    got = list(D._search(ix, table))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(row, ix.ids[item]) for row, item, *_ in got} == {(0, 77), (1, 5)} and peak < 250 << 20
+    monkeypatch.setattr(D, "_POSTINGS", 1000)
+    small = D.index(items[:60] + [items[77]])
+    parts = list(D._search(small, table))
+    monkeypatch.setattr(D, "_POSTINGS", 1 << 40)
+    assert parts == list(D._search(small, table)) and parts

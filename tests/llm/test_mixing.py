@@ -43,7 +43,7 @@ def test_targets_offsets_and_positions(spark, rows):
         assert abs(sum(r["take"] for r in mine) - want[i]) <= 0.5001
         placed = sorted((r["copy"], r["offset"], r["position"]) for r in mine if r["take"])
         assert [p for _, _, p in placed] == sorted(p for _, _, p in placed)
-        order = sorted((hashlib.md5(str("" if d is None else d).encode()).hexdigest(), d is not None, d or 0, len(WORD.findall(t or "")))
+        order = sorted((hashlib.md5(f"{'' if d is None else d} {hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), d is not None, d or 0, len(WORD.findall(t or "")))
                        for d, t, x in rows if x == s)
         at, offsets = 0, []
         for *_, n in order:

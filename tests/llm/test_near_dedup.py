@@ -3,7 +3,8 @@ import random
 import re
 from collections import Counter
 
-from annoscope.llm.near_dedup import IDF_STRENGTH, components, near_duplicates
+from annoscope.llm import _exchange as ex
+from annoscope.llm.near_dedup import IDF_STRENGTH, components, keep_one, near_duplicates
 
 
 def brute(rows, similarity=0.8):
@@ -72,3 +73,24 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(2, 61)}, 95: 90, 100: 90}
+
+
+def test_rows_are_compared_not_ids(spark):
+    t, u = "one two three four five six seven", "an altogether different text with eight words"
+    rows = [(0, t, 1), (1, t, 2), (1, u, 3), (None, t, 4), (None, u + "!", 5), (None, "words of nobody else here at all", 6), (None, None, 7), (None, None, 8), (2, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int").repartition(3)
+    left = sorted(((r.doc_id, r.text, r.digest) for r in keep_one(docs).collect()), key=str)
+    assert left == sorted([rows[0], rows[2], *rows[5:]], key=str)
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 2, None: None}
+    nobody = spark.createDataFrame([(None, t, 1), (None, t, 1), (None, t + ".", 2), (3, u, 1), (3, u, 1), (3, u, 1)], "doc_id long, text string, n int")
+    got = [tuple(r) for r in keep_one(nobody).collect()]
+    assert len(got) == 2 and (3, u, 1) in got
+    assert keep_one(docs.limit(0)).collect() == []
+
+
+def test_rows_without_an_id_spread_over_all_blocks(spark):
+    rows = [(i if i % 3 else None, f"text {i} " + "word " * 40) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lay = ex.Layout(blocks=20, parts=4, tasks=4, rows=len(rows))
+    sizes = [r["count"] for r in ex.dealt(docs, lay).groupBy(ex.CHUNK).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2 * len(rows) / 20
