@@ -4,12 +4,13 @@
 read back as the next one's docs. All but the last return the columns of ``docs``, less the rows they reject:
 
 1. quality: documents that the classifier rejects go.
-2. near_dedup: the smallest id of each near-duplicate class stays. Rows with a null id are never compared and stay;
-   rows that repeat an id stay or go together.
+2. near_dedup: one row of each near-duplicate class stays, that with the smallest id. Rows are compared, not ids: no row goes
+   because another one carries its id, and copies without an id go like all others.
 3. decontaminate: documents that hold a benchmark item go.
 4. pii: personal data and secrets become surrogates; no row goes.
 5. mix: the documents in training order, range-sorted by position, with ``mix_copy``, ``mix_take`` (words to train on
-   from this copy) and ``mix_position``; a document may come twice, be cut or be left out.
+   from this copy) and ``mix_position``; a document may come twice, be cut or be left out. Columns of these names
+   that the documents already have are replaced.
 
 The run cannot be expressed in SQL (a fitted classifier, sampled signatures), so ``ORACLE_SQL`` is None and
 the stages are tested against brute force.
@@ -45,12 +46,15 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(docs, PII_KEY)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = mixing.curriculum(docs, keep=docs.columns).where("take > 0")
     names = {"copy": "mix_copy", "take": "mix_take", "position": "mix_position"}
+    docs = docs.drop(*names.values())
+    placed = mixing.curriculum(docs, keep=docs.columns).where("take > 0")
     return placed.select("kept.*", *[F.col(a).alias(b) for a, b in names.items()])
 
 
