@@ -79,8 +79,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(token, n)``: corpus frequency of every distinct token. One aggregation combined map-side
-    (far fewer rows than ``(id, token)`` pairs); every vocabulary-level fixture derives from it, so
-    within a query Spark reuses its exchange."""
+    (far fewer rows than ``(id, token)`` pairs), written once; a query passes it to all fixtures that derive from it."""
     from annoscope.plans.sizing import shared
     # read by the vector lookup, the seed lists and the probability lexicon under different filters
     return shared(tokens(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
@@ -101,21 +100,24 @@ def lexicon_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.select("word", *cols)
 
 
-def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token -> 64-d vector of ``embeddings`` row ``floor(u01(token) * number of rows)``; 30 % OOV."""
+def word_vectors(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    """token -> 64-d vector of ``embeddings`` row ``floor(u01(token) * number of rows)``; 30 % OOV. ``words`` is the
+    query's ``vocabulary``, if it has one already."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     size = emb.agg((F.max("vec_id") + 1).alias("_n"))  # one row
-    vocab = vocabulary(spark, sf_dir).select("token").where(u01("token", F.lit("oov")) >= 0.3)
+    words = vocabulary(spark, sf_dir) if words is None else words
+    vocab = words.select("token").where(u01("token", F.lit("oov")) >= 0.3)
     vocab = vocab.crossJoin(F.broadcast(size)).select("token", F.floor(u01("token") * F.col("_n")).cast("long").alias("vec_id"))
     return vocab.join(emb, "vec_id", "inner").select("token", "vec")
 
 
-def seed_lists(spark: SparkSession, sf_dir: str, per_category: int = 8) -> DataFrame:
+def seed_lists(spark: SparkSession, sf_dir: str, per_category: int = 8, words: DataFrame | None = None) -> DataFrame:
     """Top ``per_category`` most frequent in-vocabulary word tokens per category (category by u01)."""
     from pyspark.sql import Window
 
-    freq = vocabulary(spark, sf_dir).where(F.col("token").rlike(r"^\p{L}+$"))
-    vocab = word_vectors(spark, sf_dir).select("token")
+    words = vocabulary(spark, sf_dir) if words is None else words
+    freq = words.where(F.col("token").rlike(r"^\p{L}+$"))
+    vocab = word_vectors(spark, sf_dir, words).select("token")
     freq = freq.join(vocab, "token", "left_semi")
     cat = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]),
                        (F.floor(u01("token", F.lit("seed")) * len(CATEGORIES)) + 1).cast("int"))
