@@ -58,6 +58,7 @@ def test_each_stage_does_its_work_on_what_is_left(spark, folder):
     with_id = [(r["doc_id"], r["text"]) for r in at["quality"] if r["doc_id"] is not None]
     root = near_classes(sorted(set(with_id), key=str))
     left = [r for r in at["quality"] if r["doc_id"] is None or root[r["doc_id"]] == r["doc_id"]]
+    left = [r for i, r in enumerate(left) if not i or r != left[i - 1]]  # of equal rows one stays
     assert at["near_dedup"] == left and len(left) < len(at["quality"])
     assert at["decontaminate"] == [r for r in left if not any(b in (r["text"] or "") for b in bench.values())] and len(at["decontaminate"]) < len(left)
     mail = re.compile(r"mail\.\d@host\.example\.com")
