@@ -99,9 +99,11 @@ def auc_roc(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s: str
     """Trapezoid ROC AUC without vertices: Σ_s neg_s · (tps_s − pos_s/2) / (P·N), scores descending.
     Equal to the rank-sum (Mann–Whitney) AUC with average ranks for ties."""
     g = list(group_cols)
-    rc = ranked_counts(df, g, y, s).where((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-    term = F.col("neg") * (F.col("tps") - F.col("pos") / 2.0)
-    return rc.groupBy(*g).agg((F.sum(term) / (F.first("n_pos") * F.first("n_neg"))).alias(name))
+    # one consumer: the running counts are summed as they come, and the group's totals in the same aggregation
+    cum = running_totals(score_counts(df, g, y, s), g, "score", ["pos", "neg"], descending=True)
+    term = F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)
+    sums = cum.groupBy(*g).agg(F.sum(term).alias("_a"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).where((F.col("_p") > 0) & (F.col("_n") > 0))
+    return sums.select(*g, (F.col("_a") / (F.col("_p") * F.col("_n"))).alias(name))
 
 
 def auc_pr(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", s: str = "y_score", name: str = "auc_pr") -> DataFrame:
@@ -234,3 +236,10 @@ def reliability(df: DataFrame, group_cols: Sequence[str], y: str = "y_true", p:
         F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("frac_pos"), F.avg(p).alias("mean_pred"))
     mse = bins.groupBy(*g).agg(F.avg(F.pow(F.col("frac_pos") - F.col("mean_pred"), 2)).alias("mse"))
     return bins.join(mse, on=g, how="inner") if g else bins.crossJoin(mse)
+
+
+def metric_matrix(metrics: DataFrame, row: str, column: str, value: str, digits: int = 2) -> DataFrame:
+    """A table of one row per ``row`` and one rounded column per distinct ``column`` (its values, such as corpora or
+    methods, become column names and are read to the driver; NULL where a pair has no value)."""
+    names = [r[0] for r in metrics.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    return metrics.groupBy(row).pivot(column, names).agg(F.round(F.first(value), digits))

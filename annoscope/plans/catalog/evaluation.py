@@ -155,6 +155,14 @@ def eval_auc_grid(spark, sf):
     return rounded(auc.select("category", "corpus", F.round("auc", 2).alias("auc")))
 
 
+@register("eval_auc_matrix", "evaluation", sql="SELECT * FROM (PIVOT (" + W + ", " + S.ranked_ctes("scored_folds", G2) + """,
+auc AS (SELECT category, corpus, sum(neg * (tps - pos / 2.0)) / (max(n_pos) * max(n_neg)) AS auc FROM rc WHERE n_pos > 0 AND n_neg > 0 GROUP BY ALL)
+SELECT category, corpus, round(auc, 2) AS auc FROM auc) ON corpus USING first(auc) GROUP BY category)""")
+def eval_auc_matrix(spark, sf):
+    """Categories x corpora as a wide table."""
+    return C.metric_matrix(C.auc_roc(fx.scored_folds(spark, sf), G2), "category", "corpus", "auc")
+
+
 # ---------------------------------------------------------------- F1 at percentile levels
 
 @register("eval_f1_levels", "evaluation", sql=W + f""", lv AS (SELECT UNNEST([{', '.join(map(str, F1_LEVELS))}]) AS level),

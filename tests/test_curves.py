@@ -93,3 +93,12 @@ def test_reliability_bins_numpy_edges(spark):
     got = sorted(r.bin for r in df.select(C.calibration_bin("y_score", 10).alias("bin")).collect())
     edges = np.linspace(0, 1, 11)
     assert got == sorted(np.searchsorted(edges[1:-1], p).tolist())
+
+
+def test_metric_matrix_is_wide_rounded_and_keeps_missing_pairs(spark):
+    from annoscope.operators.curves import metric_matrix
+
+    rows = [("care", "en", 0.123456), ("care", "de", 0.5), ("loyalty", "en", 0.987), ("loyalty", None, 0.1)]
+    out = metric_matrix(spark.createDataFrame(rows, "category string, corpus string, auc double"), "category", "corpus", "auc")
+    assert out.columns == ["category", "de", "en"]
+    assert {r["category"]: (r["de"], r["en"]) for r in out.collect()} == {"care": (0.5, 0.12), "loyalty": (None, 0.99)}
