@@ -179,7 +179,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _url_sql() -> str:
-    from annoscope.llm.url_filter import ALPHABET, CUTS, ORDERS, RANGE, RULES, SYMBOLS, TABLE, WEIGHT
+    from annoscope.llm.url_filter import ALPHABET, BEFORE, CUTS, ORDERS, OTHER, RANGE, RULES, SYMBOLS, UNIT, WEIGHT
 
     parts = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
     upper, lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -191,21 +191,18 @@ def _url_sql() -> str:
     longest = sorted(RULES, key=lambda r: (-len(r[0]), r[0]))
     rule = " ".join(f"WHEN {fits(n)} THEN '{n}'" for n, _ in longest)
     verdict = " ".join(f"WHEN '{n}' THEN '{v}'" for n, v in RULES)
-    code = lambda k: (f"CASE WHEN i <= {k} THEN 0 WHEN strpos('{ALPHABET}', substr(t, i - {k}, 1)) > 0 "
-                      f"THEN strpos('{ALPHABET}', substr(t, i - {k}, 1)) ELSE {SYMBOLS - 1} END")
-    cells = []
-    for o in range(ORDERS):
-        context = " + ".join(["0"] + [f"c{k} * {SYMBOLS ** (k - 1)}" for k in range(1, o + 1)])
-        cells.append(f"(((c0 + ({context}) * {SYMBOLS}) * 10 + {o}) * 7919) % {TABLE} AS g{o}")
-        cells.append(f"((({context}) * 10 + {5 + o}) * 7919) % {TABLE} AS x{o}")
-
-    def chance(table: str) -> str:
-        p = f"(1.0::DOUBLE / {SYMBOLS})"
-        for o in range(ORDERS):
-            p = f"(({table}[g{o} + 1] + {WEIGHT}::DOUBLE * {p}) / ({table}[x{o} + 1] + {WEIGHT}::DOUBLE))"
-        return p
-
-    names = ", ".join(f"g{o}, x{o}" for o in range(ORDERS))
+    code = lambda k: (f"CASE WHEN i <= {k} THEN {BEFORE} WHEN strpos('{ALPHABET}', substr(t, i - {k}, 1)) > 0 "
+                      f"THEN strpos('{ALPHABET}', substr(t, i - {k}, 1)) - 1 ELSE {OTHER} END")
+    run = " + ".join(f"({code(o)}) * {SYMBOLS ** o}::BIGINT" for o in range(ORDERS))
+    models = []
+    for o in range(1, ORDERS + 1):
+        models.append(f"n{o} AS MATERIALIZED (SELECT run % {SYMBOLS ** o} AS run, sum(a) AS a, sum(b) AS b FROM n GROUP BY 1)")
+        models.append(f"x{o} AS (SELECT run // {SYMBOLS} AS context, sum(a) AS a, sum(b) AS b FROM n{o} GROUP BY 1)")
+        less = f"JOIN p{o - 1} l ON l.run = n.run % {SYMBOLS ** (o - 1)}" if o > 1 else ""
+        p = lambda c: f"l.{c}" if o > 1 else f"1.0::DOUBLE / {SYMBOLS}"
+        chance = lambda c: f"(n.{c}::DOUBLE + {WEIGHT}::DOUBLE * ({p('p' + c)})) / (x.{c}::DOUBLE + {WEIGHT}::DOUBLE) AS p{c}"
+        models.append(f"p{o} AS MATERIALIZED (SELECT n.run, {chance('a')}, {chance('b')} FROM n{o} n JOIN x{o} x ON x.context = n.run // {SYMBOLS} {less})")
+    models = ", ".join(models)
     return f"""
 WITH p AS (
   SELECT row_number() OVER () AS r, page_id, translate(coalesce(url, ''), {upper}, {lower}) AS t,
@@ -216,18 +213,13 @@ WITH p AS (
   SELECT *, CASE {rule} END AS rule FROM p
 ), v AS (
   SELECT *, CASE rule {verdict} END AS told FROM d
-), s AS (
-  SELECT r, {", ".join(f"{code(k)} AS c{k}" for k in range(ORDERS))} FROM (SELECT r, t, unnest(range(1, length(t) + 1)) AS i FROM v)
 ), e AS MATERIALIZED (
-  SELECT r, {", ".join(cells)} FROM s
-), n AS (
-  SELECT told, cell, count(*) AS n FROM (SELECT r, unnest([{names}]) AS cell FROM e) JOIN v USING (r) WHERE told IS NOT NULL AND NOT apart GROUP BY ALL
-), m AS MATERIALIZED (
-  SELECT list(coalesce(a.n, 0)::DOUBLE ORDER BY k.cell) AS a, list(coalesce(b.n, 0)::DOUBLE ORDER BY k.cell) AS b
-  FROM (SELECT unnest(range(0, {TABLE})) AS cell) k
-  LEFT JOIN (SELECT * FROM n WHERE told = 'allow') a ON a.cell = k.cell LEFT JOIN (SELECT * FROM n WHERE told = 'block') b ON b.cell = k.cell
-), q AS (
-  SELECT r, sum(ln({chance("m.a")}) - ln({chance("m.b")})) / count(*) AS score FROM e, m GROUP BY r
+  SELECT r, {run} AS run FROM (SELECT r, t, unnest(range(1, length(t) + 1)) AS i FROM v)
+), n AS MATERIALIZED (
+  SELECT run, count(*) FILTER (told = 'allow' AND NOT apart) AS a, count(*) FILTER (told = 'block' AND NOT apart) AS b FROM e JOIN v USING (r) GROUP BY run
+), {models}, q AS (
+  SELECT r, sum(CAST(floor((ln(pa) - ln(pb)) / {UNIT}::DOUBLE + 0.5::DOUBLE) AS BIGINT))::DOUBLE * {UNIT}::DOUBLE / count(*) AS score
+  FROM e JOIN p{ORDERS} USING (run) GROUP BY r
 ), w AS MATERIALIZED (
   SELECT v.*, coalesce(q.score, 0.0) AS score FROM v LEFT JOIN q USING (r)
 ), h AS (

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from annoscope.llm import url_filter as uf
 
 
@@ -24,13 +26,9 @@ def brute(rows):
     """Rules and models recomputed in plain Python, with counts by dictionaries."""
     def cells(url):
         text = "".join(c.lower() if "A" <= c <= "Z" else c for c in url or "")
-        codes = [0] * (uf.ORDERS - 1) + [uf.ALPHABET.find(c) + 1 or uf.SYMBOLS - 1 for c in text]
-        for i in range(uf.ORDERS - 1, len(codes)):
-            out = []
-            for o in range(uf.ORDERS):
-                context = sum(codes[i - k] * uf.SYMBOLS ** (k - 1) for k in range(1, o + 1))
-                out.append((((codes[i] + context * uf.SYMBOLS) * 10 + o) * 7919 % uf.TABLE, (context * 10 + 5 + o) * 7919 % uf.TABLE))
-            yield out
+        known = ["^"] * (uf.ORDERS - 1) + [c if c in uf.ALPHABET else "other" for c in text]
+        for i in range(uf.ORDERS - 1, len(known)):
+            yield [(tuple(known[i - o:i + 1]), ("context", *known[i - o:i])) for o in range(uf.ORDERS)]
 
     said = dict(uf.RULES)
     judged = [(i, u, *parts(u), rule_of(*parts(u))) for i, u in rows]
@@ -41,15 +39,17 @@ def brute(rows):
             tables[said[r]].update(x for e in cells(u) for pair in e for x in pair)
 
     def score(u):
-        total, n = 0.0, 0
+        total, n = 0, 0
         for e in cells(u):
             n += 1
+            ratio = 0.0
             for name, sign in (("allow", 1), ("block", -1)):
                 p = 1 / uf.SYMBOLS
                 for g, x in e:
                     p = (tables[name][g] + uf.WEIGHT * p) / (tables[name][x] + uf.WEIGHT)
-                total += sign * math.log(p)
-        return total / n if n else 0.0
+                ratio += sign * math.log(p)
+            total += math.floor(ratio / uf.UNIT + 0.5)
+        return total * uf.UNIT / n if n else 0.0
 
     step = 2 * uf.RANGE / uf.CUTS
     held = [(min(max(math.floor((score(u) + uf.RANGE) / step), 0), uf.CUTS - 1), said[r]) for i, u, _, _, r in judged if r and apart(i)]
@@ -81,3 +81,29 @@ def test_empty_table_and_no_training_rows(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
     got = uf.judge(spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")).collect()
     assert [(r.rule, r.verdict, r.score) for r in got] == [(None, "allow", 0.0)]
+
+
+def test_probabilities_after_a_context_add_up_to_one_at_most(spark):
+    rnd = random.Random(2)
+    some = ["".join(rnd.choice("abcdefgh/.") for _ in range(60)) for _ in range(4000)]  # about 200,000 positions, most runs distinct
+    rows = spark.createDataFrame([(u, i % 3 == 0 if i % 5 else None) for i, u in enumerate(some)], "url string, trains boolean")
+    counts = uf.count_runs(rows.select(F.explode(uf.runs(F.col("url"))).alias("run"), "trains")).cache()
+    assert counts.count() > 80_000
+    for order in range(1, uf.ORDERS + 1):
+        p = uf.probabilities(counts, order)
+        worst = p.groupBy(F.floor(F.col("run") / uf.SYMBOLS).alias("c")).agg(F.sum("p_accepted").alias("a"), F.sum("p_rejected").alias("b"))
+        top = worst.agg(F.max("a"), F.max("b")).first()
+        assert max(top) <= 1 + 1e-9
+        assert p.where("p_accepted <= 0 or p_rejected <= 0").isEmpty()
+
+
+def test_few_broadcast_runs_change_no_score(spark):
+    rnd = random.Random(3)
+    urls = ["http://" + "".join(rnd.choice("abcd./") for _ in range(30)) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "row long, url string").select("row", uf.runs(F.col("url")).alias("runs")).cache()
+    counts = uf.count_runs(rows.select(F.explode("runs").alias("run"), F.when(F.col("row") % 3 < 2, F.col("row") % 3 == 0).alias("trains")))
+    table = uf.ratios(counts).cache()
+    whole = sorted(map(tuple, uf.score(rows, table).collect()))
+    assert len(whole) == 400 and len({s for _, s in whole}) > 300
+    for most in (0, 10, 700):
+        assert sorted(map(tuple, uf.score(rows, table, most).collect())) == whole
