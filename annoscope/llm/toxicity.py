@@ -1,23 +1,26 @@
 """Toxic spans by a linear-chain conditional random field (CRF).
 
 Token labels come from document labels: a word, or a beginning of words (3 to 10 characters), is an evidence type if the
-lower confidence bound of the share of toxic documents among its documents is at least ``EVIDENCE``; in toxic
+lower confidence bound of the share of toxic documents among its documents is at least ``EVIDENCE``, and documents drawn at the
+sample's own share of toxic ones would show so many toxic ones with a chance of at most ``CHANCE``; there is no limit on frequency. In toxic
 documents the words with such a type are labelled 1, all others 0. The CRF has two states per word. Its state weights
-are the word's strongest type, types of the neighbours, digits and length; transitions are free. It is fitted by gradient
-ascent on forward-backward expectations. For scoring, forward and backward messages of a two-state chain are
-ratios that each word maps by a 2 x 2 matrix; matrices are multiplied in blocks of words, so all texts
+are the word's strongest type, types of the neighbours, digits and length; transitions are free. It is fitted by L-BFGS: a step
+is one Spark pass over the written words, whose tasks add up forward-backward expectations. For scoring, forward and backward
+messages of a two-state chain are ratios that each word maps by a 2 x 2 matrix; matrices are multiplied in blocks of words, so all texts
 of a batch advance together and a very long text takes no longer than its words.
 
 A document's score is a logistic function of its three largest marginals, the expected number and share of toxic words
 and its length, fitted and calibrated (isotonic regression) on a quarter of the sample that the tagger did not see. Offending spans are the runs of words with a marginal of 0.5 or more.
 
 Labels are the only outside input: doc_id, lang and source never enter a score. The model is fitted on at most
-``SAMPLE`` labelled documents (those with the smallest hash of the id), the CRF's weights on at most ``CRF_DOCS`` of these and
-``CRF_WORDS`` words; all documents are scored, on their whole texts.
+``SAMPLE`` labelled documents (those with the smallest hashes); types are counted in all of them that are not set aside, the CRF sees
+the whole texts of all toxic ones of these and of about as many others. The types are broadcast, 16 bytes each, at most ``TYPES`` of
+them, the strongest; all documents are scored, on their whole texts.
 
 Defined cases: null and empty texts have no words and get the score of a text without evidence; null labels are not used; of
-repeated labels of an id the largest counts; rows that repeat an id are scored each for itself; without labels
-the score is 0, with one class it is that class's smoothed share; a null id is hashed as an empty string.
+repeated labels of an id the largest counts; rows that repeat an id are scored each for itself, and are documents of their own in the
+sample unless the text is the same too; without labels the score is 0, with one class it is that class's smoothed share; a null
+id is hashed as an empty string.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from annoscope.llm import _exchange as ex
 from annoscope.llm import _text as tx
 from annoscope.session import written as saved
 from annoscope.llm.near_dedup import GAP
 from annoscope.llm.quality import _isotonic, fold
+from annoscope.operators import sparse as sp
+from annoscope.operators.train import Model as Search
 
-EVIDENCE, CONFIDENCE, TYPES = 0.3, 2.0, 4096
-SAMPLE, CRF_DOCS, CRF_WORDS, STEPS = 20_000, 1_000, 150_000, 150
+EVIDENCE, CONFIDENCE, CHANCE, TYPES = 0.3, 2.0, 1e-4, 1 << 20
+SAMPLE, STEPS, RIDGE = 20_000, 100, 0.05  # a weak ridge: a type of four documents must outweigh the bias
 PREFIXES = range(3, 11)
 GRID, LOW, HIGH = 400, -10.0, 10.0  # of the linear score
 _BLOCK = 64
@@ -204,33 +208,67 @@ def marginals(chain: Chain, kind: np.ndarray, extra: np.ndarray, first: np.ndarr
     return r * s / (1 + r * s)
 
 
-def fit_chain(kind: np.ndarray, extra: np.ndarray, first: np.ndarray, label: np.ndarray, types: int, steps: int = STEPS,
-              ridge: float = 1e-3, rate: float = 0.15) -> Chain:
-    """Maximum of the conditional log-likelihood (with ridge) by Adam over the whole sample."""
-    x = np.concatenate([np.ones((len(kind), 1)), extra], axis=1)
-    w = np.zeros(types + x.shape[1] + 3)
-    w[types] = -2.0
+def _chain_of(w: np.ndarray, types: int) -> Chain:
+    """From weights in the order bias, types, the rest, transitions."""
+    return Chain(w[1:types + 1], np.concatenate([w[:1], w[types + 1:-3]]), np.clip(w[-3:], -30, 30))
+
+
+def add_loss(total: np.ndarray, w: np.ndarray, types: int, kind: np.ndarray, extra: np.ndarray, first: np.ndarray, label: np.ndarray) -> None:
+    """Add the gradient of minus the conditional log-likelihood of these chains, then its value, then the number of words."""
     begins = np.zeros(len(kind), dtype=bool)
     begins[first[:-1][np.diff(first) > 0]] = True
-    inner = np.flatnonzero(~begins)
+    inner, last = np.flatnonzero(~begins), first[1:][np.diff(first) > 0] - 1
+    chain = _chain_of(w, types)
+    emission = np.clip(chain.emissions(kind, extra), -30, 30)
+    b, (k01, k10, k11) = np.exp(emission), np.exp(chain.moves)
+    r, s = messages(b, first, k01, k10, k11)
+    p = r * s / (1 + r * s)
+    before, bs = r[inner - 1], b[inner] * s[inner]
+    pairs = np.stack([k01 * bs, before * k10, before * k11 * bs])
+    expected = (pairs / (1 + pairs.sum(axis=0))).sum(axis=1)
     seen = np.array([np.sum((label[inner - 1] == i) & (label[inner] == j)) for i, j in ((0, 1), (1, 0), (1, 1))], float)
-    target = np.concatenate([np.bincount(kind, label, types + 1)[1:], x.T @ label, seen])
-    first_moment, second_moment = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        chain = Chain(w[:types], w[types:-3], w[-3:])
-        b = np.exp(np.clip(chain.emissions(kind, extra), -30, 30))
-        k01, k10, k11 = np.exp(chain.moves)
-        r, s = messages(b, first, k01, k10, k11)
-        p = r * s / (1 + r * s)
-        before, bs = r[inner - 1], b[inner] * s[inner]
-        pairs = np.stack([k01 * bs, before * k10, before * k11 * bs])
-        moves = (pairs / (1 + pairs.sum(axis=0))).sum(axis=1)
-        gradient = (target - np.concatenate([np.bincount(kind, p, types + 1)[1:], x.T @ p, moves])) / max(len(kind), 1) * 100 - ridge * w
-        first_moment = 0.9 * first_moment + 0.1 * gradient
-        second_moment = 0.99 * second_moment + 0.01 * gradient**2
-        w = w + rate * (first_moment / (1 - 0.9**step)) / (np.sqrt(second_moment / (1 - 0.99**step)) + 1e-9)
-        w[-3:] = np.clip(w[-3:], -8, 8)
-    return Chain(w[:types], w[types:-3], w[-3:])
+    d = p - label
+    total[0] += d.sum()
+    total[1:types + 1] += np.bincount(kind, d, types + 1)[1:]
+    total[types + 1:-5] += extra.T @ d
+    total[-5:-2] += expected - seen
+    # the sum over all labellings, from the ratios: state 0 of a word gathers 1 + k10 r, a chain's end 1 + r
+    total[-2] += np.log1p(k10 * before).sum() + np.log1p(r[last]).sum() - label @ emission - seen @ chain.moves
+    total[-1] += len(kind)
+
+
+def _squares(total: np.ndarray, types: int, kind: np.ndarray, extra: np.ndarray, first: np.ndarray) -> None:
+    """Add the squares of the features, and the number of words last: the scale of the first step."""
+    total[0] += len(kind)
+    total[1:types + 1] += np.bincount(kind, minlength=types + 1)[1:]
+    total[types + 1:-5] += extra.sum(axis=0)
+    total[-5:-2] += len(kind) - np.count_nonzero(np.diff(first))
+    total[-1] += len(kind)
+
+
+def _descend(evaluate, squares: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    """The weights of least loss plus ridge; ``evaluate`` gives the sums of ``add_loss`` at a point."""
+    search = sp._Search(Search(0, 1 / ridge, 0), len(squares), 1e-7, squares)
+    search.ridge[:] = ridge
+    search.model.weights = np.zeros(len(squares))
+    for _ in range(steps):
+        got = evaluate(search.trial)
+        if not search.tell(got[-2], got[:-2], got[-1]):
+            break
+    return search.model.weights
+
+
+def fit_chain(kind: np.ndarray, extra: np.ndarray, first: np.ndarray, label: np.ndarray, types: int, steps: int = STEPS, ridge: float = 1e-3) -> Chain:
+    """Maximum of the conditional log-likelihood, 100 times its mean per word, with ridge, for chains in memory."""
+    width = types + extra.shape[1] + 6
+
+    def sums(add, *args) -> np.ndarray:
+        total = np.zeros(width)
+        add(total, *args)
+        return total
+
+    w = _descend(lambda point: sums(add_loss, point, types, kind, extra, first, label), sums(_squares, types, kind, extra, first)[:-2], ridge * len(kind) / 100, steps)
+    return _chain_of(w, types)
 
 
 # ---- the model ----
@@ -291,39 +329,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def _type_counts(lexicon: Lexicon | None):
-    """(type, documents) of each batch's texts; with a lexicon, of its types only."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tx.slices(batch):
-                words = Words.of(part.column("text"))
-                doc, found = tx.doc_of(words.first).astype(np.uint64), []
-                for hashes in words.types():
-                    at = lexicon.where(hashes)[0] if lexicon else np.flatnonzero(hashes)
-                    # equal types of a document are next to each other: the low bits of a hash make room for the text's number
-                    found.append(np.unique(hashes[at] & ~np.uint64(0xFFFFF) | doc[at]))
-                if found:
-                    types, n = np.unique(np.concatenate(found) & ~np.uint64(0xFFFFF), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(types.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["type", "n"])
-    return run
-
-
-def _evidence(rows: DataFrame) -> Lexicon:
-    """The evidence types of labelled rows (text, y); at most ``TYPES``, those with the strongest evidence."""
-    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = rows.where("y = 1").select("text"), rows.where("y = 0").select("text")
-    least = max(4, int(0.005 * size.get(1, 0)))
-    counted = toxic.mapInArrow(_type_counts(None), "type long, n long").groupBy("type").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    first = counted.orderBy(F.col("a").desc(), "type").limit(64 * TYPES).collect()
-    keys, a = np.array([r["type"] for r in first], np.int64).view(np.uint64), np.array([r["a"] for r in first], float)
-    masked = _Masked.of(keys, a)
-    b = {r["type"]: r["b"] for r in clean.mapInArrow(_type_counts(masked), "type long, n long").groupBy("type").agg(F.sum("n").alias("b")).collect()}
-    n = a + np.array([b.get(int(k), 0) for k in keys.view(np.int64)], float)
-    z, p = CONFIDENCE, a / np.maximum(n, 1)
-    bound = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) if len(n) else n
-    good = np.flatnonzero(bound >= EVIDENCE)
-    good = good[np.lexsort((keys[good], -bound[good]))][:TYPES]
-    return _Masked.of(keys[good], bound[good])
+def _type_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(type, documents, toxic documents) of each batch's texts."""
+    for batch in batches:
+        for part in tx.slices(batch):
+            words = Words.of(part.column("text"))
+            toxic = np.array(part.column("y").to_pylist(), float)
+            doc, found = tx.doc_of(words.first).astype(np.uint64), []
+            for hashes in words.types():
+                at = np.flatnonzero(hashes)
+                # equal types of a document are next to each other: the low bits of a hash make room for the text's number
+                found.append(np.unique(hashes[at] & ~np.uint64(0xFFFFF) | doc[at]))
+            if found:
+                pair = np.concatenate(found)
+                types, at = np.unique(pair & ~np.uint64(0xFFFFF), return_inverse=True)
+                bad = np.bincount(at, toxic[(pair & np.uint64(0xFFFFF)).astype(np.int64)], len(types))
+                yield pa.RecordBatch.from_arrays([pa.array(types.view(np.int64), pa.int64()), pa.array(np.bincount(at), pa.int64()),
+                                                  pa.array(bad.astype(np.int64), pa.int64())], ["type", "n", "a"])
+
+
+def _evidence(rows: DataFrame, share: float) -> Lexicon:
+    """The evidence types of labelled rows (text, y), of which ``share`` are toxic."""
+    counted = rows.select("text", "y").mapInArrow(_type_counts, "type long, n long, a long").groupBy("type").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    n, p, z = F.col("n"), F.col("a") / F.col("n"), F.lit(CONFIDENCE)
+    bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    clean = F.when(p < 1, (1 - p) * F.log((1 - p) / F.lit(1 - share))).otherwise(0.0)
+    surprise = F.when((p > share), n * (p * F.log(p / F.lit(share)) + clean)).otherwise(0.0)  # Chernoff's bound on the chance of so many
+    good = counted.withColumn("bound", bound).where((F.col("bound") >= EVIDENCE) & (surprise >= F.lit(-float(np.log(CHANCE)))))
+    got = good.orderBy(F.col("bound").desc(), "type").limit(TYPES).select("type", "bound").toArrow()
+    return _Masked.of(got.column("type").to_numpy().view(np.uint64), got.column("bound").to_numpy())
 
 
 class _Masked(Lexicon):
@@ -338,42 +372,70 @@ class _Masked(Lexicon):
         return super().where(hashes & ~np.uint64(0xFFFFF))
 
 
-def _learn(lexicon: Lexicon, table: pa.Table) -> pa.Table:
-    """Fit the chain on the sample's texts, in the order of their hashes, up to ``CRF_WORDS`` words."""
-    table = table.sort_by("h")
-    kinds, extras, labels, first = [], [], [], [0]
-    for part in tx.slices(table):
-        words = Words.of(part.column("text"))
-        kind = lexicon.strongest(words)
-        y = np.array(part.column("y").to_pylist(), float)
-        kinds.append(kind)
-        extras.append(np.concatenate([_neighbours(kind, words.first), _shape(words)], axis=1))
-        labels.append((kind > 0) * y[tx.doc_of(words.first)])
-        first.extend((words.first[1:] + first[-1]).tolist())
-        if first[-1] > CRF_WORDS:
-            break
-    n = first[-1]
-    chain = fit_chain(np.concatenate(kinds), np.concatenate(extras), np.array(first), np.concatenate(labels), len(lexicon.keys)) if n else \
-        Chain(np.zeros(len(lexicon.keys)), np.zeros(5), np.zeros(3))
-    w = np.concatenate([chain.types, chain.rest, chain.moves])
-    return pa.table({"w": pa.array([w.tobytes()], pa.binary())})
+def _encoded(shared):
+    """The words of learning texts: kinds, the other features and the label in bits, words per text; a row for each run of texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.slices(batch):
+                words = Words.of(part.column("text"))
+                kind = shared.value.strongest(words)
+                y = np.array(part.column("y").to_pylist(), np.uint8)
+                extra = np.concatenate([_neighbours(kind, words.first), _shape(words)], axis=1).astype(np.uint8)
+                bits = extra @ np.array([1, 2, 4, 8], np.uint8) + 16 * ((kind > 0) & (y[tx.doc_of(words.first)] > 0)).astype(np.uint8)
+                row = (kind.astype(np.int32), bits.astype(np.uint8), np.diff(words.first).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in row], ["kind", "bits", "size"])
+    return run
+
+
+def _chains(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, extra, first, label) of each row of ``_encoded``."""
+    for kind, bits, size in zip(*(batch.column(c) for c in ("kind", "bits", "size"))):
+        flags = np.frombuffer(bits.as_py(), np.uint8)
+        extra = (flags[:, None] >> np.arange(4, dtype=np.uint8) & 1).astype(float)
+        first = np.concatenate([[0], np.cumsum(np.frombuffer(size.as_py(), np.int64))])
+        yield np.frombuffer(kind.as_py(), np.int32).astype(np.int64), extra, first, (flags >> 4).astype(float)
 
 
 def _model(rows: DataFrame) -> Model:
-    lexicon = _evidence(rows)
-    some = rows.where("y = 1").orderBy("h").limit(CRF_DOCS // 2).unionByName(rows.where("y = 0").orderBy("h").limit(CRF_DOCS // 2))
-    got = some.groupBy(F.lit(0).alias("g")).applyInArrow(ex.task(_learn, lexicon), "w binary").collect()
-    w = np.frombuffer(bytes(got[0]["w"]), float)
-    n = len(lexicon.keys)
-    return Model(lexicon, Chain(w[:n], w[n:-3], w[-3:]))
+    """The types of all rows (text, y, h), and the chain fitted on the toxic ones and about as many others."""
+    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sc = rows.sparkSession.sparkContext
+    lexicon = _evidence(rows, size[1] / (size[0] + size[1]))
+    types = len(lexicon.keys)
+    part = F.pmod(F.xxhash64(F.lit(1), F.col("h")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max(size[1], 500) / size[0]))
+    words = rows.where((F.col("y") == 1) | part).select("text", "y").mapInArrow(_encoded(sc.broadcast(lexicon)), "kind binary, bits binary, size binary")
+    words = saved(words, "toxic-words")
+    tasks, shape = sp._tasks(words), (types + 10, 1)
+
+    def squares(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        for kind, extra, first, _ in _chains(batch):
+            _squares(total[:, 0], types, kind, extra, first)
+
+    def evaluate(point: np.ndarray) -> np.ndarray:
+        given = sc.broadcast(point)
+
+        def work(total: np.ndarray, batch: pa.RecordBatch) -> None:
+            for chains in _chains(batch):
+                add_loss(total[:, 0], given.value, types, *chains)
+
+        out = sp._summed(words, tasks, shape, work)[0]
+        given.destroy()
+        return out
+
+    sums = sp._summed(words, tasks, shape, squares)
+    if not sums or not sums[0][-1]:
+        return Model(lexicon, _chain_of(np.zeros(types + 8), types))
+    return Model(lexicon, _chain_of(_descend(evaluate, sums[0][:-2], RIDGE, STEPS), types))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on labelled rows for which ``train`` (over doc_id) holds, at most ``SAMPLE`` of them."""
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    chosen = marks.where(train & F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(SAMPLE)
+    chosen = saved(marks.where(train & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "toxic-labels")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = saved(rows.join(F.broadcast(chosen), "doc_id").select("text", "y", "h"), "toxic-sample")
+    rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
+    least = saved(rows.select("h").distinct().orderBy("h").limit(SAMPLE), "toxic-keys")  # ids may repeat: the bound is one of texts
+    rows = saved(rows.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"]), "toxic-sample")
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         n = sum(size.values())
@@ -383,7 +445,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, doc_id: s
     if len({r["y"] for r in learn.select("y").distinct().collect()}) < 2 or len({r["y"] for r in check.select("y").distinct().collect()}) < 2:
         learn = check = rows  # too few labels to set a part aside
     model = _model(learn)
-    # features of documents that the model did not see: at most SAMPLE rows
+    # seven numbers of each document that the model did not see: at most SAMPLE rows
     seen = check.mapInArrow(_features(rows.sparkSession.sparkContext.broadcast(model)), "x array<double>, y int, h long").collect()
     seen.sort(key=lambda r: (r["h"], r["y"]))
     x, y = np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float)

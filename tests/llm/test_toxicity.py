@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from annoscope.llm import toxicity as tx
 
@@ -42,7 +43,7 @@ def test_fit_reaches_a_point_without_gradient():
     kind = rng.integers(0, 3, 27)
     label = ((kind == 1) | (rng.random(27) < 0.2)).astype(float)
     extra = rng.integers(0, 2, (27, 4)).astype(float)
-    chain = tx.fit_chain(kind, extra, first, label, 2, steps=4000, rate=0.02, ridge=0.05)
+    chain = tx.fit_chain(kind, extra, first, label, 2, steps=4000, ridge=0.05)
 
     def objective(w):
         c, value = tx.Chain(w[:2], w[2:-3], w[-3:]), 0.0
@@ -114,3 +115,54 @@ def test_types_are_words_and_their_beginnings():
     assert whole[0] == whole[1] != whole[2]
     three = starts[0]
     assert three[0] == three[1] == three[2] != 0 and three[3] == 0
+
+
+def test_rare_pure_types_are_tagged(spark):
+    """Twenty words that stand in eight toxic documents each, among 4,000 documents, are evidence and get tagged."""
+    rnd = random.Random(5)
+    usual = ["".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(4000):
+        ws, toxic = [rnd.choice(usual) for _ in range(40)], i % 25 == 0
+        if toxic:
+            ws.insert(rnd.randrange(len(ws)), f"zq{chr(97 + i // 25 % 20)}xkw")
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tx.fit(docs, marks, "toxic", F.lit(True))
+    got = {r.doc_id: r for r in tx.tag(docs, model).collect()}
+    tagged = [any(rows[i][1][s.begin:s.end].find("xkw") >= 0 for s in got[i].spans) for i in range(0, 4000, 25)]
+    clean = [len(got[i].spans) for i in range(4000) if i % 25]
+    assert np.mean(tagged) > 0.95 and np.mean([n > 0 for n in clean]) < 0.01
+
+
+def test_repeated_ids_stay_within_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(tx, "SAMPLE", 300)
+    rows, labels, _ = corpus(4, 200)
+    many = [(0, f"er on an {i} the") for i in range(900)] + [(1, "same text again")] * 500
+    docs = spark.createDataFrame(rows + many, "doc_id long, text string")
+    kept = []
+    monkeypatch.setattr(tx, "_model", lambda learn, real=tx._model: kept.append(learn.sparkSession.read.parquet(*learn.inputFiles()).count()) or real(learn))
+    got = tx.detect(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == 200 + 1400 and kept[0] <= 300
+
+
+def test_loss_is_the_log_likelihood_and_matches_its_gradient():
+    rng = np.random.default_rng(2)
+    first, kind = np.array([0, 4, 4, 9]), rng.integers(0, 3, 9)
+    extra, label, w = rng.integers(0, 2, (9, 4)).astype(float), rng.integers(0, 2, 9).astype(float), rng.normal(0, 1, 10)
+
+    def at(point):
+        total = np.zeros(12)
+        tx.add_loss(total, point, 2, kind, extra, first, label)
+        return total
+
+    chain, want = tx._chain_of(w, 2), 0.0
+    e = chain.emissions(kind, extra)
+    for a, b in ((0, 4), (4, 9)):
+        y = label[a:b].astype(int)
+        want += enumerated(e[a:b], w[-3:])[1] - float(e[a:b] @ y) - sum((0, *w[-3:])[2 * p + q] for p, q in zip(y, y[1:]))
+    assert at(w)[-2] == pytest.approx(want, abs=1e-9) and at(w)[-1] == 9
+    for i in range(10):
+        step = np.eye(10)[i] * 1e-5
+        assert at(w)[i] == pytest.approx((at(w + step)[-2] - at(w - step)[-2]) / 2e-5, abs=1e-5)
