@@ -5,12 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annoscope.functions import models as M
+from annoscope.operators import text as T, train as TR, vectors as V
 from annoscope.plans import fixtures as fx
-from annoscope.plans.catalog import lexicon as LC
+from annoscope.plans.catalog import fitted as FC, lexicon as LC, vectors as VC
 from annoscope.plans.catalog._util import rounded
 from annoscope.plans.catalog.social import BASE, WINDOW_SQL
 from annoscope.plans.registry import register
-from annoscope.session import scratch_path
+from annoscope.schema import CATEGORIES
+from annoscope.session import scratch_path, written
 from annoscope.streaming import interval_join as IJ, rowwise as RW
 
 
@@ -61,3 +64,33 @@ def stream_score_problex(spark, sf):
 
     score_stream(stream, score, f"{base}/out", f"{base}/ckpt").awaitTermination()
     return rounded(spark.read.parquet(f"{base}/out").drop("batch_id"))
+
+
+@register("stream_score_embed", "streaming", sql=VC.SCORE_EMBED_SQL)
+def stream_score_embed(spark, sf):
+    """E4 on a stream: the cosines of words and concepts are written once, each micro-batch of documents joins them."""
+    from annoscope.streaming.micro_batch import score_stream
+
+    base = scratch_path(spark, "stream_embed")
+    fx.texts(spark, sf).write.parquet(f"{base}/in")
+    cosines = written(VC._token_cos(spark, sf), "token-cosines")
+    stream = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+
+    def score(batch):
+        return V.score_embedding(T.token_table(batch), cosines, ids=batch.select("id"))
+
+    score_stream(stream, score, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return rounded(spark.read.parquet(f"{base}/out").drop("batch_id"))
+
+
+@register("stream_batch_model", "streaming", sql=FC.SCORE_BATCH_SQL)
+def stream_batch_model(spark, sf):
+    """K12 on a stream: the user model scores the rows as they arrive, without state or shuffle; the file sink commits each batch once."""
+    base = scratch_path(spark, "stream_model")
+    fx.ml_features(spark, sf).select("id", "vec").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("id long, vec array<float>").option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    schema = "id long, " + ", ".join(f"{c}_score double" for c in CATEGORIES)
+    scored = TR.batch_score(stream, "vec", M.load_linear_model, M.predict_linear, schema)
+    (scored.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+     .trigger(availableNow=True).start().awaitTermination())
+    return rounded(spark.read.schema(schema).parquet(f"{base}/out"))
