@@ -120,3 +120,49 @@ def test_entities_are_replaced_to_their_natural_end(spark):
         if kind == "phone":
             assert re.sub(r"\d", "9", made) == re.sub(r"\d", "9", e)
     assert not re.search("[äö§]", out[13]["text"])
+
+
+def _made(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(docs, KEY, found="replaced").collect()}
+    return [[(x["kind"], x["surrogate"]) for x in rows[i]["replaced"] or []] for i in range(len(texts))], [rows[i]["text"] for i in range(len(texts))]
+
+
+def test_spellings_and_partial_names_refer_to_one_entity(spark):
+    texts = ["+49 151 23456789", "+4915123456789", "+1 555-123-4567", "555-123-4567", "+380 44 123 45 67", "+49 (0)151 23456789",
+             "Mr Jean Dupont", "Mr Dupont", "Frau Prof. Dr. Dupont", "Dr. Dupont", "Mrs Jean Dupont", "Mr Արամ Խաչատրյան", "Herr Ludwig van Dupont", "Monsieur DUPONT",
+             "Mr Anna Dupont", "fe80::1ff:fe23:4567:890a", "FE80::1FF:FE23:4567:890A", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"]
+    found, out = _made(spark, texts)
+    assert all(len(f) == 1 and f[0][1] == o for f, o in zip(found, out))
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(out[0]) == digits(out[1]) and out[0].startswith("+49 ") and out[1].startswith("+49") and digits(out[0])[2] not in "01"
+    assert digits(out[2]) == "1" + digits(out[3]) and out[4].startswith("+380 ") and digits(out[5]) == "490" + digits(out[0])[2:]
+    last = out[7].split()[1]
+    assert last != "Dupont" and all(out[i].split()[-1] == last for i in (6, 7, 8, 9, 10, 12, 13, 14))
+    assert out[6].split()[1] in pii.MALE_NAMES and out[10].split()[1] in pii.FEMALE_NAMES and out[8].startswith("Frau Prof. Dr. ") and len(out[12].split()) == 4
+    assert re.fullmatch("Mr [\u0531-\u0587]+ [\u0531-\u0587]+", out[11])
+    assert out[15].upper() == out[16] and re.fullmatch("(?:[0-9a-f]+|:)+", out[15]) and out[15].count(":") == texts[15].count(":")
+    assert out[17].replace(" ", "") == out[18] and out[18][:2] == "GB" and out[18][4:8] != "WEST"
+    number = "".join(str(int(c, 36)) for c in out[18][4:] + out[18][:4])
+    assert int(number) % 97 == 1
+
+
+def test_full_names_of_one_surname_stay_distinct(spark):
+    """More people of one surname than listed given names: all different, one surname."""
+    texts = [f"Mr {g}{h} Dupont" for g in ("Al", "Be", "Cy", "Di", "Ed", "Fu", "Gi", "Ha", "Jo", "Ka") for h in ("a", "bert", "c", "dan", "e", "fo", "gus", "o", "ri", "x")]
+    _, out = _made(spark, texts)
+    assert len(set(out)) == len(texts) == 100 and len({o.split()[-1] for o in out}) == 1
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]+ [A-Z][a-z]+", o) for o in out)
+
+
+def test_more_kinds_of_secrets(spark):
+    cases = [("card", "3782 822463 10005"), ("ssn", "123-45-6789"), ("email", "josé.müller@exämple.org"), ("password", "passwd=hunter22x"), ("password", "pwd: hunter22x"),
+             ("password", 'password": "hunter22x'), ("key", "ghp_" + "a1B2" * 9), ("key", "sk-" + "a1B2c3" * 8), ("name", "Prof. Anna Weiß"),
+             ("ipv6", "2001:db8:85a3:0:0:8a2e:370:7334"), ("iban", "DE89 3704 0044 0532 0130 00"), ("email", "x" * 100 + "@example.org")]
+    found, out = _made(spark, [f"see {e} x" for _, e in cases] + ["a \u0001 mark, 10.1.2.3 and \u0001", "std::cout << a::b; 12:30:45 in 2024", "db_password=hunter22x"])
+    for (kind, e), f, o in zip(cases, found, out):
+        assert [k for k, _ in f] == [kind] and o == f"see {f[0][1]} x" and f[0][1] != e, (e, o)
+        assert "hunter22x" not in o and "a1B2" not in o and "jos" not in o and "Weiß" not in o
+    luhn_of = lambda s: luhn(re.sub(r"\D", "", s)) % 10
+    assert luhn_of(cases[0][1]) == 0 == luhn_of(found[0][0][1]) and re.fullmatch(r"\d{4} \d{6} \d{5}", found[0][0][1])
+    assert out[-3] == f"a \u0001 mark, {found[-3][0][1]} and \u0001" and found[-2] == [] and "hunter22x" not in out[-1]
