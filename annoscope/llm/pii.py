@@ -306,12 +306,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
     """``docs`` with surrogates in the column ``text``. ``found`` names a column to add: array of
     (kind, surrogate) of the replacements in order."""
     cut, e, made, fixes, whole = "__pii_pieces", "__pii_entities", "__pii_made", "__pii_attempts", "__pii_text"
-    one = F.explode(with_surnames(named(entities(F.col(text))))).alias("x")
-    later = saved(later_attempts(docs.select(one).select("x.entity", "x.kind", "x.canon"), key), "pii-later")
+    one = F.explode(with_surnames(F.col(e))).alias("x")
+    named_docs = docs.withColumn(e, named(entities(F.col(text))))
+    later = saved(later_attempts(named_docs.select(one).select("x.entity", "x.kind", "x.canon"), key), "pii-later")
     rows = docs.withColumn(cut, pieces(F.col(text))).withColumn(e, named(_odd(F.col(cut))))
     attempt = lambda _: F.lit(0)
     if not later.isEmpty():  # a document is known by its whole text here, so ids may repeat or be null
-        by = docs.select(F.sha2(F.col(text), 256).alias(whole), one).select(whole, "x.kind", "x.canon").distinct().join(later, ["kind", "canon"])
+        by = named_docs.select(F.sha2(F.col(text), 256).alias(whole), one).select(whole, "x.kind", "x.canon").distinct().join(later, ["kind", "canon"])
         by = by.groupBy(whole).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "canon"), "attempt"))).alias(fixes))
         rows = rows.withColumn(whole, F.sha2(F.col(text), 256)).join(saved(by, "pii-fixes"), whole, "left")
         attempt = lambda x: F.coalesce(F.element_at(F.col(fixes), F.concat_ws("\u0001", x["kind"], x["canon"])), F.lit(0))
