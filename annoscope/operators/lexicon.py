@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from annoscope.operators.skew import heavy_join
 from annoscope.plans.sizing import maybe_broadcast
 from annoscope.schema import CATEGORIES, POLES, dimensions
 
@@ -100,7 +101,7 @@ def lexicon_set_ops(a: DataFrame, b: DataFrame, c: DataFrame) -> dict[str, DataF
 
 def score_lexicon(tokens: DataFrame, lexicon: DataFrame, categories: Sequence[str] = CATEGORIES,
                   sentiment: bool = False, normalize: bool = True, ids: DataFrame | None = None,
-                  lexicon_rows: int | None = None) -> DataFrame:
+                  lexicon_rows: int | None = None, heavy: int | None = None) -> DataFrame:
     """Word-count scores.
 
     ``tokens(id, pos, token[, lemma])``; ``lexicon(word, dim)`` long form. For each token the dims
@@ -111,7 +112,8 @@ def score_lexicon(tokens: DataFrame, lexicon: DataFrame, categories: Sequence[st
     ``lexicon_rows`` is a known bound on the lexicon's size (e.g. an inline lexicon): then the
     lexicon is broadcast and token rows are scored where they are, leaving one shuffle (the
     per-document aggregation, combined map-side). Without a bound, repeated tokens are first
-    pre-aggregated per document and the join is sized by AQE at run time.
+    pre-aggregated per document and the join is sized by AQE at run time. ``heavy`` is for a lexicon above the broadcast
+    limit: the lexicon rows of that many most frequent words are broadcast, the rest meets by a shuffle.
     """
     dims = dimensions(categories)
     by_tok = lexicon.select("word", "dim").groupBy("word").agg(F.collect_list("dim").alias("dims_t"))
@@ -122,10 +124,16 @@ def score_lexicon(tokens: DataFrame, lexicon: DataFrame, categories: Sequence[st
     else:
         keys = ["id", "token"] + (["lemma"] if has_lemma else [])
         tok = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
-    j = tok.join(by_tok, tok["token"] == by_tok["word"], "left").drop("word")
+    if heavy:
+        j = heavy_join(tok, by_tok, "token", "word", "left", heavy)
+    else:
+        j = tok.join(by_tok, tok["token"] == by_tok["word"], "left").drop("word")
     if has_lemma:
         by_lem = by_tok.select(F.col("word").alias("_lw"), F.col("dims_t").alias("dims_l"))
-        j = j.join(by_lem, j["lemma"] == by_lem["_lw"], "left").drop("_lw")
+        if heavy:
+            j = heavy_join(j, by_lem, "lemma", "_lw", "left", heavy)
+        else:
+            j = j.join(by_lem, j["lemma"] == by_lem["_lw"], "left").drop("_lw")
         hit = F.coalesce(F.col("dims_t"), F.col("dims_l"))
     else:
         hit = F.col("dims_t")
@@ -146,17 +154,17 @@ def score_lexicon(tokens: DataFrame, lexicon: DataFrame, categories: Sequence[st
 
 
 def score_problex(content: DataFrame, lexicon_b: DataFrame, categories: Sequence[str] = CATEGORIES,
-                  sentiment: bool = False, normalize: bool = True, ids: DataFrame | None = None) -> DataFrame:
+                  sentiment: bool = False, normalize: bool = True, ids: DataFrame | None = None, heavy: int | None = None) -> DataFrame:
     """Probability-lexicon scores over content tokens.
 
     ``content(id, token)`` (after C3); ``lexicon_b(word, {c}_p, {c}_sent)``. Without ``sentiment``:
     ``{c} = Σ p / max(#matched, 1)``. With ``sentiment``: each matched token adds its ``{c}_p`` to
     ``{c}_virtue`` when ``{c}_sent >= 0`` else ``{c}_vice`` (NULL sent -> vice), normalised by the
-    per-dimension match count (0 -> 1).
+    per-dimension match count (0 -> 1). ``heavy``: as for ``score_lexicon``; ``lexicon_b`` must then have one row a word.
     """
     lex = lexicon_b
     tok = content.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    j = tok.join(lex, tok["token"] == lex["word"], "inner")
+    j = heavy_join(tok, lex, "token", "word", "inner", heavy) if heavy else tok.join(lex, tok["token"] == lex["word"], "inner")
     if not sentiment:
         aggs = [F.sum(F.col(f"{c}_p") * F.col("tf")).alias(c) for c in categories]
         aggs.append(F.sum("tf").alias("_n"))

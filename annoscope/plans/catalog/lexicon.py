@@ -19,6 +19,10 @@ RAW_CATEGORY_SPELLINGS = (" Care", "harm", "AUTHORITY", "fairness ", "ingroup",
 RAW_SENTIMENT_SPELLINGS = ("virtue", "Vice ", "vice", "neutral")
 
 
+#: Most frequent words whose lexicon rows are broadcast.
+HEAVY = 1000
+
+
 def _pick(values, *parts):
     arr = F.array(*[F.lit(v) for v in values])
     return F.element_at(arr, (F.floor(u01(*parts) * len(values)) + 1).cast("int"))
@@ -155,6 +159,13 @@ def score_lexicon(spark, sf):
     return lexicon_scores(spark, sf)
 
 
+@register("score_lexicon_heavy", "lexicon", sql=_SCORE_LEX_SQL)
+def score_lexicon_heavy(spark, sf):
+    """As ``score_lexicon``, with the join for lexicons above the broadcast limit."""
+    tok = T.with_lemma(T.token_table(fx.texts(spark, sf)), fx.lemma_map(spark), lemma_rows=len(fx.LEMMA_ROWS))
+    return rounded(L.score_lexicon(tok, fx.lexicon_a(spark), ids=fx.texts(spark, sf).select("id"), heavy=HEAVY))
+
+
 # ---- score_problex / score_problex_sent ----
 
 _CONTENT_CTE = f"""content AS (
@@ -182,6 +193,12 @@ def score_problex(spark, sf):
     return rounded(L.score_problex(_content(spark, sf), fx.lexicon_b(spark, sf), ids=fx.texts(spark, sf).select("id")))
 
 
+@register("score_problex_heavy", "lexicon", sql=_PROBLEX_SQL)
+def score_problex_heavy(spark, sf):
+    """As ``score_problex``, with the join for lexicons above the broadcast limit."""
+    return rounded(L.score_problex(_content(spark, sf), fx.lexicon_b(spark, sf), ids=fx.texts(spark, sf).select("id"), heavy=HEAVY))
+
+
 def _sent_cols():
     out = []
     for c in CATEGORIES:
