@@ -14,7 +14,10 @@ from annoscope.plans.catalog.social import BASE, WINDOW_SQL
 from annoscope.plans.registry import register
 from annoscope.schema import CATEGORIES
 from annoscope.session import scratch_path, written
-from annoscope.streaming import interval_join as IJ, rowwise as RW
+from annoscope.streaming import interval_join as IJ, micro_batch as MB, rowwise as RW
+
+#: Bytes of a number of a written table, at most, by which a word's row in a lexicon or cosine table is sized.
+_NUMBER_BYTES = 8
 
 
 @register("score_lexicon_rowwise", "streaming", sql=LC._SCORE_LEX_SQL)
@@ -49,37 +52,37 @@ def stream_window_join(spark, sf):
 
 @register("stream_score_problex", "streaming", sql=LC._PROBLEX_SQL)
 def stream_score_problex(spark, sf):
-    """Probability-lexicon scores of documents arriving as a stream (micro-batches of files)."""
-    from annoscope.operators import lexicon as L, text as T
-    from annoscope.streaming.micro_batch import score_stream
+    """Probability-lexicon scores of documents arriving as a stream (micro-batches of files). The lexicon is written once, each
+    micro-batch joins it."""
+    from annoscope.operators import lexicon as L
 
     base = scratch_path(spark, "stream_problex")
     fx.texts(spark, sf).write.parquet(f"{base}/in")
-    lex = fx.lexicon_b(spark, sf)
-    stream = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    lex = written(fx.lexicon_b(spark, sf).select("word", *[f"{c}_p" for c in CATEGORIES]), "lexicon")
+    size = MB.batch_bytes(spark, lex.count() * (1 + len(CATEGORIES)) * _NUMBER_BYTES)
+    stream = spark.readStream.schema("id long, text string").option("maxBytesPerTrigger", size).parquet(f"{base}/in")
 
     def score(batch):
         content = T.content_tokens(T.token_table(batch, lower=False))
         return L.score_problex(content, lex, ids=batch.select("id"))
 
-    score_stream(stream, score, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    MB.score_stream(stream, score, f"{base}/out", f"{base}/ckpt").awaitTermination()
     return rounded(spark.read.parquet(f"{base}/out").drop("batch_id"))
 
 
 @register("stream_score_embed", "streaming", sql=VC.SCORE_EMBED_SQL)
 def stream_score_embed(spark, sf):
     """E4 on a stream: the cosines of words and concepts are written once, each micro-batch of documents joins them."""
-    from annoscope.streaming.micro_batch import score_stream
-
     base = scratch_path(spark, "stream_embed")
     fx.texts(spark, sf).write.parquet(f"{base}/in")
     cosines = written(VC._token_cos(spark, sf), "token-cosines")
-    stream = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    size = MB.batch_bytes(spark, cosines.count() * 2 * _NUMBER_BYTES)
+    stream = spark.readStream.schema("id long, text string").option("maxBytesPerTrigger", size).parquet(f"{base}/in")
 
     def score(batch):
         return V.score_embedding(T.token_table(batch), cosines, ids=batch.select("id"))
 
-    score_stream(stream, score, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    MB.score_stream(stream, score, f"{base}/out", f"{base}/ckpt").awaitTermination()
     return rounded(spark.read.parquet(f"{base}/out").drop("batch_id"))
 
 

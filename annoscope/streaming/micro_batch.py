@@ -11,7 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Bytes of input a core gets in one micro-batch, at least.
+CORE_BYTES = 256 << 20
+
+
+def batch_bytes(spark: SparkSession, table_bytes: int = 0) -> int:
+    """Size of a micro-batch (option ``maxBytesPerTrigger``) that keeps every core busy and is at least twice a table that each
+    micro-batch joins: however long the stream, the table is read for half as many bytes as the input at most."""
+    return max(spark.sparkContext.defaultParallelism * CORE_BYTES, 2 * table_bytes)
 
 
 def score_stream(stream: DataFrame, score_batch: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,

@@ -35,3 +35,31 @@ def test_stream_window_join_bounds(spark, tmp_path):
     out = str(tmp_path / "out")
     run_to_table(j.select(F.col("id").alias("comment_id")), out, str(tmp_path / "ck"))
     assert sorted(r.comment_id for r in spark.read.parquet(out).collect()) == ["early", "in"]
+
+
+def test_a_micro_batch_holds_work_for_every_core_and_outweighs_the_table_it_joins(spark):
+    from annoscope.streaming.micro_batch import CORE_BYTES, batch_bytes
+
+    cores = spark.sparkContext.defaultParallelism
+    assert batch_bytes(spark) == cores * CORE_BYTES and batch_bytes(spark, cores * CORE_BYTES) == 2 * cores * CORE_BYTES
+
+
+def test_streamed_scores_do_not_read_the_corpus_lexicon_once_a_file(spark):
+    from annoscope.plans.catalog import lexicon as LC, streaming as ST
+
+    from conftest import SF_SMALL
+
+    seen = []
+    real = ST.MB.score_stream
+
+    def counted(stream, score, path, ck, **kw):
+        return real(stream, lambda batch: (seen.append(1), score(batch))[1], path, ck, **kw)
+
+    ST.MB.score_stream = counted
+    try:
+        got = ST.stream_score_problex(spark, SF_SMALL)
+    finally:
+        ST.MB.score_stream = real
+    assert len(seen) == 1  # four files, one micro-batch
+    key = lambda rows: sorted(map(tuple, rows))
+    assert key(got.collect()) == key(LC.score_problex(spark, SF_SMALL).select(got.columns).collect())
