@@ -1,8 +1,8 @@
 """Joins whose key is skewed on the row side: frequent keys by broadcast, the rest by a shuffle.
 
 The frequent keys come from a mergeable counter sketch (``approx_top_k``), one small state a task. Only their table rows, at
-most ``heavy`` of them, are broadcast, so a row with a frequent key is matched where it is and is then spread by its
-number; whatever the size of the table, no task gets all rows of a frequent word.
+most ``heavy`` of them, are broadcast, so a row with a frequent key is matched where it is and not shuffled,
+only rows with other keys are; whatever the size of the table, no task gets all rows of a frequent word.
 """
 
 from __future__ import annotations
@@ -34,12 +34,10 @@ def heavy_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, how:
     found = known.join(F.broadcast(keys.withColumnRenamed("key", "_word")), "_word")
     frequent = keys.join(F.broadcast(found), keys["key"] == found["_word"], "left").select(F.col("key").alias("_freq"), F.col("_row").alias("_near"))
     marked = rows.join(F.broadcast(frequent), rows[key] == F.col("_freq"), "left")
-    # a frequent key is done: its rows go anywhere, under a key that is not read
-    own = F.xxhash64(F.monotonically_increasing_id()).cast("string")
-    spread = F.when(F.col("_freq").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.concat(F.lit("\u0000"), own))
-    far = marked.withColumn("_to", spread).join(known, F.col("_to") == F.col("_word"), "left")
-    plain = F.col("_freq").isNull() & F.col(key).isNotNull()
-    out = far.withColumn("_got", F.when(plain, F.col("_row")).otherwise(F.col("_near")))
+    done = F.col("_freq").isNotNull() | F.col(key).isNull()
+    near = marked.where(done).select(*rows.columns, F.col("_near").alias("_got"))
     if how == "inner":
-        out = out.where(F.col("_got").isNotNull())
-    return out.select(*rows.columns, *[F.col("_got")[n].alias(n) for n in names])
+        near = near.where(F.col("_got").isNotNull())
+    rest = marked.where(~done).select(*rows.columns)
+    far = rest.join(known, rest[key] == known["_word"], how).select(*rows.columns, F.col("_row").alias("_got"))
+    return near.unionByName(far).select(*rows.columns, *[F.col("_got")[n].alias(n) for n in names])

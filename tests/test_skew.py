@@ -54,3 +54,10 @@ def test_a_word_in_a_third_of_all_rows_is_spread(spark, tables):
             spark.conf.set(k, v)
     assert plain[-1] > 3 * plain[len(plain) // 2] and spread[-1] < 3 * spread[len(spread) // 2]
     assert sum(spread) == rows.count()
+
+
+def test_rows_with_a_frequent_key_are_not_shuffled(spark, tables):
+    rows, table = tables
+    for how in ("left", "inner"):
+        plan = SK.heavy_join(rows, table, "token", "word", how, 20)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lstrip().startswith("Union") and "monotonically_increasing_id" not in plan
