@@ -9,6 +9,7 @@ from annoscope.operators import lexicon as L, text as T
 from annoscope.plans import fixtures as fx, sqlfrag as S
 from annoscope.plans.catalog._util import rounded
 from annoscope.plans.registry import register
+from annoscope.plans.sizing import shared
 from annoscope.schema import CATEGORIES, DIMENSIONS
 from annoscope.session import scratch_path
 from annoscope.sources import readers, sinks
@@ -120,7 +121,7 @@ sets AS (
 ), per AS (SELECT word, max(in_a) AS in_a, max(in_b) AS in_b, max(in_c) AS in_c FROM sets GROUP BY word)
 SELECT in_a, in_b, in_c, count(*) AS n_words FROM per GROUP BY in_a, in_b, in_c""")
 def lex_venn(spark, sf):
-    words = fx.tokens(spark, sf).select(F.col("token").alias("word")).distinct()
+    words = shared(fx.tokens(spark, sf).select(F.col("token").alias("word")).distinct())  # three filters, else pushed below the distinct
     a = words.where(u01("word", F.lit("A")) < 0.5)
     b = words.where(u01("word", F.lit("B")) < 0.4)
     c = words.where(u01("word", F.lit("C")) < 0.3)

@@ -119,3 +119,15 @@ def test_tfidf_smooth_idf_and_l2(spark):
         norm = math.sqrt(sum(v * v for v in w.values()))
         for t, v in w.items():
             assert math.isclose(got[(i, t)], v / norm)
+
+
+def test_the_venn_regions_read_the_words_once(spark, monkeypatch):
+    from annoscope.plans.catalog import lexicon as LC
+
+    from conftest import SF_SMALL
+
+    given = []
+    monkeypatch.setattr(LC.L, "lexicon_venn", lambda a, b, c: given.extend((a, b, c)) or a)
+    LC.lex_venn(spark, SF_SMALL)
+    for df in given:  # a scan and a filter: no tokenising below the filter
+        assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
