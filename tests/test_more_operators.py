@@ -121,6 +121,17 @@ def test_tfidf_smooth_idf_and_l2(spark):
             assert math.isclose(got[(i, t)], v / norm)
 
 
+def test_document_frequency_reads_the_columns_that_the_counts_have(spark):
+    """So that both readers of the counts share one exchange; the numbers stay plain document counts."""
+    from annoscope.operators import vectors as V
+
+    tf = V.term_counts(spark.createDataFrame([(i, t) for i in range(6) for t in ("a", "a", "b")[: 1 + i % 3]], "id long, term string"))
+    assert {r.term: r.df for r in V.document_frequency(tf, 6, min_df=1, max_df=1.0).collect()} == {"a": 6, "b": 2}
+    plan = V.bag_of_words(tf, V.document_frequency(tf, 6, min_df=1, max_df=1.0))._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [line.split("Aggregate", 1)[1] for line in plan.splitlines() if "Aggregate [id" in line]
+    assert len(aggregates) == 2 and all("count" in a for a in aggregates)
+
+
 def test_the_venn_regions_read_the_words_once(spark, monkeypatch):
     from annoscope.plans.catalog import lexicon as LC
 
