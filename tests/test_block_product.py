@@ -54,3 +54,30 @@ def test_no_row_carries_a_vector_per_document_and_token(spark, monkeypatch):
     assert "Join" not in plan and "CoGroups" in plan
     assert parts.groupBy("id").count().agg(F.max("count")).first()[0] <= 3  # one row per document and block
     assert V.blocked_product(tok.limit(0).withColumn("w", F.lit(1)), vec, idt, 4).count() == 0
+
+
+def test_a_vector_goes_only_to_the_slices_that_have_its_token(spark, monkeypatch):
+    """However many slices there are, a word of one document is placed once; one row per document."""
+    n = 64
+    tok = spark.createDataFrame([(i, t) for i in range(n) for t in ("hot", f"rare{i}")], "id long, token string").withColumn("w", F.lit(1))
+    vec = spark.createDataFrame([(f"rare{i}", [1.0, 0.0]) for i in range(n)] + [("hot", [0.0, 1.0])], "token string, vec array<float>")
+    idt = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    monkeypatch.setattr(V, "BLOCK_NUMBERS", 16)  # 8 slices
+    placed = []
+    monkeypatch.setattr(V, "written", lambda df, name: placed.append(df) or df)
+    parts = V.blocked_product(tok, vec, idt, 2)
+    table = {r.token: len(r.slices) for r in placed[-1].collect()}
+    assert table.pop("hot") <= 8 and set(table.values()) == {1}
+    got = parts.collect()
+    assert len(got) == n and all(list(r.vec) == [1.0, 1.0] for r in got)
+
+
+def test_distinct_tokens_shuffle_only_texts_whose_id_comes_again(spark):
+    from annoscope.operators import text as T
+
+    rows = [(1, "a b a"), (2, "b B c"), (2, "c d"), (3, None), (4, ""), (None, "x y"), (None, "y z"), (5, "q"), (5, "q")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    got = sorted(map(tuple, T.distinct_tokens(texts).collect()), key=repr)
+    assert got == sorted(map(tuple, T.token_table(texts).select("id", "token").distinct().collect()), key=repr)
+    plan = T.distinct_tokens(texts.where("id IN (1, 3, 4)"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # the repeated texts' only
