@@ -94,6 +94,16 @@ def test_groups_of_models_trees_of_sums_and_small_chunks_do_not_change_the_resul
     assert np.allclose(whole, [m.weights for m in SP.fit_sparse(data, x.shape[1], specs(), tol=1e-8)], atol=1e-4)
 
 
+def test_a_model_that_is_done_makes_room_for_the_next(training, monkeypatch):
+    data, x, _, _ = training
+    summed, widths = SP._summed, []
+    monkeypatch.setattr(SP, "PASS_BYTES", 2 * 8 * (x.shape[1] + 3))
+    monkeypatch.setattr(SP, "_summed", lambda d, t, shape, work: widths.append(shape[1]) or summed(d, t, shape, work))
+    SP.fit_sparse(data, x.shape[1], [TR.Model(k, c, 0) for k in range(2) for c in (1e3, 1e-6)], tol=1e-6)
+    passes = widths[1:]  # the first call is for the curvatures
+    assert passes[0] == 2 and passes == sorted(passes, reverse=True)
+
+
 def test_grid_final_models_and_test_scores(training):
     data, x, ys, fold = training
     c_range = (1e2, 1.0, 1e-2)
