@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -21,6 +23,11 @@ def u01(*parts) -> Column:
     return h / F.lit(4294967296.0).cast("double")
 
 
+def u01_below(limit: float, *parts) -> Column:
+    """``u01(*parts) < limit`` for 0 < limit < 1, told by the first hex digits of the hash: nothing is converted to a number."""
+    return F.md5(_concat(*parts)) < F.lit(f"{math.ceil(limit * 2**32):08x}")
+
+
 def stable_rank_key(*parts) -> Column:
     """Order key for reproducible shuffles: md5 of the concatenated parts (hex string)."""
     return F.md5(_concat(*parts))

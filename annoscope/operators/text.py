@@ -98,20 +98,23 @@ def content_tokens(tokens: DataFrame, stop_words: Sequence[str] | None = None, b
     keep length >= ``min_len`` -> lower-case. ``ent`` / ``tag`` columns are used when present.
 
     The stop-word and bad-string lists are literal ``IN`` sets compiled into the filter (a hash set
-    in generated code), so there is no join at all.
+    in generated code), so there is no join at all. The conditions hold together, so they are tested in order of their cost:
+    a token shorter than ``min_len`` is out before any list or pattern, ``ent`` and ``tag`` are computed for what is left, and the
+    pattern that strips a token runs only where it has something to strip.
     """
     stop_words = default_stop_words() if stop_words is None else tuple(stop_words)
-    df = tokens
-    if "ent" in df.columns:
-        df = df.where(F.coalesce(F.col("ent"), F.lit("")) == "")
+    token = F.col("token")
+    df = tokens.where(F.length(token) >= min_len)
+    if stop_words:
+        df = df.where(~token.isin(list(stop_words)))
+    df = df.where(~F.lower(token).isin([s.lower() for s in bad_strings]))
     if "tag" in df.columns and keep_tags:
         df = df.where(F.col("tag").isin(list(keep_tags)))
-    df = df.where(~F.lower(F.col("token")).isin([s.lower() for s in bad_strings]))
-    if stop_words:
-        df = df.where(~F.col("token").isin(list(stop_words)))
-    stripped = F.regexp_replace(F.col("token"), r"[^\p{L}]", "")
-    df = df.withColumn("token", stripped).where(F.length("token") >= min_len)
-    return df.withColumn("token", F.lower(F.col("token")))
+    if "ent" in df.columns:
+        df = df.where(F.coalesce(F.col("ent"), F.lit("")) == "")
+    plain = ~token.rlike(r"[^\p{L}]")
+    stripped = F.when(plain, token).otherwise(F.regexp_replace(token, r"[^\p{L}]", ""))
+    return df.where(plain | (F.length(stripped) >= min_len)).withColumn("token", F.lower(stripped))
 
 
 def bow_tokens(tokens: DataFrame, stop_words: Sequence[str] | None = None, min_len: int = 3,

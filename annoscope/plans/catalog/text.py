@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annoscope.functions.text import NORMALIZE_RULES, normalize_text
-from annoscope.functions.hashing import u01
+from annoscope.functions.hashing import u01_below
 from annoscope.operators import text as T
 from annoscope.plans import fixtures as fx, sqlfrag as S
 from annoscope.plans.catalog._util import rounded
@@ -77,8 +77,8 @@ SELECT id, pos, lower(t2) AS token FROM (
 def tok_content_tagged(spark, sf):
     """Content tokens of a table with entity and tag columns, without the words of three united stop lists."""
     cased = T.token_table(fx.texts(spark, sf), lower=False)
-    tagged = cased.withColumn("ent", F.when(u01("id", "pos", F.lit("ent")) < 0.1, "PERSON")) \
-        .withColumn("tag", F.when(u01("id", "pos", F.lit("tag")) < 0.6, "NN").otherwise("DT"))
+    tagged = cased.withColumn("ent", F.when(u01_below(0.1, "id", "pos", F.lit("ent")), "PERSON")) \
+        .withColumn("tag", F.when(u01_below(0.6, "id", "pos", F.lit("tag")), "NN").otherwise("DT"))
     stop = T.united_stop_words(T.default_stop_words(), *EXTRA_STOP_WORDS)
     return T.content_tokens(tagged, stop_words=stop).select("id", "pos", "token")
 
