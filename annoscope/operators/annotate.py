@@ -67,9 +67,12 @@ def sentence_group_keys(hl: DataFrame, articles: DataFrame, bin_size: int = 256)
     spans = highlight_spans(hl, normalized_articles(articles))
     hits = overlap_join(sents, spans, ["document_id"], ("s_start", "s_end"), ("h_start", "h_end"), bin_size)
     cnt = hits.groupBy("coder_id", "document_id", "assigned_domain", "sent_no").agg(F.count(F.lit(1)).alias("n_hits"))
-    sg = sents.select("document_id", "sent_no").join(groups, "document_id", "inner")
-    out = sg.join(cnt, ["coder_id", "document_id", "assigned_domain", "sent_no"], "left")
-    return out.select("coder_id", "document_id", "assigned_domain", "sent_no", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+    # A group carries the few sentences it hits, so the (group, sentence) rows are made by one join and not shuffled.
+    hit = cnt.groupBy("coder_id", "document_id", "assigned_domain").agg(F.map_from_entries(F.collect_list(F.struct("sent_no", "n_hits"))).alias("_hit"))
+    groups = groups.join(hit, ["coder_id", "document_id", "assigned_domain"], "left")
+    out = sents.select("document_id", "sent_no").join(groups, "document_id", "inner")
+    n_hits = F.coalesce(F.try_element_at("_hit", F.col("sent_no")), F.lit(0))
+    return out.select("coder_id", "document_id", "assigned_domain", "sent_no", n_hits.alias("n_hits"))
 
 
 def sentence_group_hits(hl: DataFrame, articles: DataFrame, bin_size: int = 256) -> DataFrame:
@@ -123,7 +126,7 @@ def with_content_tokens(counts: DataFrame, min_tokens: int = 3, stop_words: Sequ
     stop_words = default_stop_words() if stop_words is None else tuple(stop_words)
     bad = [b.lower() for b in bad_strings]
     toks = F.regexp_extract_all(F.col("sentence"), F.lit(TOKEN_PATTERN), F.lit(0))
-    kept = F.filter(toks, lambda t: ~F.lower(t).isin(bad) & ~t.isin(list(stop_words)))
+    kept = F.filter(toks, lambda t: (F.length(t) >= min_len) & ~t.isin(list(stop_words)) & ~F.lower(t).isin(bad))
     letters = F.transform(kept, lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}]", "")))
     out = counts.withColumn("tokens", F.filter(letters, lambda t: F.length(t) >= min_len))
     return out.withColumn("length", F.size("tokens")).where(F.col("length") >= min_tokens)
