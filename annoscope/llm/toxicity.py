@@ -248,7 +248,7 @@ def _squares(total: np.ndarray, types: int, kind: np.ndarray, extra: np.ndarray,
 
 def _descend(evaluate, squares: np.ndarray, ridge: float, steps: int) -> np.ndarray:
     """The weights of least loss plus ridge; ``evaluate`` gives the sums of ``add_loss`` at a point."""
-    search = sp._Search(Search(0, 1 / ridge, 0), len(squares), 1e-7, squares)
+    search = sp._Search(Search(0, 1 / ridge, 0), len(squares), 1e-7, squares, steps)
     search.ridge[:] = ridge
     search.model.weights = np.zeros(len(squares))
     for _ in range(steps):

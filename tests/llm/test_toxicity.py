@@ -63,6 +63,23 @@ def test_fit_reaches_a_point_without_gradient():
             assert objective(moved) <= best + 1e-3
 
 
+def test_a_fit_ends_after_its_steps():
+    rng = np.random.default_rng(6)
+    first, kind = np.array([0, 9, 20]), rng.integers(0, 3, 20)
+    extra, label = rng.integers(0, 2, (20, 4)).astype(float), (kind == 1).astype(float)
+    asked, width = [], 12
+
+    def evaluate(point):
+        asked.append(point)
+        total = np.zeros(width)
+        tx.add_loss(total, point, 2, kind, extra, first, label)
+        return total
+
+    squares = np.zeros(width)
+    tx._squares(squares, 2, kind, extra, first)
+    assert tx._descend(evaluate, squares[:-2], 0.01, 3).any() and len(asked) == 3
+
+
 def corpus(seed, n=900):
     rnd = random.Random(seed)
     parts = ["th", "er", "on", "an", "re", "é", "ing", "st", "nd", "ou"]
