@@ -1,7 +1,10 @@
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
+from annoscope.operators import prefix
 from annoscope.operators.prefix import exact_percentiles, ordinal, running_totals
 
 
@@ -49,3 +52,29 @@ def test_hot_group_spans_many_slices(spark):
     q = exact_percentiles(df, ["g"], "x", probs=[0.1, 0.5, 0.9], partitions=12).toPandas()
     for (grp, p), row in q.set_index(["g", "prob"]).iterrows():
         assert abs(row.value - np.percentile(pdf[pdf.g == grp].x, p * 100)) < 1e-9
+
+
+@pytest.mark.parametrize("margin", [3e-4, -0.2, 0.0])
+def test_percentiles_count_few_values_of_large_groups(spark, monkeypatch, margin):
+    """Distinct values, many ties, a constant, NaN and infinities; with wrong margins all values are counted."""
+    monkeypatch.setattr(prefix, "_MARGIN", margin)
+    rng, n = np.random.default_rng(8), 60_000
+    parts = {"distinct": rng.normal(size=n), "ties": rng.integers(0, 4, n).astype(float), "same": np.full(n, 2.5),
+             "ends": np.concatenate([np.full(n // 3, -np.inf), rng.normal(size=n // 3), np.full(n // 3, np.inf)]),
+             "nan": np.concatenate([rng.normal(size=n // 2), np.full(n // 2, np.nan)]), "small": rng.normal(size=7)}
+    pdf = pd.concat([pd.DataFrame({"g": g, "x": v}) for g, v in parts.items()], ignore_index=True).sample(frac=1, random_state=1)
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(None, 1.0), ("ties", None)], "g string, x double"))
+    df = df.withColumn("x", F.when(F.col("g") == "nan", F.coalesce("x", F.lit(float("nan")))).otherwise(F.col("x")))  # pandas gives null for NaN
+    seen, real = [], prefix.running_totals
+    monkeypatch.setattr(prefix, "running_totals", lambda counts, *a, **k: seen.append(counts.count()) or real(counts, *a, **k))
+    probs = [0.0, 0.25, 0.8, 1.0]
+    got = {(r.g, r.prob): r.value for r in exact_percentiles(df, ["g"], "x", probs=probs, partitions=5).collect()}
+    assert set(got) == {(g, p) for g in parts for p in probs}
+    for (g, p), value in got.items():
+        v = np.sort(parts[g])  # NaN last, as in Spark
+        h = p * (len(v) - 1)
+        a, b = v[int(np.floor(h))], v[int(np.ceil(h))]
+        with np.errstate(invalid="ignore"):
+            want = a + (b - a) * (h - np.floor(h))
+        assert value == want or (np.isnan(value) and np.isnan(want)), (g, p)
+    assert len(seen) == 1 and (seen[0] < 2_000 if margin == 3e-4 else seen[0] > 100_000)
