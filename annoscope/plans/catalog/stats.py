@@ -211,6 +211,18 @@ def _comment_flags(c):
         for cat in CATEGORIES])).alias("r")).select("post_id", "ya", "r.category", "r.flag")
 
 
+def _post_counts(c):
+    """``(post_id, category, n00, n01, n10, n11, nf)``: the categories of a post are counted side by side, one row a post in the shuffle."""
+    c = c.crossJoin(F.broadcast(category_thresholds(c, LEVEL, "ct_")))  # one-row table
+    c = c.select("post_id", F.col("label").isin("YTA", "ESH").cast("int").alias("ya"),
+                 *[(F.col(f"{cat}_score") >= F.col(f"ct_{cat}")).cast("int").alias(cat) for cat in CATEGORIES])
+    aggs = [F.count_if((F.col("ya") == i) & (F.col(cat) == j)).alias(f"{cat}|n{i}{j}") for cat in CATEGORIES for i in (0, 1) for j in (0, 1)]
+    wide = c.groupBy("post_id").agg(*aggs, *[F.sum(cat).alias(f"{cat}|nf") for cat in CATEGORIES])
+    names = ("n00", "n01", "n10", "n11", "nf")
+    rows = F.explode(F.array(*[F.struct(F.lit(cat).alias("category"), *[F.col(f"`{cat}|{n}`").alias(n) for n in names]) for cat in CATEGORIES]))
+    return wide.select("post_id", rows.alias("r")).select("post_id", "r.*")
+
+
 _COMMENT_FLAGS_SQL = SC.BASE + ", cq AS (SELECT " + ", ".join(
     f"quantile_cont({c}_score, {LEVEL / 100}) AS ct_{c}" for c in CATEGORIES) + " FROM fcomments), cf AS (" + " UNION ALL ".join(
     f"SELECT post_id, CAST(label IN ('YTA', 'ESH') AS INTEGER) AS ya, '{c}' AS category, CAST({c}_score >= cq.ct_{c} AS INTEGER) AS flag "
@@ -231,11 +243,7 @@ SELECT (SELECT count(*) FROM fposts) AS n_posts, count_if(gt1 * lt1 > 0) AS n_bo
        round(count_if(gt1 * lt1 > 0) / (SELECT count(*) FROM fposts), 6) AS share FROM pp""")
 def stat_or_per_post(spark, sf):
     kept, comments = SC.judged(spark, sf)
-    f = _comment_flags(comments)
-    t = f.groupBy("post_id", "category").agg(
-        F.count_if((F.col("ya") == 0) & (F.col("flag") == 0)).alias("n00"), F.count_if((F.col("ya") == 0) & (F.col("flag") == 1)).alias("n01"),
-        F.count_if((F.col("ya") == 1) & (F.col("flag") == 0)).alias("n10"), F.count_if((F.col("ya") == 1) & (F.col("flag") == 1)).alias("n11"),
-        F.sum("flag").alias("nf"))
+    t = _post_counts(comments)
     t = t.where((F.col("nf") > 0) & (F.col("n00") > 0) & (F.col("n01") > 0) & (F.col("n10") > 0) & (F.col("n11") > 0))
     o = ST.odds_ratio(t, with_p=False)
     sig = F.col("z") > F.lit(Z_975)  # two-sided p < 0.05, as a plain column: these are many rows
