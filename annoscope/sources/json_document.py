@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from annoscope.session import written
 
 _END = ord("}")
+_RUN_BYTES = 1 << 17  # characters scanned at a time, or one row; the scan takes about fifty bytes for each
 
 
 @dataclass(frozen=True)
@@ -47,13 +48,15 @@ def _scan(data: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], int, bytes]]:
-    """((file, range), size of the file, text) of consecutive rows of one range; every row ends with the brace at which it was cut."""
+    """((file, range), size of the file, text) of consecutive rows of one range, about ``_RUN_BYTES`` at a time; every row ends with the
+    brace at which it was cut, so none begins after a backslash."""
     for batch in batches:
         keys = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()))
         values, sizes, i = batch.column("value").to_pylist(), batch.column("file_size").to_pylist(), 0
         while i < len(keys):
-            j = i
-            while j < len(keys) and keys[j] == keys[i]:
+            j, size = i, 0
+            while j < len(keys) and keys[j] == keys[i] and (j == i or size + len(values[j]) < _RUN_BYTES):
+                size += len(values[j]) + 1
                 j += 1
             yield keys[i], sizes[i], "".join(v + "}" for v in values[i:j]).encode()
             i = j

@@ -2,10 +2,12 @@
 
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
-from annoscope.sources import readers
+from annoscope.sources import json_document, readers
 from annoscope.sources.json_document import read_json_document
 
 
@@ -68,3 +70,19 @@ def test_scalars_several_files_empty_values_and_broken_files(spark, tmp_path, sm
         bad.write_text(text)
         with pytest.raises(ValueError):
             read_json_document(spark, str(bad))
+
+
+def test_memory_of_a_batch_does_not_grow_with_its_text():
+    """A batch of 4 MB of members, cut as a task gets it: its scan takes arrays for a part of the text at a time."""
+    values = ["{"] + [f'"{i}": {{"text": "{"word " * 80}", "author-label": 1' for i in range(10_000)] + [""]
+    values[1] = values[0] + values[1]
+    values = [values[1], *["," + v for v in values[2:-1]], ""]
+    n, size = len(values), sum(len(v) + 1 for v in values)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * n), pa.array([0] * n, pa.int64()), pa.array([size] * n, pa.int64()), pa.array(values)],
+                                       ["file", "block", "file_size", "value"])
+    for run in (json_document._states, json_document._pieces({("f", 0): (0, 0, 0)}, 1)):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows in (1, *range(10_000, 10_200)) and peak < 10 * size, (rows, peak / size)
