@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from annoscope.operators.skew import heavy_join
+from annoscope.operators.skew import frequent_join, heavy_join
 from annoscope.plans.sizing import maybe_broadcast
 from annoscope.schema import CATEGORIES, POLES, dimensions
 
@@ -154,17 +154,24 @@ def score_lexicon(tokens: DataFrame, lexicon: DataFrame, categories: Sequence[st
 
 
 def score_problex(content: DataFrame, lexicon_b: DataFrame, categories: Sequence[str] = CATEGORIES,
-                  sentiment: bool = False, normalize: bool = True, ids: DataFrame | None = None, heavy: int | None = None) -> DataFrame:
+                  sentiment: bool = False, normalize: bool = True, ids: DataFrame | None = None, heavy: int | None = None,
+                  frequent: DataFrame | None = None) -> DataFrame:
     """Probability-lexicon scores over content tokens.
 
     ``content(id, token)`` (after C3); ``lexicon_b(word, {c}_p, {c}_sent)``. Without ``sentiment``:
     ``{c} = Σ p / max(#matched, 1)``. With ``sentiment``: each matched token adds its ``{c}_p`` to
     ``{c}_virtue`` when ``{c}_sent >= 0`` else ``{c}_vice`` (NULL sent -> vice), normalised by the
     per-dimension match count (0 -> 1). ``heavy``: as for ``score_lexicon``; ``lexicon_b`` must then have one row a word.
+
+    ``frequent(key)`` holds words the caller knows to be frequent: their lexicon rows are broadcast and their tokens are summed per document where
+    they are, only tokens of other words are shuffled (``skew.frequent_join``); for a corpus with far more words than can be broadcast.
     """
     lex = lexicon_b
-    tok = content.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    j = heavy_join(tok, lex, "token", "word", "inner", heavy) if heavy else tok.join(lex, tok["token"] == lex["word"], "inner")
+    if frequent is not None:
+        j = frequent_join(content.select("id", "token"), lex, "token", "word", frequent).withColumn("tf", F.lit(1).cast("long"))
+    else:
+        tok = content.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+        j = heavy_join(tok, lex, "token", "word", "inner", heavy) if heavy else tok.join(lex, tok["token"] == lex["word"], "inner")
     if not sentiment:
         aggs = [F.sum(F.col(f"{c}_p") * F.col("tf")).alias(c) for c in categories]
         aggs.append(F.sum("tf").alias("_n"))

@@ -191,7 +191,9 @@ def _content(spark, sf):
 
 @register("score_problex", "lexicon", sql=_PROBLEX_SQL)
 def score_problex(spark, sf):
-    return rounded(L.score_problex(_content(spark, sf), fx.lexicon_b(spark, sf), ids=fx.texts(spark, sf).select("id")))
+    words = fx.vocabulary(spark, sf)
+    return rounded(L.score_problex(_content(spark, sf), fx.lexicon_b(spark, sf, words), ids=fx.texts(spark, sf).select("id"),
+                                   frequent=fx.frequent_words(words)))
 
 
 @register("score_problex_heavy", "lexicon", sql=_PROBLEX_SQL)
@@ -218,5 +220,6 @@ FROM documents d LEFT JOIN per p ON p.id = d.doc_id"""
 
 @register("score_problex_sent", "lexicon", sql=_PROBLEX_SENT_SQL)
 def score_problex_sent(spark, sf):
-    return rounded(L.score_problex(_content(spark, sf), fx.lexicon_b(spark, sf), sentiment=True,
-                                   ids=fx.texts(spark, sf).select("id")))
+    words = fx.vocabulary(spark, sf)
+    return rounded(L.score_problex(_content(spark, sf), fx.lexicon_b(spark, sf, words), sentiment=True,
+                                   ids=fx.texts(spark, sf).select("id"), frequent=fx.frequent_words(words)))
