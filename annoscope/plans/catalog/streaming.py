@@ -58,13 +58,15 @@ def stream_score_problex(spark, sf):
 
     base = scratch_path(spark, "stream_problex")
     fx.texts(spark, sf).write.parquet(f"{base}/in")
-    lex = written(fx.lexicon_b(spark, sf).select("word", *[f"{c}_p" for c in CATEGORIES]), "lexicon")
+    words = fx.vocabulary(spark, sf)
+    lex = written(fx.lexicon_b(spark, sf, words).select("word", *[f"{c}_p" for c in CATEGORIES]), "lexicon")
+    frequent = fx.frequent_words(words)
     size = MB.batch_bytes(spark, lex.count() * (1 + len(CATEGORIES)) * _NUMBER_BYTES)
     stream = spark.readStream.schema("id long, text string").option("maxBytesPerTrigger", size).parquet(f"{base}/in")
 
     def score(batch):
         content = T.content_tokens(T.token_table(batch, lower=False))
-        return L.score_problex(content, lex, ids=batch.select("id"))
+        return L.score_problex(content, lex, ids=batch.select("id"), frequent=frequent)
 
     MB.score_stream(stream, score, f"{base}/out", f"{base}/ckpt").awaitTermination()
     return rounded(spark.read.parquet(f"{base}/out").drop("batch_id"))
@@ -75,12 +77,13 @@ def stream_score_embed(spark, sf):
     """E4 on a stream: the cosines of words and concepts are written once, each micro-batch of documents joins them."""
     base = scratch_path(spark, "stream_embed")
     fx.texts(spark, sf).write.parquet(f"{base}/in")
-    cosines = written(VC._token_cos(spark, sf), "token-cosines")
+    words, cosines = VC._words_cos(spark, sf)
+    cosines, frequent = written(cosines, "token-cosines"), fx.frequent_words(words)
     size = MB.batch_bytes(spark, cosines.count() * 2 * _NUMBER_BYTES)
     stream = spark.readStream.schema("id long, text string").option("maxBytesPerTrigger", size).parquet(f"{base}/in")
 
     def score(batch):
-        return V.score_embedding(T.token_table(batch), cosines, ids=batch.select("id"))
+        return V.score_embedding(T.token_table(batch), cosines, ids=batch.select("id"), frequent=frequent)
 
     MB.score_stream(stream, score, f"{base}/out", f"{base}/ckpt").awaitTermination()
     return rounded(spark.read.parquet(f"{base}/out").drop("batch_id"))
