@@ -122,6 +122,42 @@ def test_grid_final_models_and_test_scores(training):
         assert (r.fold, r.y_true) == (0, ys[r.id, k]) and r.y_score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3)
 
 
+def no_passes(*_):
+    raise AssertionError("a pass over the table sends every model's gradient to the driver")
+
+
+def test_a_grid_is_dealt_to_tasks_that_hold_the_rows(training, monkeypatch):
+    data, x, _, _ = training
+    c_range = (1.0, 1e-3)
+    models, grid = SP.sparse_cv(data, x.shape[1], NAMES, c_range, tol=1e-7)
+    one = {(m.category, m.C, m.fold): m for m in SP.fit_sparse(data, x.shape[1], [TR.Model(m.category, m.C, m.fold) for m in models], tol=1e-7)}
+    for m in models:
+        assert m.weights == pytest.approx(one[m.category, m.C, m.fold].weights, abs=1e-3)
+    want = sorted(SP.sparse_cv_grid(data, models, NAMES).collect())
+    assert sorted(grid.collect()) == want and len(want) == len(models) == 2 * 2 * 3
+    monkeypatch.setattr(SP, "_summed", no_passes)
+    monkeypatch.setattr(SP, "_TURNS", 1)
+    monkeypatch.setattr(SP, "_WORK", 7)
+    light, grid = SP.sparse_cv(data, x.shape[1], NAMES, c_range, weights=False, tol=1e-7)
+    assert sorted(grid.collect()) == want and not any(len(m.weights) for m in light)
+
+
+def test_rows_too_large_for_a_task_are_passed_over(training, monkeypatch):
+    data, x, _, _ = training
+    c_range = (1.0, 1e-3)
+    want = sorted(SP.sparse_cv(data, x.shape[1], NAMES, c_range, tol=1e-7)[1].collect())
+    monkeypatch.setattr(SP, "HELD_BYTES", 1000)
+    monkeypatch.setattr(SP, "fit_apart", None)
+    assert sorted(SP.sparse_cv(data, x.shape[1], NAMES, c_range, tol=1e-7)[1].collect()) == want
+
+
+def test_a_step_that_is_too_long_does_not_ask_for_the_gradient():
+    search = SP._Search(TR.Model(0, 1.0, 0), 2, 1e-9, np.ones(2), 10)
+    assert search.tell(1.0, lambda: np.array([1.0, 1.0]), 1.0)
+    far = search.trial
+    assert search.tell(2.0, None, 1.0) and search.model.steps == 0 and (abs(search.trial) < abs(far)).all()
+
+
 def test_no_rows_and_no_terms(spark, training):
     data, x, _, _ = training
     none = SP.fit_sparse(data.where("fold = 9"), x.shape[1], [TR.Model(0, 1.0, 0)])
@@ -129,3 +165,8 @@ def test_no_rows_and_no_terms(spark, training):
     empty = spark.createDataFrame([(1, [], [], [1], 1), (2, [], [], [0], 1), (3, [], [], [1], 1)], "id long, indices array<int>, values array<double>, ys array<int>, fold int")
     m = SP.fit_sparse(empty, 0, [TR.Model(0, 1.0, 0)], tol=1e-9)[0]
     assert m.weights == pytest.approx([math.log(2)], abs=1e-6)
+    m = [TR.Model(0, 1.0, 0)]
+    SP.fit_apart(SP._packed(empty).rdd.coalesce(1), 0, m, tol=1e-9)
+    assert m[0].weights == pytest.approx([math.log(2)], abs=1e-6)
+    SP.fit_apart(SP._packed(empty.where("id > 3")).rdd.coalesce(1), 2, m)
+    assert not m[0].weights.any() and len(m[0].weights) == 3
