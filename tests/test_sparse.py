@@ -170,3 +170,15 @@ def test_no_rows_and_no_terms(spark, training):
     assert m[0].weights == pytest.approx([math.log(2)], abs=1e-6)
     SP.fit_apart(SP._packed(empty.where("id > 3")).rdd.coalesce(1), 2, m)
     assert not m[0].weights.any() and len(m[0].weights) == 3
+
+
+def test_final_models_are_dealt_to_tasks(training, monkeypatch):
+    data, x, _, _ = training
+    grid = SP.sparse_cv(data, x.shape[1], NAMES, (1.0, 1e-2), tol=1e-7)[1]
+    monkeypatch.setattr(SP, "HELD_BYTES", 0)
+    want = SP.sparse_final(data, x.shape[1], grid, NAMES, tol=1e-7)
+    monkeypatch.setattr(SP, "HELD_BYTES", 1 << 20)
+    monkeypatch.setattr(SP, "_summed", no_passes)
+    got = SP.sparse_final(data, x.shape[1], grid, NAMES, tol=1e-7)
+    for a, b in zip(want, got, strict=True):
+        assert (a.category, a.C, a.fold) == (b.category, b.C, b.fold) and a.weights == pytest.approx(b.weights, rel=1e-4, abs=1e-4)
